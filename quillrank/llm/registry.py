@@ -1,4 +1,4 @@
-"""The subpackage's queries by name."""
+"""The subpackage's queries by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import neardup, pii, urls
+from .decontamination import op2_decontamination
 from .fingerprints import op10_fingerprints
+from .langid import op9_langid
+from .lm import op1_lm
 from .packing import op5_packing
 from .sharding import op8_sharding
 from .token_files import op3_token_files
@@ -14,12 +18,18 @@ from .token_files import op3_token_files
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm": op1_lm,
+        "op2_decontamination": op2_decontamination,
         "op3_token_files": op3_token_files,
+        "op4_pii": pii.op4_pii,
         "op5_packing": op5_packing,
+        "op6_neardup": neardup.op6_neardup,
+        "op7_urls": urls.op7_urls,
         "op8_sharding": op8_sharding,
+        "op9_langid": op9_langid,
         "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_pii": pii.SQL, "op6_neardup": neardup.SQL, "op7_urls": urls.SQL}

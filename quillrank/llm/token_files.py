@@ -115,7 +115,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """One row per document from the files that `files` (as returned by the writer) lists.
 
     Returns doc_id, start (ids of all documents before it), n_tokens and ids_crc32, the checksum of its ids as little-endian
-    unsigned 32-bit integers. Every file is read by one task.
+    unsigned 32-bit integers. Every file is read by a task of its own.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     listed = files.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return listed.select("part", "before").repartition(F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    top = files.agg(F.max("part")).first()[0]
+    return listed.select(F.col("part").cast("int"), "before").repartitionById((top or 0) + 1, F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _open(store: pyarrow.fs.FileSystem, path: str) -> pa.NativeFile:
