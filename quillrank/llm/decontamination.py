@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .storage import Scratch
+from .storage import Scratch, bounded
 
 WORDS = 5
 LEAST = 0.8
@@ -169,7 +169,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) ->
     """The documents that hold no benchmark item, with all their columns. Documents without a key are searched one by one like any others."""
     numbered = docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     leaks = scratch.save(find_leaks(numbered, benchmark, key="_key").select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return numbered.join(leaks, "_key", "left_anti").drop("_key")
+    return numbered.join(bounded(leaks), "_key", "left_anti").drop("_key")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Scratch:
@@ -56,6 +57,11 @@ def shared_folder(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+def bounded(keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A table of keys, marked for broadcasting if it is counted to have few rows; Spark joins a larger one as it sees fit."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
