@@ -1,0 +1 @@
+"""Funding-opportunity analytics on Spark."""
