@@ -3,9 +3,11 @@
 1. Each text becomes its set of word shingles (64-bit hashes), a digest of the whole set and the band keys of its SuperMinHash signature. One pass, no shuffle.
 2. Texts with equal sets form a class at once; from here on only the class's smallest document takes part.
 3. Documents that share a band key are candidates. A bucket isn't expanded into its pairs: its members are first held against
-   one member, drawn anew in each round, and grouped. A bucket whose members are by then in one group needs no more.
-4. In the other buckets, what isn't in the bucket's largest group is held against all that is in another group, so
-   that no link between candidates of different groups is left untested.
+   one member and grouped, then those outside the bucket's largest group against another member of that group.
+   A bucket whose members are by then in one group needs no more.
+4. In the other buckets, what isn't in the largest group is held against all that is in another group, so
+   that no link between candidates of different groups is left untested: small buckets pair by pair, large ones by blocks of
+   documents, whose common shingles are counted as a matrix product.
 5. Every link is confirmed on the full sets. Groups are the connected components of the links.
 
 With 32 bands of 6 rows, a pair of similarity 0.85 shares no band with probability 3e-7, one of 0.8 with 6e-5.
@@ -27,7 +29,8 @@ from .storage import Scratch
 from .superminhash import bands, signatures
 
 BANDS, ROWS = 32, 6
-ROUNDS = 2
+LARGE = 48  # members of a bucket, from which it is compared by blocks
+BLOCK = 128  # documents
 MOST_BROADCAST = 2_000_000  # ids of candidates: 16 MB
 
 
@@ -119,45 +122,101 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, k: int
 
 def _grouped(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(node, component) from the buckets' members (bucket, rep, n)."""
-    links, now = None, members.withColumn("comp", F.col("rep"))
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        pairs = _across(now, percent) if last else _to_one(now, turn, percent)
-        pairs = scratch.save(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        found = scratch.save(_confirm(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, scratch)
-        if last:
-            break
-        joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        mixed = joined.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        members_left = scratch.save(joined.join(mixed, "bucket"), "unsettled")
-        if members_left.isEmpty():
-            break
-        now = members_left
-    return components(links, scratch) if links is not None else members.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-
-
-def _to_one(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member of a bucket with one of them, the same for all in the bucket and round."""
-    draw = F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("of"))
-    one = members.groupBy("bucket").agg(F.min(draw).alias("one")).select("bucket", "one.a", "one.m", "one.of")
-    return members.join(one, "bucket").where((F.col("comp") != F.col("of")) & _alike_in_size(percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    start = members.withColumn("comp", F.col("rep"))
+    links = scratch.save(_confirm(scratch.save(_to_one(start, percent).distinct(), "pairs"), sets, percent), "links")
+    left = _unsettled(members, components(links, scratch), scratch)
+    if not left.isEmpty():
+        pairs = scratch.save(_to_largest(left, percent).distinct(), "pairs")
+        links = scratch.save(links.unionByName(_confirm(pairs, sets, percent)), "links")
+        left = _unsettled(left.select("bucket", "rep", "n"), components(links, scratch), scratch)
+    if not left.isEmpty():
+        small, large = left.where(F.col("size") < LARGE), left.where(F.col("size") >= LARGE)
+        pairs = scratch.save(_across(small, percent).distinct(), "pairs")
+        links = scratch.save(links.unionByName(_confirm(pairs, sets, percent)).unionByName(_by_blocks(large, sets, percent)), "links")
+    return components(links, scratch)
+
+
+def _unsettled(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members of buckets that hold several groups, with comp, the bucket's size and its largest group, main."""
+    joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    groups = joined.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
+    mixed = groups.groupBy("bucket").agg(F.sum("n_comp").alias("size"), F.max(F.struct("n_comp", "comp")).alias("top")).where("top.n_comp < size")
+    return scratch.save(joined.join(mixed.select("bucket", "size", F.col("top.comp").alias("main")), "bucket"), "unsettled")
+
+
+def _with_one(members: DataFrame, ones: DataFrame, percent: int) -> DataFrame:
+    return members.join(ones, "bucket").where((F.col("comp") != F.col("of")) & _alike_in_size(percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+
+
+def _drawn(members: DataFrame, *draw: str) -> DataFrame:
+    """One member of each bucket, by a hash of the columns `draw`."""
+    row = F.struct(F.xxhash64(*draw).alias("draw"), F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("of"))
+    return members.groupBy("bucket").agg(F.min(row).alias("one")).select("bucket", "one.a", "one.m", "one.of")
+
+
+def _to_one(members: DataFrame, percent: int) -> DataFrame:
+    """Each member of a bucket with one of them. Buckets with the same members draw the same one, so few pairs are different."""
+    return _with_one(members, _drawn(members, "rep"), percent)
+
+
+def _to_largest(members: DataFrame, percent: int) -> DataFrame:
+    """Each member outside its bucket's largest group with one in it, another one in each bucket."""
+    return _with_one(members.where("comp <> main"), _drawn(members.where("comp = main"), "rep", "bucket"), percent)
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Each member outside its bucket's largest group with the bucket's members of other groups."""
-    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("main"))
-    outside = members.join(largest, "bucket").where("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("of"), "main")
+    """Each member outside its bucket's largest group with the bucket's members of other groups; for small buckets."""
+    outside = members.where("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("of"))
     fits = (F.col("comp") != F.col("of")) & _alike_in_size(percent) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("rep")))
     return outside.join(members, "bucket").where(fits).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
 
 
+def _by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between members outside their bucket's largest group and those of other groups, found block by block."""
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
+    rows = members.withColumn("block", block).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    doc = F.collect_list(F.struct("rep", "comp", "shingles"))
+    outside = rows.where("comp <> main").groupBy("bucket", "block").agg(doc.alias("x")).drop("block")
+    joined = outside.join(rows.groupBy("bucket", "block").agg(doc.alias("y")).drop("block"), "bucket").select("x", "y")
+
+    def flat(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        docs = column[i].values
+        rep, comp, data = (docs.field(f) for f in ("rep", "comp", "shingles"))
+        each = [np.frombuffer(d.as_buffer(), np.uint64) for d in data]
+        return rep.to_numpy(), comp.to_numpy(), np.concatenate(each), np.array([len(e) for e in each])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, a_of, x, n), (b, b_of, y, m) = flat(batch.column("x"), i), flat(batch.column("y"), i)
+                r, c = np.nonzero(_linked(x, n, y, m, percent) & (a_of[:, None] != b_of[None, :]))
+                if len(r):
+                    yield pa.record_batch([pa.array(np.minimum(a[r], b[c])), pa.array(np.maximum(a[r], b[c]))], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of x (sizes n, in a row) and y (sizes m) are similar enough, by the counts of their common members."""
+    shared = np.intersect1d(x, y)
+    rows = []
+    for flat, size in ((x, n), (y, m)):
+        spot = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[spot] == flat if len(shared) else np.zeros(len(flat), bool)
+        rows.append((np.repeat(np.arange(len(size)), size)[hit], spot[hit]))
+    common = np.zeros((len(n), len(m)), np.float32)
+    for lo in range(0, len(shared), 8192):
+        parts = []
+        for (owner, at), size in zip(rows, (n, m), strict=True):
+            some = (at >= lo) & (at < lo + 8192)
+            part = np.zeros((len(size), min(8192, len(shared) - lo)), np.float32)
+            part[owner[some], at[some] - lo] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (n[:, None] + m[None, :] - common)
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents: 3-word shingles, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op6"), percent=85, k=3)
