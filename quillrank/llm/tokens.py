@@ -3,7 +3,8 @@
 A text is cut at ASCII blanks, and between an ASCII letter and a following ASCII punctuation mark other than the
 apostrophe. The tokenizers used here never join characters across such places, so a text's ids are its pieces' ids in
 a row. Each Python worker keeps the ids of the pieces it has seen in flat arrays, so that a frequent word is encoded
-once and not a million times; the memory is bounded by `_MOST` pieces, after which the worker starts afresh. A new
+once and not a million times; the memory is bounded by `_MOST` pieces, after which the worker starts afresh. Texts that
+hold the string of a special token are encoded whole, so that they too get the ids that the library gives them. A new
 encoder first checks on a probe that piece-wise and whole-text encoding agree, and refuses the tokenizer otherwise.
 """
 
@@ -32,6 +33,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.lower = all(self._plain(c) == self._plain(c.lower()) for c in upper)
         self.forget()
@@ -114,7 +116,22 @@ class Encoder:
         lo, n = self.start[slot][code], self.count[slot][code]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(lo - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, upto[np.searchsorted(starts, at)]
+        edge = upto[np.searchsorted(starts, at)]
+        for r in self._with_special(data, at):
+            own = np.array(self._plain(data[at[r] : at[r + 1]].tobytes().decode()), self.dtype)
+            ids = np.concatenate([ids[: edge[r]], own, ids[edge[r + 1] :]])
+            edge[r + 1 :] += edge[r] + len(own) - edge[r + 1]
+        return ids, edge
+
+    def _with_special(self, data: np.ndarray, at: np.ndarray) -> list[int]:
+        """The rows in which a special token's string occurs, in any case."""
+        low, found = words.lowered(data).tobytes(), set()
+        for s in self.special:
+            i = low.find(s)
+            while i >= 0:
+                found.add(int(np.searchsorted(at, i, side="right")) - 1)
+                i = low.find(s, i + 1)
+        return sorted(found)
 
 
 def encoder(path: str) -> Encoder:
