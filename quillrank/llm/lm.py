@@ -33,10 +33,10 @@ CLASSES = 64
 BUCKETS = 1 << 14
 ROUNDS = 2
 STEP = 0.5
-BATCH = 4096  # tokens
+BATCH = 2048  # tokens
 SMOOTH = 0.1
 MOST_KNOWN = 1_000_000  # words: 16 MB
-CHUNKS = 32  # of the weights, for averaging
+CHUNKS = 256  # of the weights, for averaging
 _U = np.uint64
 _END, _NONE = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 _END_SUFFIX = 65536
@@ -50,7 +50,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and endings of the column's texts, each followed by the end token, with the edges of the rows."""
     data, at = words.utf8(column)
     starts, ends, before = words.split(data, at)
-    low = words._LOWER[data].astype(np.int32)
+    low = words.lowered(data).astype(np.int32)
     suffix = low[ends - 1] | np.where(ends - starts > 1, low[ends - 2] << 8, 0) if len(ends) else np.empty(0, np.int32)
     edge = before + np.arange(len(before))
     is_end = np.zeros(edge[-1], bool)
@@ -122,7 +122,12 @@ class Model:
                 which, n = ranked[first], np.diff(np.append(first, len(f)))
                 met[which] += n
                 step = (STEP / (1 + np.sqrt(met[which]))).astype(np.float32)
-                self.weights[which] += np.add.reduceat(z[order], first, axis=0) * step[:, None]
+                once = n == 1  # most features of a batch occur once in it and need no sum
+                self.weights[which[once]] += z[order[first[once]]] * step[once, None]
+                if not once.all():
+                    many = order[np.repeat(~once, n)]
+                    ends = np.cumsum(n[~once])
+                    self.weights[which[~once]] += np.add.reduceat(z[many], ends - n[~once], axis=0) * step[~once, None]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
