@@ -109,22 +109,30 @@ def _eligibility_points(listed_base: int, open_base: int, most: int) -> Column:
     return F.when(F.size("eligibility") <= 0, F.lit(open_base)).otherwise(F.least(F.lit(most), F.lit(listed_base) + bonus)).cast("long")
 
 
-def score_v1(pairs: DataFrame) -> DataFrame:
-    """Adds the five dimensions, total and passes_eligibility; a pair that fails the gate scores 0 everywhere."""
+def with_hits(pairs: DataFrame) -> DataFrame:
+    """Adds `hits`: how many of the organization's tokens, repeated ones counted, the opportunity has."""
     common = F.array_intersect(F.map_keys("org_weights"), "tokens")
-    hits = F.aggregate(common, F.lit(0), lambda a, t: a + F.col("org_weights")[t])
+    return pairs.withColumn("hits", F.aggregate(common, F.lit(0), lambda a, t: a + F.col("org_weights")[t]))
+
+
+def points_v1() -> dict[str, Column]:
+    """The five dimensions over a pair's columns and hits, whether or not the pair passes the gate."""
     unique = F.size("org_weights")
-    ratio = F.when(unique > 0, F.col("_hits") / F.least(unique, F.lit(20))).otherwise(0.0)
-    points = {
-        "mission_topic_fit": js_round(F.least(F.lit(60.0), ratio * 60 + F.when(F.col("_hits") > 0, 8).otherwise(0))).cast("long"),
+    ratio = F.when(unique > 0, F.col("hits") / F.least(unique, F.lit(20))).otherwise(0.0)
+    return {
+        "mission_topic_fit": js_round(F.least(F.lit(60.0), ratio * 60 + F.when(F.col("hits") > 0, 8).otherwise(0))).cast("long"),
         "eligibility_fit": _eligibility_points(10, 10, 20),
         "geography_fit": _by(geography_level(), {"open": 7, "match": 10, "none": 0}),
         "funding_size_fit": _by(funding_level(), {"unknown": 3, "ideal": 5, "near": 3, "small": 1, "large": 1, "partial": 2}),
         "maturity_fit": _maturity((5, 3, 4, 2, 3, 1)),
     }
-    out = pairs.withColumn("_hits", hits).withColumn("passes_eligibility", passes_eligibility())
-    out = out.withColumns({k: F.when(F.col("passes_eligibility"), v).otherwise(F.lit(0).cast("long")) for k, v in points.items()})
-    return out.withColumn("total", sum((F.col(k) for k in DIMENSIONS[1:]), F.col(DIMENSIONS[0]))).drop("_hits")
+
+
+def score_v1(pairs: DataFrame) -> DataFrame:
+    """Adds the five dimensions, total and passes_eligibility; a pair that fails the gate scores 0 everywhere."""
+    out = with_hits(pairs).withColumn("passes_eligibility", passes_eligibility())
+    out = out.withColumns({k: F.when(F.col("passes_eligibility"), v).otherwise(F.lit(0).cast("long")) for k, v in points_v1().items()})
+    return out.withColumn("total", sum((F.col(k) for k in DIMENSIONS[1:]), F.col(DIMENSIONS[0]))).drop("hits")
 
 
 def score_audit(pairs: DataFrame, weights: tuple[int, ...] = VARIANTS["v1_current"][0], synonyms: bool = False) -> DataFrame:

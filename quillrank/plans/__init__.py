@@ -1,0 +1,14 @@
+"""All of the engine's queries and their SQL twins."""
+
+from __future__ import annotations
+
+from . import oracle, oracle_v2, queries_v2
+from . import queries as queries_v1
+
+
+def queries() -> dict:
+    return queries_v1.queries() | queries_v2.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql() | oracle_v2.oracle_sql() | oracle_v2.hybrid_sql()
