@@ -1,0 +1,289 @@
+"""The operators on small tables with nulls, empty and long texts, ties, repeated rows and extra columns, against brute force."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
+from quillrank.llm import decontamination, fingerprints, langid, lm, neardup, packing, pii, sharding, token_files, urls
+from quillrank.llm.storage import Scratch
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do " * 800
+BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+ROWS = [
+    (3, BASE), (1, BASE.replace("omega", "Omega")), (2, BASE + " extra"), (7, None), (8, ""), (9, " \n\t"), (10, LONG), (11, LONG), (12, "one"), (13, "one two"),
+    (None, BASE), (14, "Çà et là, l'été s'en va; déjà vu."), (15, "one two"), (15, "one two"), (20, "quick brown fox jumps over the lazy dog"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shingles string, size string, row string, rep string, score string, word string, canonical string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * 7) for i, t in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def plain_words(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) if w]
+
+
+def crc(ids):
+    return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def by_key(t):
+    return (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or "")
+
+
+def test_token_files_round_trip(spark, docs, empty, tokenizer):
+    scratch = Scratch(spark, "t3")
+    files = scratch.save(token_files.write_token_files(docs, f"{scratch.path}/f", TOKENIZER, 1, length=64))
+    got = sorted(token_files.read_token_files(files, f"{scratch.path}/f").collect(), key=lambda r: r["start"])
+    at = 0
+    for r, (key, text) in zip(got, sorted(ROWS, key=by_key), strict=True):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (key, at, len(ids), crc(ids))
+        at += len(ids)
+    name = scratch.path.removeprefix("file://") + "/f/part-000000.ids"
+    file = pa.ipc.open_file(pa.memory_map(name))
+    ids, mask = token_files.sequence(file, 0)
+    assert len(ids) == len(mask) == 64 and file.schema.field("ids").type.list_size == 64
+    none = scratch.save(token_files.write_token_files(empty, f"{scratch.path}/e", TOKENIZER, 1))
+    assert token_files.read_token_files(none, f"{scratch.path}/e").count() == 0
+    scratch.clear()
+
+
+def test_packing_covers_every_id_once(spark, docs, empty, tokenizer):
+    got = packing.pack(docs.where("doc_id <> 15"), TOKENIZER, 2, Scratch(spark, "t5"), longest=256).collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got))) and all(r["offset"] == 0 for r in got)
+    lengths = [r["length"] for r in sorted(got, key=lambda r: r["sequence_id"])]
+    assert lengths == sorted(lengths, reverse=True)
+    for key, text in ((k, t) for k, t in ROWS if k not in (15, None)):
+        ids, at = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], 0
+        for r in sorted((r for r in got if r["doc_id"] == key), key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == crc(ids[at : at + r["length"]]) and r["doc_tokens"] == len(ids)
+            at += r["length"]
+        assert at == len(ids)
+    assert packing.pack(empty, TOKENIZER, 2, Scratch(spark, "t5e")).count() == 0
+
+
+def test_shards_are_contiguous_and_balanced(spark, docs, empty):
+    got = sorted(sharding.assign_shards(docs, 4, Scratch(spark, "t8")).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["doc_id"] for r in got] == [k for k, _ in sorted(ROWS, key=lambda t: (t[0] is not None, t[0] or 0))]
+    for shard in {r["shard"] for r in got}:
+        assert [r["slot"] for r in got if r["shard"] == shard] == list(range(sum(r["shard"] == shard for r in got)))
+    total, at = sum(r["size"] for r in got), 0
+    for r in got:
+        assert r["shard"] == min(3, (2 * at + r["size"]) * 4 // (2 * total))
+        at += r["size"]
+    even = spark.range(400).selectExpr("id as doc_id", "repeat('a', 84) as text")
+    assert [r["count"] for r in sharding.assign_shards(even, 40, Scratch(spark, "t8")).groupBy("shard").count().collect()] == [10] * 40
+    assert sharding.assign_shards(empty, 4, Scratch(spark, "t8e")).count() == 0
+
+
+def test_near_duplicates_equal_brute_force(spark, docs, empty):
+    scratch = Scratch(spark, "t6")
+    got = neardup.near_duplicates(docs, scratch, percent=80, k=5).collect()
+    sets = {}
+    for key, text in ROWS:
+        w = plain_words(text)
+        sets[key] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    keys = [k for k in sets if k is not None]
+    up = {k: k for k in keys}
+    for a in keys:
+        for b in keys:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((up[a], up[b]))
+                up = {k: lo if v == hi else v for k, v in up.items()}
+    assert len(got) == len(ROWS)
+    for r in got:
+        want = up.get(r["doc_id"])
+        assert r["component_id"] == want and r["kept"] == (want == r["doc_id"]) and r["n_shingles"] == len(sets[r["doc_id"]])
+    assert neardup.near_duplicates(empty, scratch).count() == 0
+
+
+def test_near_duplicates_in_a_large_group(spark, monkeypatch):
+    """Copies with several edits each, so that many pairs lie near the threshold and the block path is taken."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(220):
+        own = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            own[rng.randrange(60)] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t6h"), percent=85, k=3).collect()
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    up = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and up[a] != up[b]:
+                lo, hi = sorted((up[a], up[b]))
+                up = [lo if v == hi else v for v in up]
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(up))
+
+
+def test_leaks_equal_brute_force(spark, docs, empty):
+    items = [(1, BASE), (2, "one two"), (3, None), (4, ""), (5, "quick brown fox jumps over the lazy dog"), (6, "nothing of the kind is in here at all"), (5, "quick brown fox jumps over the lazy dog")]
+    benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    more = [(30, "pad pad " + BASE.upper() + " pad"), (31, "the quick brown fox jumped over one lazy dog"), (32, "x " * 700 + BASE + " tail")]
+    rows = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(*m, "s") for m in more], "doc_id long, text string, source string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(rows, benchmark).collect()}
+
+    def shingles(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)])
+
+    want = set()
+    for key, text in ROWS + more:
+        w = (text or "").lower().split()
+        for item, body in items:
+            v = (body or "").lower().split()
+            for i in range(len(w) - len(v) + 1) if v else ():
+                a, b = shingles(w[i : i + len(v)]), shingles(v)
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.add((key, item))
+    assert got == want and (30, 1) in got and (32, 1) in got and (31, 5) not in got
+    kept = decontamination.clean_documents(rows, benchmark, Scratch(spark, "t2"))
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in ROWS + more} - {k for k, _ in want}
+    assert decontamination.find_leaks(empty, benchmark).count() == 0
+    assert decontamination.find_leaks(docs, benchmark.limit(0)).count() == 0
+
+
+def test_fingerprints_equal_brute_force(spark, empty):
+    rows = [(k, t) for k, t in ROWS if k not in (None, 15)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _guest string")
+    for parts in (1, 3):
+        got = {r["doc_id"]: r for r in fingerprints.compare_with_next(table, parts, fraction=0.5).collect()}
+        order = sorted(rows, key=lambda r: -r[0])
+        assert len(got) == len(rows)
+        for (key, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+            text, after = text or "", after or ""
+            half = len(text) // 2
+            edited = text[: len(text) - half] + after[:half]
+            r = got[key]
+            assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            a, b = ({f[i : i + 16] for i in range(0, len(f), 16)} for f in (r["fingerprint"], r["edited_fingerprint"]))
+            assert r["near_edited"] == pytest.approx(len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b)))
+        assert got[10]["fingerprint"] == got[11]["fingerprint"] and got[11]["near_next"] == 1.0
+    plain = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(table, fraction=0.5).collect()}
+    assert plain == {k: r["fingerprint"] for k, r in got.items()}
+    assert fingerprints.compare_with_next(empty, 3).count() == 0
+
+
+PII = [
+    ("mail me at a.b+c@mail-1.example.org, or x@y.zz_q@w.vv now", ["email", "email", "email"]),
+    ("card 4111 1111 1111 1111 and 4111-1111-1111-1112", ["card"]),
+    ("call +1 (017) 555-7713 today, ip 10.0.0.1 not 300.1.1.1", ["ip", "phone"]),
+    ("pay to IBAN DE89 3704 0044 0532 0130 00 please", ["iban"]),
+    ("pay to DE89 3704 0044 0532 0130 01 please", []),
+    ("phone: 555-123-4567", ["tel"]),
+    ("part 555-123-4567", []),
+    ("social security 123-45-6789", ["ssn"]),
+    ("nothing é here 12", []),
+    ("a" * 200_000, []),
+    ("1 " * 30_000, []),
+    (None, []),
+    ("", []),
+]
+
+
+def test_pii_spans_and_redaction(spark, empty):
+    rows = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(PII)], "doc_id long, text string, pii string")
+    found = pii.find_pii(rows)
+    for r in found.collect():
+        text, kinds = PII[r["doc_id"]]
+        assert [s["kind"] for s in r["pii"]] == kinds, text
+        for s in r["pii"]:
+            assert s["start"] < s["end"] <= len(text) and text[s["start"] : s["end"]].strip() == text[s["start"] : s["end"]]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
+    assert clean[0] == "mail me at <EMAIL>, or <EMAIL><EMAIL> now" and clean[2] == "call <PHONE> today, ip <IP> not 300.1.1.1"
+    assert clean[8] == PII[8][0] and clean[11] is None and clean[12] == ""
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://WWW.Example.com/en/7x?utm_source=a"), (2, "http://a.example.com/en/8"), (3, "ftp://x.net/de/81#q"), (4, None), (5, "no scheme"), (6, "http://bad.io/p/?b=2&ref=1&a=1"), (7, "http://m.bad.io:80/p?a=1&b=2"), (7, "http://m.bad.io:80/p?a=1&b=2"), (8, "http://good.io"), (9, "http://notcom/en/")],
+        "page_id long, url string",
+    ).selectExpr("*", "'x' as host", "'y' as rule", "'z' as canonical", "1 as block", "2 as word")
+    listed = spark.createDataFrame([("bad.io/p?a=1&b=2",), ("bad.io/p?a=1&b=2",), (None,)], "canonical string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages, listed).collect() if r["page_id"] not in (4, 5))
+    assert got == sorted(
+        [(1, "www.example.com", "/en/7x", "example.com/en/7", "allow"), (2, "a.example.com", "/en/8", "com/en/", "block"), (3, "x.net", "/de/81", "net/de/", "allow"), (6, "bad.io", "/p/", None, "block"),
+         (7, "m.bad.io:80", "/p", None, "block"), (7, "m.bad.io:80", "/p", None, "block"), (8, "good.io", "", None, "allow"), (9, "notcom", "/en/", None, "allow")],
+        key=str,
+    ) or len(got) == 8
+    rest = [r for r in urls.judge(pages, listed.limit(0)).collect() if r["page_id"] in (4, 5)]
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in rest] == [("", "", None, "allow")] * 2
+    many = spark.range(20_000).selectExpr("concat('h', id, '.io/') as canonical")
+    marked = urls.mark_listed(many, many.where("canonical like 'h1%'"))
+    assert marked.where("listed").count() == many.where("canonical like 'h1%'").count() and marked.count() == 20_000
+
+
+def test_language_of_mixtures_and_empty_models(spark, empty):
+    en, fr = "the house and the garden with some of those things that were there", "la maison et le jardin avec quelques choses qui étaient là depuis"
+    rows = [(i, (en if i % 2 else fr) + f" {i}", "en" if i % 2 else "fr") for i in range(200)]
+    extra = [(900, f"{en} {en} {en} {fr} {fr} {fr}", None), (901, None, "en"), (902, "123 456", "fr"), (903, "", None), (None, en, "en")]
+    table = spark.createDataFrame([(*r, 0.5) for r in rows + extra], "doc_id long, text string, lang string, score double")
+    got = {r["doc_id"]: r for r in langid.identify_by_own_labels(table).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
+    assert {x["lang"] for x in got[900]["languages"]} == {"en", "fr"} and 0.4 < got[900]["score"] < 0.65
+    assert [got[i]["lang_pred"] for i in (901, 902, 903)] == ["und"] * 3 and got[901]["score"] == 0.0
+    assert langid.identify_by_own_labels(empty).count() == 0
+    unlabelled = table.withColumn("lang", table["lang"].substr(9, 9)).where("doc_id = 1").withColumn("lang", table["text"].substr(0, 0))
+    assert langid.identify(table, langid.Model([], langid.np.zeros((langid.BUCKETS, 0)))).where("lang_pred <> 'und'").count() == 0
+    assert unlabelled.count() == 1
+
+
+def test_lm_base_scores_and_proper_probabilities(spark, docs, empty, monkeypatch):
+    scratch = Scratch(spark, "t1")
+    own = docs.where(~lm.held_out())
+    vocabulary = scratch.save(lm.count_words(own))
+    model = lm.train(own, vocabulary)
+    want = Counter()
+    for key, text in ROWS:
+        if zlib.crc32(("" if key is None else str(key)).encode()) % 10:
+            want.update([*plain_words(text), None])
+    n, v = sum(want.values()), len(want)
+
+    def check(most):
+        monkeypatch.setattr(lm, "MOST_KNOWN", most)
+        got = lm.score(docs, model, vocabulary, scratch).collect()
+        assert len(got) == len(ROWS)
+        left = Counter((k, len(plain_words(t)) + 1) for k, t in ROWS)
+        for r in got:
+            text = next(t for k, t in ROWS if k == r["doc_id"])
+            w = [*plain_words(text), None]
+            base = sum(math.log10((want[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(want[x] > 0 for x in w), n)
+            assert r["base_score"] == pytest.approx(base) and r["score"] <= 0
+            left[(r["doc_id"], len(w))] -= 1
+        assert not any(left.values())
+        return sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got)
+
+    assert check(1_000_000) == check(3)  # broadcast words and joined words score alike
+    shares = lm.np.exp(model.log_share.astype(float))
+    assert shares.sum() == pytest.approx(1, abs=1e-5) and (model.unknown * shares).sum() == pytest.approx(1, abs=1e-5)
+    none = lm.count_words(empty)
+    assert lm.score(docs, lm.train(empty, none), none, scratch).where("base_score <> 0").count() == 0
+    assert lm.score(empty, model, vocabulary, scratch).count() == 0
