@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 
+LINKS_A_TASK = 250_000
+
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one partition; gives each node that isn't its group's smallest a link to that one."""
@@ -42,19 +44,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, scratch: Scratch, partitions: int | None = None) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of links (a, b long) that isn't the smallest of its component.
 
+    Tasks take LINKS_A_TASK links each. Star contractions follow until nothing changes; links that fit in one task are done after it.
     Nulls link nothing. Repeated links and loops do no harm. No links give an empty table.
     """
     clean = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    dealt = clean.repartition(partitions, F.least("a", "b")) if partitions else clean.repartition(F.least("a", "b"))
-    now = scratch.save(dealt.mapInArrow(_local, "a long, b long").distinct(), "stars")
+    parts = max(1, -(-clean.count() // LINKS_A_TASK))
+    dealt = clean.repartition(parts, F.least("a", "b")) if parts > 1 else clean.repartition(1)
+    now = scratch.save(dealt.mapInArrow(_local, "a long, b long"), "stars")
     state = None
-    while True:
+    while parts > 1:
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == state or not new[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if new == state:
+            break
         state = new
         old, now = now, scratch.save(_star(_star(now, large=True), large=False), "stars")
         scratch.drop(old)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
