@@ -91,18 +91,18 @@ def contained(text: Column, phrases: tuple[str, ...]) -> Column:
     return F.filter(strings(phrases), lambda p: text.contains(p))
 
 
-def population_tags(text: Column) -> Column:
+def population_tags(text: Column, table: dict[int, tuple[str, ...]] = POPULATIONS) -> Column:
     """The populations a normalized text names, without those that are part of a longer one it names."""
-    every = tuple(p for level in POPULATIONS.values() for p in level)
+    every = tuple(p for level in table.values() for p in level)
     found = contained(text, every)
     return F.filter(found, lambda t: ~F.exists(found, lambda o: (o != t) & o.contains(t)))
 
 
-def specificity(tags: Column) -> Column:
+def specificity(tags: Column, table: dict[int, tuple[str, ...]] = POPULATIONS) -> Column:
     """The highest specificity among population tags; null if there are none."""
     out = F.lit(None).cast("int")
-    for level in sorted(POPULATIONS):
-        out = F.when(F.arrays_overlap(tags, strings(POPULATIONS[level])), level).otherwise(out)
+    for level in sorted(table):
+        out = F.when(F.arrays_overlap(tags, strings(table[level])), level).otherwise(out)
     return out
 
 
@@ -176,11 +176,11 @@ def passes() -> Column:
     return (F.size(e) == 0) | ~(exempt | business | nonprofit | government)
 
 
-def eligibility() -> Column:
+def eligibility(satisfies: dict[str, tuple[str, ...]] = SATISFIES) -> Column:
     e = F.col("elig")
     any_of = lambda *v: F.arrays_overlap(e, strings(v))
     listed = F.lit(False)
-    for c, values in SATISFIES.items():
+    for c, values in satisfies.items():
         listed = listed | ((F.col("org_class") == c) & any_of(*values))
     best = F.when(F.col("org_has_501c3") & any_of("501c3"), 10).when(F.col("org_is_small_business") & any_of("small_business", "for_profit"), 9).otherwise(8)
     return F.when(F.size(e) == 0, 6).when(any_of("all"), 8).when(listed, best).otherwise(5)
