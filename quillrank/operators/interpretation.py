@@ -1,4 +1,4 @@
-"""Interpretation of an opportunity's own text: cleaned title, activities, populations, intended organizations, type and geographic scope."""
+"""Interpretation of an opportunity's own text: cleaned title, activities, intended organizations, type and geographic scope."""
 
 from __future__ import annotations
 
@@ -63,10 +63,12 @@ SCOPES = {"world_bank": "international", "ted_eu": "international", "threesixtyg
 
 def clean_title(title: Column) -> Column:
     """The title without prefixes, as long as more than ten characters remain each time, and without a trailing code."""
-    out = F.trim(F.coalesce(title, F.lit("")))
-    for p in PREFIXES:
-        shorter = F.trim(F.regexp_replace(out, p, ""))
-        out = F.when(F.length(shorter) > 10, shorter).otherwise(out)
+
+    def shorten(t: Column, prefix: Column) -> Column:
+        shorter = F.trim(F.regexp_replace(t, prefix, F.lit("")))
+        return F.when(F.length(shorter) > 10, shorter).otherwise(t)
+
+    out = F.aggregate(strings(PREFIXES), F.trim(F.coalesce(title, F.lit(""))), shorten)
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(out, SUFFIX, "")), r"\s{2,}", " "))
 
 
