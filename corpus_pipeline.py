@@ -57,7 +57,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the documents into sequences of power-of-two lengths; one row per piece."""
+    """Cuts the documents into sequences of power-of-two lengths; one row per sequence, with its ids."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, Scratch(spark, "pipeline-pack"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,11 @@ class Scratch:
         self.spark, self.path, self.made = spark, f"{shared_folder(spark)}/quillrank/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame, name: str = "table") -> DataFrame:
-        """The same rows, read back from Parquet."""
+    def save(self, df: DataFrame, name: str = "table", by: Sequence[str] = ()) -> DataFrame:
+        """The same rows, read back from Parquet, which has a folder for each value of the columns `by`."""
         self.made += 1
         path = f"{self.path}/{self.made}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=list(by) or None)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

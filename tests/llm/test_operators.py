@@ -84,6 +84,25 @@ def test_packing_covers_every_id_once(spark, docs, empty, tokenizer):
     assert packing.pack(empty, TOKENIZER, 2, Scratch(spark, "t5e")).count() == 0
 
 
+def test_packed_sequences_are_written_with_their_ids(spark, docs, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 4_000)  # several parts for each length
+    scratch = Scratch(spark, "t5w")
+    got = packing.pack(docs, TOKENIZER, 2, scratch, longest=256).collect()
+    want = Counter()
+    for key, text in ROWS:
+        ids, at = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], 0
+        for n in packing.pieces_of(len(ids), 256):
+            want[(key, at, tuple(ids[at : at + n]))] += 1
+            at += n
+    assert Counter((r["doc_id"], r["start"], tuple(r["ids"])) for r in got) == want
+    order = [(-r["length"], *((r["doc_id"] is not None, r["doc_id"] or 0)), r["start"], r["ids_crc32"]) for r in sorted(got, key=lambda r: r["sequence_id"])]
+    assert order == sorted(order) and sorted(r["sequence_id"] for r in got) == list(range(len(got)))
+    assert all(r["length"] == len(r["ids"]) and r["ids_crc32"] == crc(r["ids"]) for r in got)
+    written = spark.read.parquet(f"{scratch.path}/2-sequences/length=256")
+    assert {len(r["ids"]) for r in written.collect()} == {512} and written.select("part").distinct().count() > 1
+    scratch.clear()
+
+
 def test_shards_are_contiguous_and_balanced(spark, docs, empty):
     got = sorted(sharding.assign_shards(docs, 4, Scratch(spark, "t8")).collect(), key=lambda r: (r["shard"], r["slot"]))
     assert [r["doc_id"] for r in got] == [k for k, _ in sorted(ROWS, key=lambda t: (t[0] is not None, t[0] or 0))]
