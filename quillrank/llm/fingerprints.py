@@ -1,8 +1,8 @@
 """Operator 10: threshold-scaled document sketches.
 
-A sketch keeps every 5-word shingle hash below a fixed fraction of the hash range. Sketches of parts merge by union,
-two sketches of very unequal texts compare fairly, and the kept share of each set estimates containment.
-A text that has shingles but none below the threshold keeps its smallest one, so that only a text without words has an empty sketch.
+A sketch keeps every 5-word shingle hash below a fraction of the hash range: all of them for a text of at most FEW shingles, FRACTION of the range
+for a longer one. The fraction goes with the sketch. Two sketches are compared at the smaller of their fractions, to which the other is cut down, and
+sketches of parts cut down in that way merge by union; so very unequal texts compare fairly, and the kept share of each set estimates containment.
 """
 
 from __future__ import annotations
@@ -19,26 +19,34 @@ from pyspark.sql import types as T
 from . import words
 
 WORDS = 5
-FRACTION = 1 / 16
+FRACTION = 1 / 2
+FEW = 256  # distinct shingles
 
 
-def sketches(column: pa.Array, fraction: float = FRACTION, k: int = WORDS) -> list[np.ndarray]:
-    """The sorted kept hashes of each text."""
+def sketches(column: pa.Array, fraction: float = FRACTION, k: int = WORDS) -> list[tuple[np.ndarray, float]]:
+    """The sorted kept hashes of each text, and the fraction of the range that they are kept from."""
     found, edge = words.row_shingles(column, k)
-    kept = np.flatnonzero(found < np.uint64(int(fraction * 2.0**64) - 1))
-    at = np.searchsorted(kept, edge)
     out = []
     for r in range(len(edge) - 1):
-        own = np.unique(found[kept[at[r] : at[r + 1]]])
-        out.append(own if len(own) or edge[r] == edge[r + 1] else found[edge[r] : edge[r + 1]].min()[None])
+        own = np.unique(found[edge[r] : edge[r + 1]])
+        out.append((own, 1.0) if len(own) <= FEW else (cut(own, fraction), fraction))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The estimated share of the smaller shingle set that the larger one contains; of two empty sketches, 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+def cut(hashes: np.ndarray, fraction: float) -> np.ndarray:
+    """The part of a sketch's sorted hashes that lies below a fraction of the range."""
+    return hashes if fraction >= 1 else hashes[: np.searchsorted(hashes, np.uint64(int(fraction * 2.0**64)))]
+
+
+def likeness(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float]) -> float | None:
+    """The estimated share of the smaller shingle set that the larger one contains; of two texts without shingles, 1, and of one, 0.
+
+    None where a text has shingles and none of them below the other's fraction, so that nothing is known.
+    """
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    x, y = (cut(s[0], min(a[1], b[1])) for s in (a, b))
+    return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y)) if len(x) and len(y) else None
 
 
 def written(sketch: np.ndarray) -> str:
@@ -47,14 +55,15 @@ def written(sketch: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", fraction: float = FRACTION) -> DataFrame:
-    """Returns doc_id and fingerprint for every row; a null text counts as empty. Other columns are ignored."""
+    """Returns doc_id, fingerprint and the fraction it was kept from for every row; a null text counts as empty. Other columns are ignored."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in words.pieces(batch):
-                yield pa.record_batch([some.column("doc_id"), pa.array(map(written, sketches(some.column("text"), fraction)), pa.string())], names=["doc_id", "fingerprint"])
+                marks = sketches(some.column("text"), fraction)
+                yield pa.record_batch([some.column("doc_id"), pa.array([written(m) for m, _ in marks], pa.string()), pa.array([f for _, f in marks])], names=["doc_id", "fingerprint", "fraction"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sketch, "doc_id long, fingerprint string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sketch, "doc_id long, fingerprint string, fraction double")
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -115,16 +124,18 @@ def compare_with_next(docs: DataFrame, parts: int, key: str = "doc_id", text: st
                         pa.array([r[0] for r in mine], pa.int64()),
                         pa.array([len(r[1]) for r in mine], pa.int64()),
                         pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                        pa.array([written(r[2]) for r in mine], pa.string()),
-                        pa.array(map(written, marks), pa.string()),
+                        pa.array([written(r[2][0]) for r in mine], pa.string()),
+                        pa.array([written(m) for m, _ in marks], pa.string()),
                         pa.array([likeness(r[2], m) for r, m in zip(mine, marks, strict=True)], pa.float64()),
                         pa.array([likeness(r[2], n[2]) for r, n in zip(mine, after, strict=True)], pa.float64()),
+                        pa.array([r[2][1] for r in mine], pa.float64()),
+                        pa.array([f for _, f in marks], pa.float64()),
                     ],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "fraction", "edited_fraction"],
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fraction double, edited_fraction double"
     return with_next(rows, parts).mapInArrow(compare, schema)
 
 

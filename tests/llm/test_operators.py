@@ -209,6 +209,28 @@ def test_fingerprints_equal_brute_force(spark, empty):
     assert fingerprints.compare_with_next(empty, 3).count() == 0
 
 
+def test_sketches_at_the_registered_settings_against_exact_containment(spark):
+    import random
+
+    rng = random.Random(3)
+    drawn = lambda n: " ".join(f"w{rng.randrange(5_000)}" for _ in range(n))
+    rows = [(i, drawn(n)) for i, n in enumerate([20, 30, 50] * 40 + [700, 3_000] * 5)]
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+
+    def exact(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(x & y) / min(len(x), len(y)), max(len(x), len(y))
+
+    order = sorted(rows, reverse=True)
+    for (key, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        want, n = exact(text, text[: len(text) - len(text) // 2] + after[: len(text) // 2])
+        assert got[key]["near_edited"] == pytest.approx(want, abs=0 if n <= fingerprints.FEW else 0.12)
+        assert got[key]["fraction"] == (1.0 if len(text.split()) < 260 else 0.5)
+    short, long = rows[1][1], rows[-1][1]
+    one, other, whole = fingerprints.sketches(pa.array([short, long, f"{long} {short}"]))
+    assert fingerprints.likeness(one, whole) == 1.0 and fingerprints.likeness(other, whole) == 1.0 and fingerprints.likeness(one, other) == 0.0
+
+
 PII = [
     ("mail me at a.b+c@mail-1.example.org, or x@y.zz_q@w.vv now", ["email", "email", "email"]),
     ("card 4111 1111 1111 1111 and 4111-1111-1111-1112", ["card"]),
