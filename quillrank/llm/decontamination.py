@@ -117,6 +117,7 @@ def _runs(first: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +138,10 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
                             best[item] = (value, start, length)
                     rows += [(keys[r].as_py(), item, start, length, value) for item, (value, start, length) in best.items()]
                 if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (keys.type, pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
                     yield pa.record_batch(columns, names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, similarity double")
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, item_id long, first_word long, n_words long, similarity double")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -150,7 +151,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     has one shingle, all of it, and so matches only exactly. Of equally similar windows the first is returned. Repeated items with one id count as one,
     by their best window; repeated documents give repeated rows. Null keys are returned as they are. Empty tables give an empty result.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    return _find(docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text")), benchmark, item, item_text)
+
+
+def _find(rows: DataFrame, benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text")).where("text is not null and item_id is not null").distinct()
     out, held, size = None, [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
@@ -166,10 +170,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns. Documents without a key are searched one by one like any others."""
-    numbered = docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    leaks = scratch.save(find_leaks(numbered, benchmark, key="_key").select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return numbered.join(bounded(leaks), "_key", "left_anti").drop("_key")
+    """The documents that hold no benchmark item, with all their columns. Each row is judged by its own text, whatever other rows share its key or have none.
+
+    Null-safe keys and 128-bit digests of the text name the rows that leak, so that rows go together only if key and text are equal.
+    """
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), digest)
+    named = docs.withColumn("_row", name)
+    rows = named.select(F.col("_row").alias("doc_id"), F.lower(F.col("text")).alias("text"))
+    leaks = scratch.save(_find(rows, benchmark).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return named.join(bounded(leaks, 500_000), "_row", "left_anti").drop("_row")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,14 @@ def test_leaks_equal_brute_force(spark, docs, empty):
     assert decontamination.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_clean_documents_judges_each_row_by_itself(spark):
+    rows = [(None, "pad " + BASE), (None, "clean text without any item"), (None, None), (None, ""), (1, BASE), (1, "another clean text"), (1, None), (-(1 << 63), "the smallest key"), (2, BASE)]
+    benchmark = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    kept = decontamination.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), benchmark, Scratch(spark, "t2n"))
+    assert kept.columns == ["doc_id", "text"]
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if BASE not in (r[1] or ""))
+
+
 def test_fingerprints_equal_brute_force(spark, empty):
     rows = [(k, t) for k, t in ROWS if k not in (None, 15)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _guest string")
