@@ -3,8 +3,9 @@
 A text is cut at ASCII blanks, and between an ASCII letter and a following ASCII punctuation mark other than the
 apostrophe. The tokenizers used here never join characters across such places, so a text's ids are its pieces' ids in
 a row. Each Python worker keeps the ids of the pieces it has seen in flat arrays, so that a frequent word is encoded
-once and not a million times; the memory is bounded by `_MOST` pieces, after which the worker starts afresh. Texts that
-hold the string of a special token are encoded whole, so that they too get the ids that the library gives them. A new
+once and not a million times; the memory is bounded by `_MOST` pieces and `_MOST_BYTES` of them, after which the worker starts afresh. Texts that
+hold the string of a special token are encoded whole, so that they too get the ids that the library gives them. Pieces are found by
+a 64-bit hash and then compared byte by byte; a text with a piece that shares another's hash is encoded whole too. A new
 encoder first checks on a probe that piece-wise and whole-text encoding agree, and refuses the tokenizer otherwise.
 """
 
@@ -18,7 +19,8 @@ import pyarrow as pa
 
 from . import words
 
-_MOST = 1_500_000
+_MOST = 1_000_000
+_MOST_BYTES = 32 << 20
 _LOADED: dict[str, Encoder] = {}
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -48,6 +50,21 @@ class Encoder:
         self.tiers: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes and their slots, each at most half the one before
         self.n, self.start, self.count = 0, np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.used, self.ids = 0, np.empty(1 << 20, self.dtype)
+        self.filled, self.bytes = 0, np.zeros(1 << 20, np.uint8)
+        self.byte_at, self.byte_count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
+
+    def _keep(self, texts: list[bytes]) -> None:
+        """Stores the bytes of the pieces that are about to be learned."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        total = int(sizes.sum())
+        while self.filled + total + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        while self.n + len(texts) > len(self.byte_at):
+            self.byte_at, self.byte_count = (np.concatenate([x, np.empty_like(x)]) for x in (self.byte_at, self.byte_count))
+        self.bytes[self.filled : self.filled + total] = np.frombuffer(b"".join(texts), np.uint8)
+        self.byte_at[self.n : self.n + len(texts)] = self.filled + np.cumsum(sizes) - sizes
+        self.byte_count[self.n : self.n + len(texts)] = sizes
+        self.filled += total
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         for lo in range(0, len(texts), 5_000):
@@ -99,31 +116,42 @@ class Encoder:
         cut[np.flatnonzero(stop) - 1] = True
         ends = np.flatnonzero(cut) + 1
         code, distinct = pd.factorize(words.hashes(data, starts, ends, lower=self.lower))
-        if self.n + len(distinct) > _MOST:
+        if self.n + len(distinct) > _MOST or self.filled > _MOST_BYTES:
             self.forget()
         slot = self._find(distinct)
-        new = np.flatnonzero(slot < 0)
+        first, size = np.empty(len(distinct), np.int64), ends - starts
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        new, old = np.flatnonzero(slot < 0), np.flatnonzero(slot >= 0)
+        raw = words.padded(data, self.lower)
+        same = (size == size[first[code]]) & words.equal(raw, starts, raw, starts[first[code]], size)
+        if len(old):
+            known, own = slot[old], first[old]
+            fits = self.byte_count[known] == size[own]
+            fits[fits] = words.equal(self.bytes, self.byte_at[known[fits]], raw, starts[own[fits]], size[own[fits]])
+            if not fits.all():
+                same &= ~np.isin(code, old[~fits])
         if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            raw, first = data.tobytes(), first[new]
-            texts = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            own = first[new]
+            kept = [raw[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+            texts = [k.decode() for k in kept]
             plain = np.fromiter(map(str.isalpha, texts), bool, len(texts))
             for some in (np.flatnonzero(plain), np.flatnonzero(~plain)):
                 if len(some):
                     slot[new[some]] = np.arange(self.n, self.n + len(some))
+                    self._keep([kept[i] for i in some])
                     self._learn(distinct[new[some]], [texts[i] for i in some])
         lo, n = self.start[slot][code], self.count[slot][code]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(lo - upto[:-1], n) + np.arange(upto[-1])]
         edge = upto[np.searchsorted(starts, at)]
-        for r in self._with_special(data, at):
+        strange = np.searchsorted(at, starts[~same], side="right") - 1
+        for r in sorted({*self._with_special(data, at), *strange.tolist()}):
             own = np.array(self._plain(data[at[r] : at[r + 1]].tobytes().decode()), self.dtype)
             ids = np.concatenate([ids[: edge[r]], own, ids[edge[r + 1] :]])
             edge[r + 1 :] += edge[r] + len(own) - edge[r + 1]
         return ids, edge
 
-    def _with_special(self, data: np.ndarray, at: np.ndarray) -> list[int]:
+    def _with_special(self, data: np.ndarray, at: np.ndarray) -> set[int]:
         """The rows in which a special token's string occurs, in any case."""
         low, found = words.lowered(data).tobytes(), set()
         for s in self.special:
@@ -131,7 +159,7 @@ class Encoder:
             while i >= 0:
                 found.add(int(np.searchsorted(at, i, side="right")) - 1)
                 i = low.find(s, i + 1)
-        return sorted(found)
+        return found
 
 
 def encoder(path: str) -> Encoder:

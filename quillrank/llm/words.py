@@ -5,18 +5,18 @@ A-Z has been lower-cased. UTF-8 never uses those bytes inside a longer character
 the same words as working on characters. A null text counts as empty.
 
 Everything here runs inside Spark tasks, a few megabytes of text at a time: `pieces` cuts a record batch so that
-the working arrays stay bounded whatever the batch holds, and one very long text is hashed block by block.
+the working arrays stay bounded whatever the batch holds; only one very long text has larger ones, in proportion to itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BLOCK = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,16 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_STEP))
-_POWER = np.ones(_BLOCK + 1, np.uint64)
-np.cumprod(np.full(_BLOCK, 0xD6E8FEB86659FD93, np.uint64), out=_POWER[1:])
+#: By length: what a word's first block is mixed with, and the bytes of a block that belong to the word.
+_LONG = 64
+_SEED = mix(np.arange(_LONG + 2, dtype=np.uint64) * _U(_STEP) + _U(0xD6E8FEB86659FD93))
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    return _POWER if n <= _BLOCK else np.concatenate([[_U(1)], np.cumprod(np.full(n, 0xD6E8FEB86659FD93, np.uint64))])
-
-
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batch with about `most` bytes of text each; a longer text gets a slice of its own."""
     _, at = utf8(batch.column(column))
     lo = 0
@@ -80,23 +77,50 @@ def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+def padded(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A copy of the bytes, lower-cased if asked, with 8 zeros behind."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    out[:-8] = _LOWER[data] if lower else data
+    return out
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of a padded array, as one number."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums of byte weights times powers of an odd number."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        base = starts[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, base + _BLOCK, side="right")))
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        n = int(e[-1])
-        power, raw = _powers(n), data[base : base + n]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * power[:n], out=total[1:])
-        # Words of one block are brought to the same power. A block longer than usual holds a single word, which
-        # starts at 0 and is scaled by the power that all other words get.
-        out[lo:hi] = mix((total[e] - total[s]) * _POWER[_BLOCK - s])
-        lo = hi
-    return out ^ (ends - starts).astype(np.uint64)
+    """A 64-bit hash of each word.
+
+    Words of one length up to 8 bytes have different hashes. Longer ones are mixed block by block with bijections that are not linear, so that no
+    pattern of bytes collides by construction; words above 64 bytes are digested by BLAKE2.
+    """
+    raw = padded(data, lower)
+    block, n = _eights(raw), ends - starts
+    out = mix((block[starts] & _MASK[np.minimum(n, 8)]) ^ _SEED[np.minimum(n, _LONG + 1)])
+    some, at = np.flatnonzero(n > 8), 8
+    while len(some) and at < _LONG:
+        part = block[starts[some] + at] & _MASK[np.minimum(n[some] - at, 8)]
+        out[some] = mix(out[some] * _U(0x9FB21C651E98DF25) ^ part)
+        at += 8
+        some = some[n[some] > at]
+    for i in some.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of the padded array a from each of a_at are those of b from b_at."""
+    x, y = _eights(a), _eights(b)
+    out, some, at = np.ones(len(n), bool), np.arange(len(n)), 0
+    while len(some) and at < _LONG:
+        mask = _MASK[np.minimum(n[some] - at, 8)]
+        out[some] = same = (x[a_at[some] + at] & mask) == (y[b_at[some] + at] & mask)
+        at += 8
+        some = some[same & (n[some] > at)]
+    for i in some.tolist():
+        out[i] = np.array_equal(a[a_at[i] : a_at[i] + n[i]], b[b_at[i] : b_at[i] + n[i]])
+    return out
 
 
 def shingles(word: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
