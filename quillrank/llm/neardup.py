@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from . import words
 from .groups import components
-from .storage import Scratch
+from .storage import Scratch, bounded, join_one
 from .superminhash import bands, signatures
 
 BANDS, ROWS = 32, 6
 LARGE = 48  # members of a bucket, from which it is compared by blocks
-BLOCK = 128  # documents
+BLOCK, BLOCK_SHINGLES = 128, 500_000  # documents, and shingles, of a block on average
+HUB = 2_000  # pairs of one document that a task takes
 MOST_BROADCAST = 2_000_000  # ids of candidates: 16 MB
 
 
@@ -46,7 +47,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in words.pieces(batch, most=1 << 20):
+            for some in words.pieces(batch, most=1 << 19):
                 flat, edge = _sets(some.column("text"), k)
                 n = np.diff(edge)
                 keys = bands(signatures(flat, edge, BANDS * ROWS), ROWS)
@@ -82,10 +83,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    joined = _with_sets(_with_sets(pairs, left, "a", "b"), right, "b", "a")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """Joins the sets of one end of the pairs. Those of documents with more than HUB pairs are copied, a copy for HUB pairs, so that no task gets them all."""
+    hubs = pairs.groupBy(end).count().where(F.col("count") > HUB).select(end, F.ceil(F.col("count") / HUB).cast("int").alias("parts"))
+    hubs = bounded(hubs)
+    dealt = pairs.join(hubs, end, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")).drop("parts")
+    copies = sets.join(hubs, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return dealt.join(copies, [end, "part"]).drop("part")
+
+
 def _alike_in_size(percent: int):  # noqa: ANN202
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
 
@@ -101,10 +112,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, k: int
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sig = scratch.save(sketch(rows, k), "signatures")
     some = sig.where("doc_id is not null and digest is not null")
-    classes = scratch.save(some.groupBy("digest").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands")).alias("c")).select("digest", F.col("c.doc_id").alias("rep"), "c.n", "c.bands"), "classes")
+    classes = scratch.save(some.groupBy("digest").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands")).alias("c"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", F.col("c.doc_id").alias("rep"), "c.n", "c.bands"), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.save(buckets.join(shared.select("bucket"), "bucket"), "members")
+    shared = scratch.save(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    members = scratch.save(join_one(buckets, shared, "bucket", "size"), "members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     few = wanted.count()
@@ -114,54 +125,62 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, k: int
         wanted = F.broadcast(wanted) if few <= MOST_BROADCAST else wanted
         sets = scratch.save(_full_sets(rows.join(wanted, "doc_id", "left_semi"), k).distinct(), "sets")
         labels = _grouped(members, sets, scratch, percent)
-    by_class = classes.select("digest", F.col("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sig.join(by_class, "digest", "left")
+    by_class = classes.select("digest", "copies", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component"))
+    slim = sig.select("doc_id", "n_shingles", "digest")
+    found = join_one(slim.where("doc_id is not null and digest is not null"), scratch.save(by_class, "by_class"), "digest", "copies").select("doc_id", "n_shingles", "component")
+    out = found.unionByName(slim.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _grouped(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(node, component) from the buckets' members (bucket, rep, n)."""
+    """(node, component) from the buckets' members (bucket, rep, n, size)."""
     start = members.withColumn("comp", F.col("rep"))
-    links = scratch.save(_confirm(scratch.save(_to_one(start, percent).distinct(), "pairs"), sets, percent), "links")
+    links = scratch.save(_confirm(scratch.save(_to_one(start, scratch, percent).distinct(), "pairs"), sets, percent), "links")
     left = _unsettled(members, components(links, scratch), scratch)
     if not left.isEmpty():
-        pairs = scratch.save(_to_largest(left, percent).distinct(), "pairs")
+        pairs = scratch.save(_to_largest(left, scratch, percent).distinct(), "pairs")
         links = scratch.save(links.unionByName(_confirm(pairs, sets, percent)), "links")
-        left = _unsettled(left.select("bucket", "rep", "n"), components(links, scratch), scratch)
+        left = _unsettled(left.select("bucket", "rep", "n", "size"), components(links, scratch), scratch)
     if not left.isEmpty():
         small, large = left.where(F.col("size") < LARGE), left.where(F.col("size") >= LARGE)
         pairs = scratch.save(_across(small, percent).distinct(), "pairs")
-        links = scratch.save(links.unionByName(_confirm(pairs, sets, percent)).unionByName(_by_blocks(large, sets, percent)), "links")
+        links = links.unionByName(_confirm(pairs, sets, percent))
+        if not large.isEmpty():
+            links = links.unionByName(_by_blocks(large, sets, scratch, percent))
+        links = scratch.save(links, "links")
     return components(links, scratch)
 
 
 def _unsettled(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The members of buckets that hold several groups, with comp, the bucket's size and its largest group, main."""
+    """The members of buckets that hold several groups, with comp and the bucket's largest group, main."""
     joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    joined = scratch.save(joined, "labelled")
     groups = joined.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
     mixed = groups.groupBy("bucket").agg(F.sum("n_comp").alias("size"), F.max(F.struct("n_comp", "comp")).alias("top")).where("top.n_comp < size")
-    return scratch.save(joined.join(mixed.select("bucket", "size", F.col("top.comp").alias("main")), "bucket"), "unsettled")
+    mixed = scratch.save(mixed.select("bucket", "size", F.col("top.comp").alias("main")), "mixed")
+    return scratch.save(join_one(joined.drop("size"), mixed, "bucket", "size"), "unsettled")
 
 
 def _with_one(members: DataFrame, ones: DataFrame, percent: int) -> DataFrame:
-    return members.join(ones, "bucket").where((F.col("comp") != F.col("of")) & _alike_in_size(percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    met = join_one(members.drop("size"), ones, "bucket", "size")
+    return met.where((F.col("comp") != F.col("of")) & _alike_in_size(percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
 
 
-def _drawn(members: DataFrame, *draw: str) -> DataFrame:
+def _drawn(members: DataFrame, scratch: Scratch, *draw: str) -> DataFrame:
     """One member of each bucket, by a hash of the columns `draw`."""
     row = F.struct(F.xxhash64(*draw).alias("draw"), F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("of"))
-    return members.groupBy("bucket").agg(F.min(row).alias("one")).select("bucket", "one.a", "one.m", "one.of")
+    return scratch.save(members.groupBy("bucket").agg(F.min(row).alias("one"), F.max("size").alias("size")).select("bucket", "size", "one.a", "one.m", "one.of"), "drawn")
 
 
-def _to_one(members: DataFrame, percent: int) -> DataFrame:
+def _to_one(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Each member of a bucket with one of them. Buckets with the same members draw the same one, so few pairs are different."""
-    return _with_one(members, _drawn(members, "rep"), percent)
+    return _with_one(members, _drawn(members, scratch, "rep"), percent)
 
 
-def _to_largest(members: DataFrame, percent: int) -> DataFrame:
+def _to_largest(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Each member outside its bucket's largest group with one in it, another one in each bucket."""
-    return _with_one(members.where("comp <> main"), _drawn(members.where("comp = main"), "rep", "bucket"), percent)
+    return _with_one(members.where("comp <> main"), _drawn(members.where("comp = main"), scratch, "rep", "bucket"), percent)
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -171,13 +190,22 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return outside.join(members, "bucket").where(fits).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
 
 
-def _by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links between members outside their bucket's largest group and those of other groups, found block by block."""
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
-    rows = members.withColumn("block", block).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+def _by_blocks(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The links between members outside their bucket's largest group and those of other groups, found block by block.
+
+    Blocks have BLOCK documents and BLOCK_SHINGLES shingles on average, fewer in small buckets. The pairs of blocks are listed and dealt by both blocks before
+    the sets are attached, so that no bucket's pairs gather in one task.
+    """
+    cut = members.groupBy("bucket").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("size")).select("bucket", "size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("blocks"))
+    cut = scratch.save(cut, "cut")
+    rows = scratch.save(join_one(members.drop("size"), cut, "bucket", "size").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks"), "blocked")
     doc = F.collect_list(F.struct("rep", "comp", "shingles"))
-    outside = rows.where("comp <> main").groupBy("bucket", "block").agg(doc.alias("x")).drop("block")
-    joined = outside.join(rows.groupBy("bucket", "block").agg(doc.alias("y")).drop("block"), "bucket").select("x", "y")
+    held = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    outside = held.where("comp <> main").groupBy("bucket", F.col("block").alias("i")).agg(doc.alias("x"))
+    every = held.groupBy("bucket", F.col("block").alias("j")).agg(doc.alias("y"))
+    firsts = rows.where("comp <> main").select("bucket", F.col("block").alias("i")).distinct()
+    listed = firsts.join(rows.select("bucket", F.col("block").alias("j")).distinct(), "bucket")
+    joined = listed.join(outside, ["bucket", "i"]).join(every, ["bucket", "j"]).select("x", "y")
 
     def flat(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         docs = column[i].values
