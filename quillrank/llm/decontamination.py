@@ -1,15 +1,16 @@
 """Operator 2: benchmark decontamination by SimHash over item-sized windows.
 
-A benchmark item of L words is searched for in all windows of L words of every document. Windows and items have 64-bit SimHash
-fingerprints of their words, each occurrence counting once. Multi-index blocks find all items within RADIUS of a window: of 8 bytes
-that together differ in at most 16 bits, one differs in at most 2, so a table per byte, with each item entered under all
-values within 2 bits of its own, misses none. The items found are verified by the exact weighted Jaccard similarity of 5-word
-shingles, a shingle's weight being its number of occurrences.
+All windows of every document get 64-bit SimHash fingerprints of their words, each occurrence counting once, in a few widths: a benchmark item of L
+words is searched for in windows of the largest width of the series 5, 6, 7, 8, 10, 12, 15 ... (steps of a quarter) that is at most 0.9 L. Three fingerprints
+stand for the item, of its first, middle and last words, so that a change at either end leaves one of them as it was.
 
-Only stretches that can hold a match are fingerprinted: a similarity above 0 needs a shingle in common, so windows without any
-shingle of any item are passed over before their fingerprints are formed. This loses nothing that verification would keep.
+Multi-index Hamming blocks find every fingerprint within RADIUS: of 4 blocks of 16 bits that together differ in at most 7 bits, one differs in at
+most 1, so a table for each block, with each fingerprint entered under its own value and the 16 that differ in a bit, misses none. A fingerprint found says
+where the item would begin; the windows of the item's own length from there on, an eighth of it to either side, are verified by the exact weighted Jaccard
+similarity of 5-word shingles, a shingle's weight being its number of occurrences.
 
-The benchmark is a query set: its items are broadcast in blocks of at most MOST_WORDS words, one pass over the documents for each block.
+The benchmark is a query set: its items are broadcast in blocks of at most MOST_WORDS words. A larger benchmark takes a pass over the documents for each
+block.
 """
 
 from __future__ import annotations
@@ -22,25 +23,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .storage import Scratch, bounded
+from .storage import Scratch, bound_batches, bounded, free_name
 
 WORDS = 5
 LEAST = 0.8
-BITS, BYTES, RADIUS = 64, 8, 16
-MOST_WORDS = 200_000  # of items in a broadcast block: some 30 MB with the byte tables
+BITS, BLOCKS, RADIUS = 64, 4, 7
+STEP = 1 << 13  # windows whose fingerprints are formed at once
+MOST_WORDS = 2_000_000  # of items in a broadcast block: some 60 MB
 _U = np.uint64
-_NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // BYTES for b in range(256)] for a in range(256)])
+#: A block's own value and those that differ in one bit, as what to change.
+_NEAR = np.array([0] + [1 << i for i in range(16)], np.uint16)
 
 
-def _votes(word: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each word and bit."""
-    bits = np.unpackbits(words.mix(word).view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
-    return bits.astype(np.int32) * 2 - 1
+def _summed(word: np.ndarray, kind: type) -> np.ndarray:
+    """Running sums of the words' votes, +1 or -1 for each bit; the first row is zero."""
+    bits = np.unpackbits(words.mix(word).view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").view(np.int8)
+    bits += bits
+    bits -= 1
+    out = np.zeros((len(word) + 1, BITS), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
+    return out
+
+
+def simhashes(summed: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprints of all windows of `width` words: a bit is set where the votes' sum is positive."""
+    return np.packbits(summed[width:] > summed[: len(summed) - width], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def simhash(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints from summed votes, as rows of 8 bytes."""
-    return np.packbits(sums > 0, axis=1, bitorder="little")
+def width_for(n: int) -> int:
+    """The width of the windows in which an item of n words is searched for."""
+    width = 5
+    if n <= width:
+        return n
+    while width + max(1, width // 4) <= 0.9 * n:
+        width += max(1, width // 4)
+    return width
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -52,72 +69,104 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
+class Table:
+    """The fingerprints of the items of one width, by the values of their blocks."""
+
+    def __init__(self, prints: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        self.prints, self.item, self.offset = prints, item, offset
+        self.any = np.zeros((BLOCKS, 1 << 16), bool)
+        self.first, self.entry = [], []
+        for b, value in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS).T):
+            under = (value[:, None] ^ _NEAR).reshape(-1)
+            order = np.argsort(under, kind="stable")
+            self.any[b, under] = True
+            self.first.append(np.searchsorted(under[order], np.arange((1 << 16) + 1)))
+            self.entry.append(order // len(_NEAR))
+
+    def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (place in marks, fingerprint) that differ in at most RADIUS bits; a pair may come more than once."""
+        value = marks.view(np.uint16).reshape(-1, BLOCKS)
+        places, prints = [], []
+        for b in range(BLOCKS):
+            at = np.flatnonzero(self.any[b].take(value[:, b]))
+            lo, hi = self.first[b][value[at, b]], self.first[b][value[at, b].astype(np.int64) + 1]
+            n = hi - lo
+            upto = np.cumsum(n)
+            found = self.entry[b][np.repeat(lo - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+            place = np.repeat(at, n)
+            close = np.bitwise_count(marks[place] ^ self.prints[found]) <= RADIUS
+            places.append(place[close])
+            prints.append(found[close])
+        return np.concatenate(places), np.concatenate(prints)
+
+
 class Index:
-    """The items of one block: shingles, and for each length the fingerprints with their byte tables."""
+    """A block of items: their shingles, and for each width the table of their fingerprints."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         data, at = words.utf8(pa.array(texts, pa.string()))
         starts, ends, before = words.split(data, at)
         word = words.hashes(data, starts, ends)
-        all_, edge = words.shingles(word, before, WORDS)
-        self.shingles = np.unique(all_)
-        self.own = [all_[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        self.ids = ids
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        n = np.diff(before)
-        self.short = bool(((n > 0) & (n < WORDS)).any())
-        for length in np.unique(n[n > 0]).tolist():
-            which = np.flatnonzero(n == length)
-            prints = np.concatenate([simhash(_votes(word[before[i] : before[i + 1]]).sum(axis=0, keepdims=True)) for i in which])
-            tables = np.stack([_NEAR[:, prints[:, b]] for b in range(BYTES)])  # byte x value x item
-            self.by_length[length] = (which, prints, tables)
-
-    def known(self, shingle: np.ndarray) -> np.ndarray:
-        """The places of those shingles that some item has."""
-        if not len(self.shingles):
-            return np.empty(0, np.int64)
-        spot = np.minimum(np.searchsorted(self.shingles, shingle), len(self.shingles) - 1)
-        return np.flatnonzero(self.shingles[spot] == shingle)
-
-    def windows(self, word: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(item, first word, number of words, similarity) of all verified windows of a document whose 5-word shingles at `hit` are known."""
-        for length, (which, prints, tables) in self.by_length.items():
-            k, last = min(WORDS, length), len(word) - length
-            if last < 0:
-                continue
-            at = hit if k == WORDS else self.known(words.chain(word, k))
-            if not len(at):
-                continue
-            change = np.zeros(last + 2, np.int32)
-            np.add.at(change, np.minimum(np.maximum(at - (length - k), 0), last + 1), 1)
-            np.add.at(change, np.minimum(at, last) + 1, -1)
-            first = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-            step = max(64, min(4096, (8 << 20) // len(which)))  # bounds what is held at once
-            for lo in range(0, len(first), step):
-                for a, b in _runs(first[lo : lo + step]):
-                    own = word[a : b + length]
-                    sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_votes(own), axis=0, dtype=np.int32)])
-                    marks = simhash(sums[length:] - sums[: b - a + 1])
-                    found = np.zeros((len(marks), len(which)), bool)
-                    for byte in range(BYTES):
-                        found |= tables[byte][marks[:, byte]]
-                    w, i = np.nonzero(found)
-                    near = np.unpackbits(marks[w] ^ prints[i], axis=1).sum(axis=1) <= RADIUS
-                    for w1, i1 in zip(w[near].tolist(), i[near].tolist(), strict=True):
-                        value = similarity(words.chain(own[w1 : w1 + length], k), self.own[which[i1]])
-                        if value >= LEAST:
-                            yield self.ids[which[i1]], a + w1, length, value
-
-
-def _runs(first: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The stretches (from, to) of consecutive numbers."""
-    cut = np.flatnonzero(np.diff(first) > 1) + 1
-    for run in np.split(first, cut):
-        yield int(run[0]), int(run[-1])
+        self.ids, self.length = ids, np.diff(before)
+        self.own = [words.chain(word[a:b], min(WORDS, b - a)) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+        entries: dict[int, list[tuple[int, int, int]]] = {}
+        for i, n in enumerate(self.length.tolist()):
+            if n:
+                width = width_for(n)
+                marks = simhashes(_summed(word[before[i] : before[i + 1]], np.int32), width)
+                entries.setdefault(width, []).extend((int(marks[o]), i, o) for o in sorted({0, (n - width) // 2, n - width}))
+        self.tables = {w: Table(*(np.array(x, t) for x, t in zip(zip(*e, strict=True), (np.uint64, np.int64, np.int64), strict=True))) for w, e in entries.items()}
+        self.widest = max(self.tables, default=0)
+
+    def candidates(self, word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first word of the item) where windows agree with an item's fingerprint; `row` tells which text each word is of, and windows stay in one."""
+        rows, items, firsts = ([np.empty(0, np.int64)] for _ in range(3))
+        kind = np.int16 if STEP + self.widest < 1 << 15 else np.int32
+        for lo in range(0, len(word) if self.tables else 0, STEP):
+            summed = _summed(word[lo : lo + STEP + self.widest - 1], kind)
+            for width, table in self.tables.items():
+                marks = simhashes(summed[: STEP + width], width) if len(summed) > width else np.empty(0, np.uint64)
+                if not len(marks):
+                    continue
+                at, which = table.near(marks)
+                whole = row[lo + at] == row[lo + at + width - 1]
+                rows.append(row[lo + at[whole]])
+                items.append(table.item[which[whole]])
+                firsts.append(lo + at[whole] - table.offset[which[whole]])
+        return np.concatenate(rows), np.concatenate(items), np.concatenate(firsts)
+
+    def verified(self, word: np.ndarray, item: int, first: np.ndarray) -> tuple[float, int] | None:
+        """The similarity and place of the best of the text's windows around the places in `first`; None if none is similar enough."""
+        n = int(self.length[item])
+        k, reach = min(WORDS, n), n // 8 + 1
+        tried = np.unique((first[:, None] + np.arange(-reach, reach + 1)).reshape(-1))
+        tried = tried[(tried >= 0) & (tried <= len(word) - n)]
+        if not len(tried):
+            return None
+        shingle, base, best = words.chain(word[tried[0] : tried[-1] + n], k), int(tried[0]), (0.0, -1)
+        for at in tried.tolist():
+            value = similarity(shingle[at - base : at - base + n - k + 1], self.own[item])
+            if value > best[0]:
+                best = (value, at)
+            if value == 1.0:
+                break
+        return best if best[0] >= LEAST else None
+
+
+def _grouped(row: np.ndarray, item: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Each text and item with the item's possible places."""
+    order = np.lexsort((first, item, row))
+    row, item, first = row[order], item[order], first[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    cut = [*np.flatnonzero(new).tolist(), len(row)]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(row[a]), int(item[a]), np.unique(first[a:b])
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +176,13 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
                 data, at = words.utf8(some.column("text"))
                 starts, ends, before = words.split(data, at)
                 word = words.hashes(data, starts, ends)
-                shingle, edge = words.shingles(word, before, WORDS)
-                hit = known.known(shingle)
-                at = np.searchsorted(hit, edge)
-                keys, rows = some.column("doc_id"), []
-                for r in range(some.num_rows) if known.short else np.flatnonzero(np.diff(at)).tolist():
-                    best: dict[int, tuple[float, int, int]] = {}
-                    for item, start, length, value in known.windows(word[before[r] : before[r + 1]], hit[at[r] : at[r + 1]] - edge[r]):
-                        if item not in best or value > best[item][0]:
-                            best[item] = (value, start, length)
-                    rows += [(keys[r].as_py(), item, start, length, value) for item, (value, start, length) in best.items()]
+                row = np.repeat(np.arange(some.num_rows), np.diff(before))
+                keys, held = some.column("doc_id"), {}
+                for r, i, at in _grouped(*known.candidates(word, row)):
+                    best = known.verified(word[before[r] : before[r + 1]], i, at - before[r])
+                    if best and best[0] > held.get((r, known.ids[i]), (0.0,))[0]:
+                        held[r, known.ids[i]] = (best[0], best[1], int(known.length[i]))
+                rows = [(keys[r].as_py(), item, at, n, value) for (r, item), (value, at, n) in held.items()]
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (keys.type, pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
                     yield pa.record_batch(columns, names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
@@ -176,10 +222,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) ->
     """
     digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), digest)
-    named = docs.withColumn("_row", name)
-    rows = named.select(F.col("_row").alias("doc_id"), F.lower(F.col("text")).alias("text"))
-    leaks = scratch.save(_find(rows, benchmark).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
-    return named.join(bounded(leaks, 500_000), "_row", "left_anti").drop("_row")
+    row = free_name(docs, "row")
+    named = docs.withColumn(row, name)
+    rows = named.select(F.col(row).alias("doc_id"), F.lower(F.col("text")).alias("text"))
+    leaks = scratch.save(_find(rows, benchmark).select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return named.join(bounded(leaks, 500_000), row, "left_anti").drop(row)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
