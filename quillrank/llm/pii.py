@@ -5,18 +5,27 @@ digit counts for phone, mod 97 for iban. Words within 40 characters adjust the s
 whatever their score; the added kinds (iban, tel, ssn) are kept from a score of 0.6 and where they touch no base span.
 
 The patterns are possessive and anchored to the start of a run (or to the end of the match before), so that they
-find what their plain forms find, in time linear in the text and without deep recursion.
+find what their plain forms find, in time linear in the text and without deep recursion. Positions are running sums over the matches, taken in
+blocks of about the square root of their number (`scan`), and text around a span is cut from pieces of PIECE characters, so that a text with very many
+matches costs little more than its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import free_name
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "tel", "ssn")
 LEAST_SCORE = 0.6
 NEAR = 40
+PIECE = 1000
+_SPANS = "array<struct<kind:string,start:int,end:int,s:string>>"
+_SCORED = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -81,6 +90,40 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _empty(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def scan(items: Column, step: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """For each item in order emit(state before it, item), an array of type `kind`; all of them in a row.
+
+    The state is an int that starts with 0; step(state, item) gives the next one, and merge(s, step(... step(0, x) ..., y)) is what steps over x ... y make of s.
+    """
+
+    def over(p: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(p))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / width).cast("int")), lambda b: F.slice(p, b * width + 1, width))
+        return F.when(F.size(p) > 0, _let(blocks, each)).otherwise(_empty(kind))
+
+    def each(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
+        first = F.struct(F.lit(0).alias("at"), _empty("array<int>").alias("all"))
+        starts = F.aggregate(totals, first, lambda a, t: F.struct(merge(a["at"], t).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+
+        def one(block: Column, start: Column) -> Column:
+            none = F.struct(start.alias("at"), _empty(kind).alias("all"))
+            return F.aggregate(block, none, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["all"], emit(a["at"], x)).alias("all")), lambda a: a["all"])
+
+        return F.flatten(F.zip_with(blocks, starts, one))
+
+    return _let(items, over)
+
+
 def _spans(text: Column, kind: str) -> Column:
     """The kind's confirmed spans in order, as array<struct<kind, start, end, s>>; positions count characters."""
     pattern = PATTERNS[kind]
@@ -88,21 +131,32 @@ def _spans(text: Column, kind: str) -> Column:
         F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("n"), h.alias("h"))),
         lambda x: x["h"].isNotNull(),
     )
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,s:string>>)")
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["g"]
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("end"), x["h"].alias("s"))
-        return F.struct((start + x["n"]).alias("at"), F.concat(a["all"], F.array(span)).alias("all"))
+    def emit(at: Column, x: Column) -> Column:
+        start = at + x["g"]
+        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("end"), x["h"].alias("s")))
+        return F.when(_valid(kind, x["h"]), span).otherwise(_empty(_SPANS))
+
+    found = scan(pairs, lambda at, x: at + x["g"] + x["n"], lambda a, b: a + b, emit, _SPANS)
+    return F.when(text.rlike(pattern), found).otherwise(_empty(_SPANS))
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda a: a["all"])
-    return F.when(text.rlike(pattern), F.filter(found, lambda x: _valid(kind, x["s"]))).otherwise(none)
 
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, from the pieces that hold them."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(end > start, F.substr(held, start - first * PIECE + 1, end - start)).otherwise("")
 
-def _scored(text: Column, spans: Column, kind: str) -> Column:
+
+def _scored(pieces: Column, spans: Column, kind: str) -> Column:
     def score(x: Column) -> Column:
-        from_ = F.greatest(x["start"] - NEAR, F.lit(0))
-        near = F.concat_ws(" ", F.substr(text, from_ + 1, x["start"] - from_), F.substr(text, x["end"] + 1, F.lit(NEAR)))
+        before, after = _cut(pieces, F.greatest(x["start"] - NEAR, F.lit(0)), x["start"]), _cut(pieces, x["end"], x["end"] + NEAR)
+        near = F.concat_ws(" ", before, after)
         gain = F.when(near.rlike(rf"(?i)(?<![A-Za-z])(?:{FOR[kind]})(?![A-Za-z])"), 0.3).otherwise(0.0)
         loss = F.when(near.rlike(rf"(?i)(?<![A-Za-z])(?:{AGAINST[kind]})(?![A-Za-z])"), 0.3).otherwise(0.0) if kind in AGAINST else F.lit(0.0)
         value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + gain - loss)), 2)
@@ -111,37 +165,62 @@ def _scored(text: Column, spans: Column, kind: str) -> Column:
     return F.transform(spans, score)
 
 
+def _free(added: Column, base: Column) -> Column:
+    """Those spans of `added` that touch no span of `base`, in order of start."""
+    mark = lambda x, own: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(own).alias("own"), x["kind"].alias("kind"))
+    both = F.sort_array(F.concat(F.transform(added, lambda x: mark(x, True)), F.transform(base, lambda x: mark(x, False))))
+    kind = "array<struct<start:int,end:int,own:boolean,kind:string>>"
+    largest = lambda a, b: F.greatest(a, b)
+
+    def clear(blocked: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        return lambda at, x: F.when(x["own"] & blocked(at, x), _empty(kind)).otherwise(F.array(x))
+
+    # Forwards, the state is the largest end of a base span so far; backwards, the smallest start, held as its distance below a large number.
+    top = (1 << 31) - 1
+    once = scan(both, lambda at, x: F.when(x["own"], at).otherwise(F.greatest(at, x["end"])), largest, clear(lambda at, x: at > x["start"]), kind)
+    twice = scan(F.reverse(once), lambda at, x: F.when(x["own"], at).otherwise(F.greatest(at, F.lit(top) - x["start"])), largest, clear(lambda at, x: F.lit(top) - at < x["end"]), kind)
+    return F.filter(F.reverse(twice), lambda x: x["own"])
+
+
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `pii`, array<struct<kind, start, end, score>>, ordered by kind as listed in BASE + ADDED and then by start.
 
     Positions are in characters, the end exclusive. A null or empty text has no spans; rows are handled one by one, so ties, repeated rows and an
     empty table need no rule. A column named `pii` is replaced; all others are kept.
     """
+    kept = [c for c in docs.columns if c.lower() != "pii"]
+    base, added, free, pieces = (free_name(docs, n) for n in ("base", "added", "free", "pieces"))
     t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn("_base", F.array(*[_spans(t, k) for k in BASE]))
     digit = t.rlike("[0-9]{3}")
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,s:string>>)")
-    found = found.withColumn("_added", F.array(*[F.when(digit, _spans(t, k)).otherwise(none) for k in ADDED]))
-    base = F.concat(*[_scored(t, F.col("_base")[i], k) for i, k in enumerate(BASE)])
-    free = lambda x: ~F.exists(F.flatten("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.concat(*[F.filter(_scored(t, F.filter(F.col("_added")[i], free), k), lambda x: x["score"] >= LEAST_SCORE) for i, k in enumerate(ADDED)])
-    return found.withColumn("pii", F.when((F.size(F.flatten("_base")) == 0) & (F.size(F.flatten("_added")) == 0), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")).otherwise(F.concat(base, added))).drop("_base", "_added")
+    found = docs.withColumn(base, F.array(*[_spans(t, k) for k in BASE]))
+    found = found.withColumn(added, F.flatten(F.array(*[F.when(digit, _spans(t, k)).otherwise(_empty(_SPANS)) for k in ADDED])))
+    some_base, some_added = F.size(F.flatten(base)) > 0, F.size(added) > 0
+    slim = F.transform(F.col(added), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("own"), x["kind"].alias("kind")))
+    found = found.withColumn(free, F.when(some_added & some_base, _free(F.col(added), F.flatten(base))).otherwise(slim)).withColumn(pieces, F.when(some_added | some_base, _pieces(t)))
+    parts = [_scored(F.col(pieces), F.col(base)[i], k) for i, k in enumerate(BASE)]
+    of = lambda k: F.filter(free, lambda x: x["kind"] == k)
+    parts += [F.filter(_scored(F.col(pieces), of(k), k), lambda x: x["score"] >= LEAST_SCORE) for k in ADDED]
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.when(some_base | some_added, F.concat(*parts)).otherwise(_empty(_SCORED)).alias("pii"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces every span of `pii` in the text by its kind in angle brackets; of overlapping spans, the first to start names the whole.
 
-    A null text stays null.
+    A null text stays null. All columns are kept.
     """
+    pieces = free_name(docs, "pieces")
     spans = F.sort_array(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
+    kind = "array<struct<after:int,start:int,kind:string>>"
 
-    def step(a: Column, x: Column) -> Column:
-        inside = x["start"] < a["at"]
-        out = F.concat(a["out"], F.substr(F.col(text), a["at"] + 1, x["start"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(a["at"], -x["end"]).alias("at"), F.when(inside, a["out"]).otherwise(out).alias("out"))
+    def emit(at: Column, x: Column) -> Column:
+        return F.when(x["start"] < at, _empty(kind)).otherwise(F.array(F.struct(at.alias("after"), x["start"].alias("start"), x["kind"].alias("kind"))))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col(text), a["at"] + 1)))
-    return docs.withColumn(text, F.when(F.size("pii") > 0, done).otherwise(F.col(text)))
+    kept = scan(spans, lambda at, x: F.greatest(at, -x["end"]), lambda a, b: F.greatest(a, b), emit, kind)
+    named = F.transform(kept, lambda x: F.concat(_cut(F.col(pieces), x["after"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+    last = F.array_max(F.transform("pii", lambda x: x["end"]))
+    done = F.concat(F.array_join(named, ""), _cut(F.col(pieces), last, F.length(text)))
+    some = F.size("pii") > 0
+    return docs.withColumn(pieces, F.when(some, _pieces(F.col(text)))).withColumn(text, F.when(some, done).otherwise(F.col(text))).drop(pieces)
 
 
 def _joined(spans: Column) -> Column:
