@@ -1,11 +1,12 @@
 """Operator 9: language identification by a mixture of languages.
 
 Every document is taken as a mixture: each of its byte n-grams is drawn from one of several languages' n-gram distributions.
-Expectation-maximisation estimates the proportions, for the one, two, three ... most likely languages; the set with
-the best likelihood less a penalty for each language more is kept, and its largest share is the prediction.
+Expectation-maximisation estimates the proportions, for the one, two, three ... most likely languages, up to all that have a share of one n-gram or
+more; the set with the best likelihood less a penalty for each language more is kept, and its largest share is the prediction.
 
 The n-gram distributions are counts over all training documents, in a hashed table of fixed size: languages x BUCKETS numbers, which is what the
-driver gathers and broadcasts, whatever the size of the corpus.
+driver gathers and broadcasts, whatever the size of the corpus: 128 KB for each language. `most_languages` is the stated bound on their number; labels beyond it
+raise an error, since dropping some would change predictions.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
+from .storage import bound_batches, free_name
 
 BUCKETS = 1 << 15
-MOST_LANGUAGES = 256
+MOST_LANGUAGES = 1024
 _U = np.uint64
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes that say nothing about the language become blanks.
 _CLASS = np.full(256, 0x20, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
@@ -31,6 +33,11 @@ _CLASS[65:91] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of one of Unicode's letter categories."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     """The buckets of a text's byte trigrams, those of blanks alone left out."""
     if len(data) < 1:
@@ -80,7 +87,7 @@ class Model:
         p = (counts + 0.5) / (counts.sum(axis=0, keepdims=True) + 0.5 * BUCKETS) if langs else counts
         self.p = np.ascontiguousarray(p, dtype=np.float32)
 
-    def mixture(self, data: np.ndarray, most: int = 4, steps: int = 12) -> list[tuple[str, float]]:
+    def mixture(self, data: np.ndarray, steps: int = 12) -> list[tuple[str, float]]:
         """The kept languages with their shares, largest first."""
         found = grams(data)
         if not self.langs or not len(found):
@@ -93,16 +100,13 @@ class Model:
         if len(order) > 1:
             share = self._shares(p, n, np.full(len(order), 1 / len(order), np.float32), steps)
             order = np.argsort(-share, kind="stable")
-            for k in range(2, min(most, len(order)) + 1):
-                if share[order[k - 1]] < 0.02:
-                    break
+            for k in range(2, int(np.count_nonzero(share * total >= 1)) + 1):
                 own = np.ascontiguousarray(p[:, order[:k]])
                 w = self._shares(own, n, share[order[:k]] / share[order[:k]].sum(), steps)
                 # Overlapping n-grams count three times over, hence the factor before the usual half log n for each parameter.
                 value = float(n @ np.log(own @ w)) - 1.5 * np.log(total) * (k - 1)
-                if value <= best:
-                    break
-                best, kept = value, sorted(zip(order[:k].tolist(), w.tolist(), strict=True), key=lambda x: -x[1])
+                if value > best:
+                    best, kept = value, sorted(zip(order[:k].tolist(), w.tolist(), strict=True), key=lambda x: -x[1])
         return [(self.langs[i], min(1.0, s)) for i, s in kept]
 
     @staticmethod
@@ -114,12 +118,12 @@ class Model:
         return w
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, most_languages: int = MOST_LANGUAGES) -> Model:
     """Counts over all rows of docs (text, lang non-null)."""
     rows = count_grams(docs).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model's table is bounded to {MOST_LANGUAGES}")
+    if len(langs) > most_languages:
+        raise ValueError(f"{len(langs)} languages, 128 KB each in every worker; most_languages is {most_languages}")
     at = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((BUCKETS, len(langs)))
     counts[rows.column("bucket").to_numpy(), [at[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
@@ -134,6 +138,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "languages")]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,languages:array<struct<lang:string,share:double>>>")
@@ -143,11 +148,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             column = some.column("text")
             data, at = words.utf8(column)
             for i, t in enumerate(column.to_pylist()):
-                mix = known.mixture(data[at[i] : at[i + 1]]) if t and _LETTER.search(t) else []
+                mix = known.mixture(data[at[i] : at[i + 1]]) if t and has_letter(t) else []
                 out.append({"lang_pred": mix[0][0] if mix else "und", "score": mix[0][1] if mix else 0.0, "languages": [{"lang": x, "share": s} for x, s in mix]})
         return pa.array(out, pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]))
 
-    return docs.withColumn("_m", infer(F.col("text"))).select(*[F.col(f"`{c}`") for c in keep], "_m.*")
+    found = free_name(docs, "found")
+    return docs.withColumn(found, infer(F.col("text"))).select(*[F.col(f"`{c}`") for c in keep], f"{found}.*")
 
 
 def identify_by_own_labels(docs: DataFrame) -> DataFrame:
