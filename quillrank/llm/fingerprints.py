@@ -1,8 +1,9 @@
 """Operator 10: threshold-scaled document sketches.
 
 A sketch keeps every 5-word shingle hash below a fraction of the hash range: all of them for a text of at most FEW shingles, FRACTION of the range
-for a longer one. The fraction goes with the sketch. Two sketches are compared at the smaller of their fractions, to which the other is cut down, and
-sketches of parts cut down in that way merge by union; so very unequal texts compare fairly, and the kept share of each set estimates containment.
+for a longer one. The fraction goes with the sketch. Two sketches are compared at the smaller of their fractions, to which the other is cut down, so that
+very unequal texts compare fairly, and the share of one in the other estimates containment. Sketches of parts merge (`merge`, `merge_by`): their union, cut
+down likewise, is exactly the sketch of all the parts' shingles together.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .storage import bound_batches
 
 WORDS = 5
 FRACTION = 1 / 2
 FEW = 256  # distinct shingles
+DEALT = 32  # shares of one key's parts when they are merged
 
 
 def sketches(column: pa.Array, fraction: float = FRACTION, k: int = WORDS) -> list[tuple[np.ndarray, float]]:
@@ -49,6 +52,21 @@ def likeness(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float]) -> float
     return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y)) if len(x) and len(y) else None
 
 
+def containment(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float]) -> float | None:
+    """The estimated share of a's shingle set that b's contains; 1 if a has no shingles, and None where none of a's lies below b's fraction."""
+    if not len(a[0]):
+        return 1.0
+    x, y = (cut(s[0], min(a[1], b[1])) for s in (a, b))
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else None
+
+
+def merge(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float], fraction: float = FRACTION) -> tuple[np.ndarray, float]:
+    """The sketch of the union of two shingle sets, from their sketches."""
+    kept = min(a[1], b[1])
+    both = np.union1d(cut(a[0], kept), cut(b[0], kept))
+    return (cut(both, fraction), fraction) if kept == 1 and len(both) > FEW else (both, kept)
+
+
 def written(sketch: np.ndarray) -> str:
     """A sketch as text: its hashes in ascending order, 16 hexadecimal digits each, joined."""
     return sketch.astype(">u8").tobytes().hex()
@@ -66,39 +84,75 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", fracti
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sketch, "doc_id long, fingerprint string, fraction double")
 
 
+def read(text: str) -> np.ndarray:
+    """The hashes of a sketch written as text."""
+    return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
+
+
+def merge_by(sketches: DataFrame, key: str, fraction: float = FRACTION) -> DataFrame:
+    """One sketch for each value of `key` (null included) from sketches (key, fingerprint, fraction) that `fingerprint` has made with the same fraction.
+
+    Returns key, fingerprint and fraction; other columns are ignored and repeated rows change nothing. A key's parts are merged in DEALT
+    shares first, so that a frequent key is spread over tasks; a task holds the one sketch that it builds. Rows with a null fingerprint count as
+    empty. An empty table gives an empty result.
+    """
+
+    def run(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, name = (np.empty(0, np.uint64), 1.0), None
+        for batch in batches:
+            name = batch.column("key")[0] if name is None else name
+            for text, kept in zip(batch.column("fingerprint"), batch.column("fraction").to_pylist(), strict=True):
+                now = merge(now, (read(text.as_py() or ""), 1.0 if kept is None else kept), fraction)
+        yield pa.record_batch([pa.array([name.as_py()], name.type), pa.array([written(now[0])], pa.string()), pa.array([now[1]])], names=["key", "fingerprint", "fraction"])
+
+    kind = f"key {sketches.schema[key].dataType.simpleString()}, fingerprint string, fraction double"
+    rows = sketches.select(F.col(key).alias("key"), F.col("fingerprint"), F.col("fraction").cast("double").alias("fraction"))
+    shares = rows.groupBy("key", F.pmod(F.xxhash64("fingerprint"), F.lit(DEALT)).alias("share")).applyInArrow(run, kind)
+    return shares.groupBy("key").applyInArrow(run, kind).withColumnRenamed("key", key)
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """Deals (doc_id, text) into ranges of doc_id, each sorted downwards and followed by the row that comes after it.
+    """Deals (doc_id, text) into ranges of descending doc_id, each sorted and followed by the row that comes after it.
 
-    The ranges' bounds are `parts` numbers. A range's first row is copied behind the range before it, and the very first one behind the last,
+    Rows with equal keys (null ones come last) are in order of a hash of the text, and then of the text; a key that fills several ranges is parted by that hash. The
+    ranges' bounds are `parts` numbers. A range's first row is copied behind the range before it, and the very first one behind the last,
     so every row finds its successor in its own partition. Adds `_guest`, true on the copies.
     """
     spark, low = docs.sparkSession, -(1 << 63)
-    ids = docs.select(F.coalesce("doc_id", F.lit(low)).alias("_id"))
-    cuts = ids.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else None
-    bounds = np.array(sorted(set(cuts or ()), reverse=True), np.int64)
+    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(low))).withColumn("_tie", F.xxhash64("text"))
+    cuts = keyed.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else None
+    bounds, times = np.unique(np.array(cuts or (), np.int64), return_counts=True)
+    above = np.concatenate([np.cumsum(times[::-1])[::-1], [0]])  # cuts from each bound upwards
 
     @F.pandas_udf(T.IntegerType())
-    def dealt(i):  # noqa: ANN001, ANN202  0 holds the largest keys
+    def dealt(i, tie):  # noqa: ANN001, ANN202  0 holds the largest keys
         import pandas as pd
 
-        return pd.Series(len(bounds) - np.searchsorted(bounds[::-1], i.to_numpy(), side="left"), dtype="int32")
+        key, share = i.to_numpy(), (tie.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        at = np.searchsorted(bounds, key, side="right")
+        own = np.maximum(at - 1, 0)
+        bound = (bounds[own] == key) if len(bounds) else np.zeros(len(key), bool)
+        inside = np.minimum((share * times[own]).astype(np.int64), times[own] - 1) if len(bounds) else 0
+        return pd.Series(above[at] + np.where(bound, inside, 0), dtype="int32")
 
-    tops = {r["p"]: r["top"] for r in ids.groupBy(dealt("_id").alias("p")).agg(F.max("_id").alias("top")).collect()}
+    first = F.min(F.struct(F.bitwise_not("_id").alias("down"), "_tie")).alias("top")
+    tops = {r["p"]: r["top"] for r in keyed.groupBy(dealt("_id", "_tie").alias("p")).agg(first).collect()}
     used = sorted(tops)
     before = {p: used[i - 1] for i, p in enumerate(used)}  # the first follows the last
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(low))).withColumn("_p", dealt("_id"))
+    rows = keyed.withColumn("_p", dealt("_id", "_tie"))
     if not used:
-        return rows.withColumn("_guest", F.lit(False)).drop("_p")
-    heads = spark.createDataFrame([(tops[p], before[p]) for p in used], "_id long, _to int")
-    rows = rows.join(F.broadcast(heads), "_id", "left").withColumn("_to", F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g")))).otherwise(F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g")), F.struct(F.col("_to").alias("p"), F.lit(True).alias("g")))))
-    rows = rows.select("doc_id", "text", "_id", F.explode("_to").alias("_at")).select("doc_id", "text", "_id", F.col("_at.p").alias("_p"), F.col("_at.g").alias("_guest"))
-    return rows.repartitionById(len(bounds) + 1, F.col("_p")).sortWithinPartitions("_guest", F.desc("_id"), F.asc_nulls_first("text")).drop("_p", "_id")
+        return rows.withColumn("_guest", F.lit(False)).drop("_p", "_id", "_tie")
+    heads = spark.createDataFrame([(~tops[p]["down"], tops[p]["_tie"], before[p]) for p in used], "_id long, _tie long, _to int")
+    own, copy = F.struct(F.col("_p").alias("p"), F.lit(False).alias("g")), F.struct(F.col("_to").alias("p"), F.lit(True).alias("g"))
+    rows = rows.join(F.broadcast(heads), ["_id", "_tie"], "left").withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
+    rows = rows.select("doc_id", "text", "_id", "_tie", F.col("_at.p").alias("_p"), F.col("_at.g").alias("_guest"))
+    return rows.repartitionById(int(above[0]) + 1, F.col("_p")).sortWithinPartitions("_guest", F.desc("_id"), "_tie", F.asc_nulls_first("text")).drop("_p", "_id", "_tie")
 
 
 def compare_with_next(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text", fraction: float = FRACTION) -> DataFrame:
     """Fingerprints of each document, of its edited text, and their likeness; see `op10_fingerprints`.
 
-    Null texts are empty. Null keys come last in descending order; rows with equal keys are ordered by text. A single row is its own successor. An
+    Null texts are empty. Null keys come last in descending order; rows with equal keys are ordered by a hash of the text, then by the text. A single row is its own successor. An
     empty table gives an empty result.
     """
 
@@ -134,6 +188,7 @@ def compare_with_next(docs: DataFrame, parts: int, key: str = "doc_id", text: st
                     names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "fraction", "edited_fraction"],
                 )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fraction double, edited_fraction double"
     return with_next(rows, parts).mapInArrow(compare, schema)
