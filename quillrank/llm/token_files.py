@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens, words
-from .storage import Scratch
+from .storage import Scratch, bound_batches
 
 _BATCH_ROWS = 64
 
@@ -70,7 +70,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Writes docs as token files in `folder` and returns the plan whose rows tell of each file: part, n_docs, n_tokens.
 
     Only key and text are read. A null text counts as empty and gets its end id only; null keys come first; repeated
-    rows are written as often as they occur, ordered by text where keys are equal. An empty table gives no file. `folder` is any place that pyarrow's file systems reach.
+    rows are written as often as they occur, ordered by a hash of the text and then the text where keys are equal, so that ranges can part them. An empty table gives no file. `folder` is any place that pyarrow's file systems reach.
     The files are written when the result is evaluated.
     """
 
@@ -107,8 +107,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         yield pa.record_batch([pa.array([part]), pa.array([len(sizes)]), pa.array([writer.total])], names=["part", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
-    return rows.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(write, "part long, n_docs long, n_tokens long")
+    bound_batches(docs.sparkSession)
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc(), F.asc_nulls_first("text")]
+    return rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(write, "part long, n_docs long, n_tokens long")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:

@@ -14,13 +14,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from . import words
 
-_MOST = 1_000_000
-_MOST_BYTES = 32 << 20
+_MOST = 300_000
+_MOST_BYTES = 16 << 20
 _LOADED: dict[str, Encoder] = {}
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -101,6 +100,8 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts in a row, and the n + 1 edges of its rows. Null is empty."""
+        import pandas as pd
+
         data, at = words.utf8(column)
         starts, ends, _ = words.split(data, at)
         if not len(starts):

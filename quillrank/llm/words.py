@@ -37,7 +37,7 @@ _SEED = mix(np.arange(_LONG + 2, dtype=np.uint64) * _U(_STEP) + _U(0xD6E8FEB8665
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batch with about `most` bytes of text each; a longer text gets a slice of its own."""
     _, at = utf8(batch.column(column))
     lo = 0
