@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +32,22 @@ SYNONYMS = {
 
 
 def strings(values: list[str] | tuple[str, ...]) -> Column:
-    """A literal array of strings."""
+    """A literal array of strings; a long one is split from one literal, which the optimizer does once."""
+    if len(values) > 8:
+        return F.split(F.lit("\x1f".join(values)), "\x1f")
     return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
 
 
+def table(rows: list | dict, kind: str) -> Column:
+    """A literal of any kind, read once by the optimizer from one JSON literal: plans stay small however long the table."""
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def js_round(x: Column) -> Column:
     """Rounds halves up, also below zero."""
     return F.floor(x + 0.5)
@@ -54,7 +69,7 @@ def tokenize(text: Column) -> Column:
 
 def topic_tokens(text: Column) -> Column:
     """As `tokenize`, without stop words."""
-    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 2) & ~F.array_contains(strings(STOPWORDS), t))
+    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS))
 
 
 def flat_tokens(texts: Column, split=tokenize) -> Column:  # noqa: ANN001
@@ -96,7 +111,7 @@ def norm_text(text: Column) -> Column:
 
 def normalize_phrase(text: Column) -> Column:
     """Lower case, dashes to blanks, then letters and single blanks only."""
-    dashes = F.regexp_replace(F.lower(text), "[‐-―-]", " ")
+    dashes = F.regexp_replace(F.lower(text), "[-–—]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(dashes, r"(?U)[^a-z\s]", ""), r"(?U)\s+", " "))
 
 

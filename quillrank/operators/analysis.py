@@ -56,12 +56,20 @@ def risk_counts(scored: DataFrame, score: str = "total") -> DataFrame:
     return kept.select("org_id", F.trim(F.regexp_replace("risk", r"(?s)\s*[—(].*$", "")).alias("risk")).groupBy("org_id", "risk").agg(F.count(F.lit(1)).alias("n"))
 
 
+def score_counts(scored: DataFrame, score: str = "total") -> DataFrame:
+    """(org_id, ok, s, n): how many pairs of each organization have which score, which is all that sums, shares and medians need."""
+    return scored.groupBy("org_id", F.col("passes_eligibility").alias("ok"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def upper_median(scored: DataFrame, score: str = "total") -> DataFrame:
     """The upper of the middle scores of eligible rows, by counting scores rather than gathering them."""
-    counts = scored.where("passes_eligibility").groupBy("org_id", F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return _upper_median(score_counts(scored, score))
+
+
+def _upper_median(counts: DataFrame) -> DataFrame:
     w = Window.partitionBy("org_id")
     upto = F.sum("n").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(w))
+    marked = counts.where("ok").withColumn("upto", upto).withColumn("all", F.sum("n").over(w))
     return marked.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("org_id").agg(F.min("s").alias("median_score"))
 
 
@@ -70,14 +78,15 @@ def metrics(scored: DataFrame, ranked: DataFrame, labels: DataFrame, score: str
 
     `ranked` has org_id, opp_id and rank; `labels` has org_id, opp_id, eval_label and feedback. Precision and recall are null without labels.
     """
-    ok, s = F.col("passes_eligibility"), F.col(score)
-    base = scored.groupBy("org_id").agg(
-        F.count(F.lit(1)).alias("total_scored"),
-        F.count_if(ok).alias("eligible"),
-        F.count_if(~ok).alias("ineligible"),
-        F.coalesce(js_round(F.avg(F.when(ok, s))), F.lit(0)).cast("long").alias("avg_score"),
-        js_round(F.count_if(~ok) / F.count(F.lit(1)) * 100).cast("long").alias("filtered_pct"),
-        *[F.count_if(ok & (s > lo) & (s <= hi)).alias(f"upto_{hi}") for lo, hi in ((-1, 20), (20, 40), (40, 60), (60, 80), (80, 10_000))],
+    counts, ok, s, n = score_counts(scored, score), F.col("ok"), F.col("s"), F.col("n")
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    base = counts.groupBy("org_id").agg(
+        F.sum("n").alias("total_scored"),
+        of(ok).alias("eligible"),
+        of(~ok).alias("ineligible"),
+        F.coalesce(js_round(F.sum(F.when(ok, s * n)) / F.sum(F.when(ok, n))), F.lit(0)).cast("long").alias("avg_score"),
+        js_round(of(~ok) / F.sum("n") * 100).cast("long").alias("filtered_pct"),
+        *[of(ok & (s > lo) & (s <= hi)).alias(f"upto_{hi}") for lo, hi in ((-1, 20), (20, 40), (40, 60), (60, 80), (80, 10_000))],
     )
     known = labels.select("org_id", "opp_id", "feedback", F.col("eval_label").isin(*RELEVANT).alias("relevant"))
     per_org = known.groupBy("org_id").agg(F.count(F.lit(1)).alias("labeled"), F.count_if("relevant").alias("n_relevant"))
@@ -90,7 +99,7 @@ def metrics(scored: DataFrame, ranked: DataFrame, labels: DataFrame, score: str
         F.count_if(F.col("feedback") == "bad").alias("bad_in_top_10"),
         js_round(F.avg(F.when(F.col("feedback").isNotNull(), rating)) * 100).cast("long").alias("avg_rating_x100"),
     )
-    out = base.join(upper_median(scored, score), "org_id", "left").join(top, "org_id", "left").join(per_org, "org_id", "left")
+    out = base.join(_upper_median(counts), "org_id", "left").join(top, "org_id", "left").join(per_org, "org_id", "left")
     percent = lambda a, b: F.when((F.col("labeled") > 0) & (F.col(b) > 0), js_round(F.coalesce(a, F.lit(0)) / F.col(b) * 100).cast("long"))
     out = out.withColumn("precision_at_5", percent("r5", "n5")).withColumn("precision_at_10", percent("r10", "n10")).withColumn("recall", percent("r10", "n_relevant"))
     return out.withColumn("bad_in_top_10", F.coalesce("bad_in_top_10", F.lit(0))).withColumn("median_score", F.coalesce("median_score", F.lit(0))).drop("n5", "n10", "r5", "r10", "labeled", "n_relevant")

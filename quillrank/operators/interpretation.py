@@ -1,12 +1,14 @@
-"""Interpretation of an opportunity's own text: cleaned title, activities, intended organizations, type and geographic scope."""
+"""Interpretation of an opportunity's own text: cleaned title, domains, activities, populations, intended organizations, signals, type and geographic scope."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strings
+from ..functions.text import strings, table
+from . import taxonomy as tx
 from .scoring_v2 import has
+from .scoring_v5 import plain_phrase
 
 #: Bureaucratic prefixes of titles, tried in order.
 PREFIXES = (
@@ -92,8 +94,20 @@ def intended_applicants(source: Column, eligibility: Column, title: Column, desc
     return F.when(F.size(best) > 0, best).otherwise(strings(("any",)))
 
 
+def _signals(scores: str, phrases: str, weak: Column) -> Column:
+    top = lambda a, n: F.slice(a, 1, n)
+    return F.struct(
+        top(F.col(phrases), 8).alias("strong"), top(F.array_distinct(weak), 8).alias("weak"), top(tx.ranked(F.col(scores), 1), 5).alias("exact"), top(tx.ranked(F.col(scores), 0), 5).alias("near")
+    )
+
+
 def interpret(opps: DataFrame) -> DataFrame:
-    """Adds clean_title, activities, applicants, type, scope and the confidences (in hundredths) of activities and applicants."""
+    """Adds clean_title, domains, subdomains, activities, populations, applicants, type, scope, places, phrases and signals of title and description,
+    and the confidences (in hundredths) of domains, activities, populations and applicants.
+
+    The description counts if it has more than 20 characters; its signals come from its first 2000. desc_phrases are (phrase, norm) of the description
+    that the title does not hold.
+    """
     out = opps.withColumn("clean_title", clean_title(F.col("title")))
     body = F.when(F.length(F.trim("description")) > 20, F.trim("description")).otherwise("")
     title, eligibility, source = F.lower("clean_title"), F.lower(F.array_join("eligibility", " ")), F.col("source")
@@ -118,5 +132,30 @@ def interpret(opps: DataFrame) -> DataFrame:
         "type": kind,
         "scope": F.coalesce(by_source, F.when(F.size("geography") > 0, field).otherwise(cue)),
     })
+    opening = F.substring(F.lower(body), 1, 2000)
+    whole = F.lower(F.concat_ws(" ", "clean_title", "clean_title", body))
+    out = out.withColumns({
+        "_title": tx.domain_scores(title), "_opening": tx.domain_scores(opening), "_whole": tx.domain_scores(whole),
+        "_title_phrases": tx.domain_phrases(title), "_opening_phrases": tx.domain_phrases(opening),
+        "_title_mission": tx.mission_phrases(title), "_text_mission": tx.mission_phrases(F.lower(body)),
+        "_people": F.array_distinct(F.concat(tx.population_tags(title), tx.population_tags(F.lower(body)))),
+    })
+    out = out.withColumns({"_domains": tx.ranked(F.col("_whole"), 0), "_subdomains": tx.ranked(F.col("_whole"), 1)})
+    weak_title = F.filter(tx.weak_words(title, 3), lambda w: ~F.exists("_title_phrases", lambda p: p.contains(w)))
+    none = strings(())
+    signals = _signals("_opening", "_opening_phrases", F.slice(tx.weak_words(opening, 4), 1, 20))
+    described = F.slice(F.array_except("_text_mission", "_title_mission"), 1, 8)
+    norms = table({p: plain_phrase(p) for p in tx.MISSION_PHRASES}, "map<string,string>")
+    spaced = F.transform("_subdomains", lambda s: F.replace(s, F.lit("_"), F.lit(" ")))
+    here = F.when(by_source.isNotNull(), F.when(F.size("geography") > 0, F.col("geography")).otherwise(F.array(by_source))).when(F.size("geography") > 0, F.col("geography")).when(F.col("scope") == "unknown", none).otherwise(F.array("scope"))
     share = lambda n: F.least(F.lit(100), n * 50)
-    return out.withColumn("activity_confidence", share(F.size("activities"))).withColumn("applicant_confidence", F.when(F.col("applicants")[0] == "any", 20).otherwise(share(F.size("applicants"))))
+    out = out.withColumns({
+        "domains": F.slice("_domains", 1, 8), "subdomains": F.slice("_subdomains", 1, 8), "populations": F.slice("_people", 1, 8), "places": here,
+        "mission_phrases": F.slice(F.concat("_title_mission", spaced), 1, 12), "all_phrases": F.slice(F.array_distinct(F.concat("_title_mission", "_text_mission")), 1, 12),
+        "desc_phrases": F.transform(described, lambda p: F.struct(p.alias("phrase"), norms[p].alias("norm"))), "generic_terms": tx.generic_terms(F.col("clean_title")),
+        "title_signals": _signals("_title", "_title_phrases", weak_title), "description_signals": F.when(body != "", signals).otherwise(F.struct(none.alias("strong"), none.alias("weak"), none.alias("exact"), none.alias("near"))),
+        "domain_confidence": share(F.size("_domains")), "activity_confidence": share(F.size("activities")), "population_confidence": share(F.size("_people")),
+        "applicant_confidence": F.when(F.col("applicants")[0] == "any", 20).otherwise(share(F.size("applicants"))),
+    })
+    out = out.withColumn("activities", F.slice("activities", 1, 6))
+    return out.drop("_title", "_opening", "_whole", "_title_phrases", "_opening_phrases", "_title_mission", "_text_mission", "_people", "_domains", "_subdomains")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(scored: DataFrame, k: int = 10, score: str = "total", by: str = "org_id", least: int = 1) -> DataFrame:
+def top_k(scored: DataFrame, k: int = 10, score: str = "total", by: str | tuple[str, ...] = "org_id", least: int = 1) -> DataFrame:
     """The k best eligible rows of each organization with a rank, ties in arrival order."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), F.asc("ord"))
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc(score), F.asc("ord"))
     return scored.where(F.col("passes_eligibility") & (F.col(score) >= least)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
@@ -46,13 +46,18 @@ def compare_two(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def compare_many(lists: dict[str, DataFrame]) -> DataFrame:
-    """Ranked lists by name, pivoted: score_<name> (0 if absent), rank_<name> (999), the spread of known ranks, and a flag from the first two."""
+    """Ranked lists (org_id, opp_id, score, rank) by name, compared as `compare_named` does."""
     rows = reduce(DataFrame.unionByName, [df.select("org_id", "opp_id", "score", "rank", F.lit(name).alias("variant")) for name, df in lists.items()])
+    return compare_named(rows, tuple(lists))
+
+
+def compare_named(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Ranked rows with their list's name as `variant`, pivoted: score_<name> (0 if absent), rank_<name> (999), the spread of known ranks, and a flag from the first two names."""
     wide = rows.groupBy("org_id", "opp_id").agg(
-        *[F.coalesce(F.max(F.when(F.col("variant") == n, F.col("score"))), F.lit(0)).alias(f"score_{n}") for n in lists],
-        *[F.coalesce(F.max(F.when(F.col("variant") == n, F.col("rank"))), F.lit(999)).alias(f"rank_{n}") for n in lists],
+        *[F.coalesce(F.max(F.when(F.col("variant") == n, F.col("score"))), F.lit(0)).alias(f"score_{n}") for n in names],
+        *[F.coalesce(F.max(F.when(F.col("variant") == n, F.col("rank"))), F.lit(999)).alias(f"rank_{n}") for n in names],
         (F.max("rank") - F.min("rank")).alias("rank_spread"),
     )
-    base, other = (F.col(f"rank_{n}") for n in list(lists)[:2])
+    base, other = (F.col(f"rank_{n}") for n in names[:2])
     flag = F.when((base == 999) & (other < 999), "new").when(other < base - 2, "rises").when(other > base + 2, "falls").otherwise("stable")
     return wide.withColumn("flag", flag)

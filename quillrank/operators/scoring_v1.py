@@ -135,22 +135,40 @@ def score_v1(pairs: DataFrame) -> DataFrame:
     return out.withColumn("total", sum((F.col(k) for k in DIMENSIONS[1:]), F.col(DIMENSIONS[0]))).drop("hits")
 
 
-def score_audit(pairs: DataFrame, weights: tuple[int, ...] = VARIANTS["v1_current"][0], synonyms: bool = False) -> DataFrame:
-    """The weighted audit scorer: other raw maxima (35, 25, 15, 15, 10), scaled to the weights; adds matched_tokens as well."""
-    own = F.col("org_wider") if synonyms else F.col("org_topics")
-    out = pairs.withColumn("matched_tokens", F.array_intersect(own, "topics")).withColumn("passes_eligibility", passes_eligibility())
-    hits, unique = F.size("matched_tokens"), F.size(own)
+def _audit_raw(own: Column, matched: Column) -> tuple[tuple[Column, int], ...]:
+    """The audit scorer's raw points of the five dimensions with their maxima, for an organization's tokens and those that match."""
+    hits, unique = F.size(matched), F.size(own)
     ratio = F.when(unique > 0, hits / F.least(unique, F.lit(20))).otherwise(0.0)
-    mission = js_round(F.least(F.lit(35.0), ratio * 35 + F.when(hits > 0, 5).otherwise(0)))
-    raw = (
-        (mission, 35),
+    return (
+        (js_round(F.least(F.lit(35.0), ratio * 35 + F.when(hits > 0, 5).otherwise(0))), 35),
         (_eligibility_points(15, 15, 25), 25),
         (_by(geography_level(), {"open": 10, "match": 15, "none": 0}), 15),
         (_by(funding_level(), {"unknown": 8, "ideal": 15, "near": 10, "small": 3, "large": 3, "partial": 6}), 15),
         (_maturity((10, 6, 8, 3, 6, 2)), 10),
     )
-    scaled = {k: F.when(F.col("passes_eligibility"), js_round(x / most * w).cast("long")).otherwise(F.lit(0).cast("long")) for k, (x, most), w in zip(DIMENSIONS, raw, weights, strict=True)}
-    out = out.withColumns(scaled)
+
+
+def _scaled(raw: list[tuple[Column, int]], weights: tuple[int, ...]) -> dict[str, Column]:
+    return {k: F.when(F.col("passes_eligibility"), js_round(x / most * w).cast("long")).otherwise(F.lit(0).cast("long")) for k, (x, most), w in zip(DIMENSIONS, raw, weights, strict=True)}
+
+
+def score_audit(pairs: DataFrame, weights: tuple[int, ...] = VARIANTS["v1_current"][0], synonyms: bool = False) -> DataFrame:
+    """The weighted audit scorer: other raw maxima (35, 25, 15, 15, 10), scaled to the weights; adds matched_tokens as well."""
+    own = F.col("org_wider") if synonyms else F.col("org_topics")
+    out = pairs.withColumn("matched_tokens", F.array_intersect(own, "topics")).withColumn("passes_eligibility", passes_eligibility())
+    out = out.withColumns(_scaled(_audit_raw(own, F.col("matched_tokens")), weights))
+    return out.withColumn("total", sum((F.col(k) for k in DIMENSIONS[1:]), F.col(DIMENSIONS[0])))
+
+
+def score_variants(pairs: DataFrame, names: tuple[str, ...] = tuple(VARIANTS)) -> DataFrame:
+    """The audit scorer's variants in one pass over the pairs: one slim row per pair and variant, with dimensions, total and passes_eligibility."""
+    plain, wide = (F.array_intersect(c, "topics") for c in ("org_topics", "org_wider"))
+    out = pairs.withColumns({"passes_eligibility": passes_eligibility(), "_plain": plain, "_wide": wide})
+    raws = {False: _audit_raw(F.col("org_topics"), F.col("_plain")), True: _audit_raw(F.col("org_wider"), F.col("_wide"))}
+    out = out.withColumns({f"_raw{i}": x for i, (x, _) in enumerate((raws[True][0], *raws[False]))})
+    at = lambda synonyms: [(F.col("_raw0" if synonyms and not i else f"_raw{i + 1}"), most) for i, (_, most) in enumerate(raws[False])]
+    each = [F.struct(F.lit(n).alias("variant"), *[v.alias(k) for k, v in _scaled(at(VARIANTS[n][1]), VARIANTS[n][0]).items()]) for n in names]
+    out = out.select("org_id", "id", "ord", "source", "passes_eligibility", F.explode(F.array(*each)).alias("v")).select("org_id", "id", "ord", "source", "passes_eligibility", "v.*")
     return out.withColumn("total", sum((F.col(k) for k in DIMENSIONS[1:]), F.col(DIMENSIONS[0])))
 
 

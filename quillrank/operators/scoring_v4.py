@@ -9,15 +9,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import SECTORS
-from ..functions.text import js_round, norm_text, parse_date, strings
+from ..functions.text import js_round, let, norm_text, parse_date, strings
 from . import scoring_v2 as v2
 from .pairs import pair_up
 from .scoring_v2 import has
 
-#: The default concept phrases, a short list of this repository's own; a full one is a parameter.
+#: Concept phrases of value, in their order (one of them comes twice).
 CONCEPTS = (
-    "maternal health", "workforce development", "job training", "affordable housing", "food security", "climate change", "clean energy", "mental health", "early childhood education", "small business", "community health",
-    "rural broadband", "veterans services", "arts education", "disaster relief", "substance abuse", "stem tutoring", "homelessness prevention", "refugee resettlement", "water infrastructure", "youth mentoring", "digital innovation",
+    "black maternal health", "maternal mortality", "maternal morbidity", "maternal health", "birth equity", "reproductive health", "birth outcomes", "prenatal care", "postpartum care", "obstetric care", "midwifery",
+    "perinatal health", "neonatal health", "infant mortality", "pregnancy outcomes", "pregnant people", "pregnant women", "family planning", "reproductive justice", "doula services",
+    "racial equity", "racial justice", "health disparities", "health inequities", "social determinants", "structural racism", "implicit bias", "black women", "black youth", "black communities", "black men",
+    "indigenous peoples", "native communities", "tribal nations", "latino communities", "asian american", "pacific islander", "hbcu", "minority serving institution", "minority owned",
+    "first generation", "english learner", "immigrant communities",
+    "mental health", "behavioral health", "substance use disorder", "opioid crisis", "addiction treatment", "recovery support", "trauma informed", "violence prevention", "domestic violence",
+    "sexual assault", "gun violence", "community violence", "suicide prevention", "crisis intervention", "peer support", "chronic disease", "diabetes prevention", "cancer screening",
+    "hiv prevention", "tuberculosis", "infectious disease", "oral health", "dental care", "vision care", "food insecurity", "food security", "hunger relief", "food desert",
+    "disability services", "independent living", "assistive technology", "veteran health", "veteran services", "veteran housing",
+    "workforce development", "job training", "career pathway", "workforce training", "career development", "job placement", "apprenticeship program", "work readiness", "economic mobility",
+    "small business development", "entrepreneurship training", "microenterprise", "minority business", "women owned business", "women entrepreneurs", "startup funding", "seed capital",
+    "angel investment", "venture capital", "business incubator",
+    "affordable housing", "housing instability", "housing insecurity", "homelessness prevention", "transitional housing", "permanent supportive housing",
+    "community development", "neighborhood revitalization", "community land trust", "financial literacy", "asset building", "wealth building", "community reinvestment", "place-based investment",
+    "clean energy", "renewable energy", "energy efficiency", "climate resilience", "climate adaptation", "climate justice", "environmental justice", "clean water", "air quality",
+    "solar energy", "green infrastructure", "carbon reduction", "carbon emissions", "carbon footprint", "sustainable technology", "water sanitation", "water access", "drinking water",
+    "agricultural technology", "precision agriculture", "sustainable agriculture", "food systems", "local food", "farm to table",
+    "early childhood education", "early learning", "school readiness", "literacy program", "adult literacy", "college access", "college readiness", "stem education", "afterschool program", "summer learning",
+    "special education", "inclusive education", "arts education", "digital learning", "edtech", "learning platform", "coding education", "computer science education",
+    "public health workforce", "community health worker", "health navigator", "community health center", "federally qualified health center", "rural health", "telehealth", "telemedicine", "health equity",
+    "digital equity", "digital inclusion", "broadband access", "technology access", "data privacy", "cybersecurity", "government technology", "civic technology", "open data",
+    "data infrastructure", "artificial intelligence", "machine learning",
+    "criminal justice reform", "reentry services", "legal aid", "civil rights", "voting rights", "immigration services", "refugee resettlement", "asylum seekers", "legal services", "public defender", "access to justice",
+    "public transit", "transportation equity", "mobility access", "transit-oriented development", "active transportation",
+    "arts education", "cultural programs", "creative economy", "performing arts", "visual arts", "public art",
+    "humanitarian aid", "disaster relief", "disaster recovery", "international development", "global health", "global development", "conflict affected", "fragile states", "emergency response",
 )
 #: Words that carry little meaning in this field.
 GENERIC = (
@@ -88,14 +112,13 @@ TIERS = ((70, "excellent"), (55, "strong"), (38, "moderate"))
 
 def contained(text: Column, phrases: tuple[str, ...]) -> Column:
     """The phrases that occur in a normalized text, in their order."""
-    return F.filter(strings(phrases), lambda p: text.contains(p))
+    return let(text, lambda t: F.filter(strings(phrases), lambda p: t.contains(p)))
 
 
 def population_tags(text: Column, table: dict[int, tuple[str, ...]] = POPULATIONS) -> Column:
     """The populations a normalized text names, without those that are part of a longer one it names."""
     every = tuple(p for level in table.values() for p in level)
-    found = contained(text, every)
-    return F.filter(found, lambda t: ~F.exists(found, lambda o: (o != t) & o.contains(t)))
+    return let(contained(text, every), lambda found: F.filter(found, lambda t: ~F.exists(found, lambda o: (o != t) & o.contains(t))))
 
 
 def specificity(tags: Column, table: dict[int, tuple[str, ...]] = POPULATIONS) -> Column:
@@ -187,13 +210,13 @@ def eligibility(satisfies: dict[str, tuple[str, ...]] = SATISFIES) -> Column:
 
 
 def geography() -> Column:
-    """8 for the same place, 6 for a region around it, 5 for open, 2 for elsewhere in a national scope, 0 otherwise."""
+    """8 for the same place and 6 for a region around it, by the first pair of places that has either; 5 for open, 2 for elsewhere in a national scope, 0 otherwise."""
     text, own, wanted = F.array_join("places", " "), F.col("org_places"), F.col("places")
     names = strings(tuple(REGIONS))
     national = has(text, "united states", "national", "nationwide") | text.isin("us", "usa")
     in_us = F.exists(own, lambda g: g.contains("united states") | g.isin("us", "usa", "national", "nationwide") | F.exists(names, lambda s: g.contains(s) | s.contains(g)))
     alias = F.create_map(*[x for k, v in REGIONS.items() for x in (F.lit(k), strings(v))])
-    near = F.exists(own, lambda o: F.exists(wanted, lambda p: o.contains(p) | p.contains(o) | F.arrays_overlap(F.coalesce(F.try_element_at(alias, o), F.array(o)), F.coalesce(F.try_element_at(alias, p), F.array(p)))))
+    near = lambda o, p: o.contains(p) | p.contains(o) | F.arrays_overlap(F.coalesce(F.try_element_at(alias, o), F.array(o)), F.coalesce(F.try_element_at(alias, p), F.array(p)))
 
     def within(a: Column, b: Column) -> Column:
         out = F.lit(False)
@@ -201,8 +224,9 @@ def geography() -> Column:
             out = out | (a.contains(region) & F.exists(strings(states), lambda s: b.contains(s) | s.contains(b)))
         return out
 
-    around = F.exists(own, lambda o: F.exists(wanted, lambda p: within(o, p) | within(p, o)))
-    return F.when(F.size(wanted) == 0, 5).when(has(text, "global", "international"), 5).when(national, F.when(in_us, 8).otherwise(2)).when(near, 8).when(around, 6).otherwise(0)
+    related = F.flatten(F.transform(own, lambda o: F.transform(wanted, lambda p: F.when(near(o, p), 8).when(within(o, p) | within(p, o), 6).otherwise(0))))
+    first = F.coalesce(F.try_element_at(F.filter(related, lambda v: v > 0), F.lit(1)), F.lit(0))
+    return F.when(F.size(wanted) == 0, 5).when(has(text, "global", "international"), 5).when(national, F.when(in_us, 8).otherwise(2)).otherwise(first)
 
 
 def funding() -> Column:
@@ -229,12 +253,12 @@ def score_v4(pairs: DataFrame) -> DataFrame:
     """Adds ten dimensions, boosts, penalties by type, penalty_total, total, confidence and passes_eligibility; failing pairs score 0 and are `ineligible`."""
     c, size = F.col, F.size
     out = pairs.withColumns({
-        "exact": F.array_intersect("org_phrases", "phrases"),
+        "exact": F.filter("org_phrases", lambda p: F.array_contains("phrases", p)),
         "domains": size(F.array_intersect("org_sectors", "sectors")),
         "matched": F.filter("words", lambda t: F.array_contains("org_words", t)),
         "shared_pops": F.array_intersect("pops", "org_pops"),
-        "title_hits": size(F.array_intersect("org_phrases", "title_phrases")),
-        "opening_hits": size(F.array_intersect("org_phrases", "opening_phrases")),
+        "title_hits": size(F.filter("org_phrases", lambda p: F.array_contains("title_phrases", p))),
+        "opening_hits": size(F.filter("org_phrases", lambda p: F.array_contains("opening_phrases", p))),
     })
     special = F.filter("matched", lambda t: ~t.isin(*GENERIC) & (F.length(t) > 3))
     out = out.withColumn("specific", F.when(size("matched") > 0, size(special) / size("matched")).otherwise(0.0))

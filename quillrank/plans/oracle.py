@@ -22,7 +22,7 @@ _OPPS = f"""
 opps as (
   select 'doc_' || doc_id as id, doc_id as ord, {_pick(tuple(s[0] for s in SOURCES), "cast(substr(source, 4) as int)")} as source, source as source_raw,
     {_pick(PHRASES, "doc_id")} || ' ' || {_pick(FRAMES, "doc_id")} as title,
-    {_pick(PHRASES, "doc_id * 7 + 3")} || ' ' || {_pick(NOTES, "doc_id")} || coalesce(' ' || substr(text, 1, 200), '') as description,
+    {_pick(PHRASES, "doc_id * 7 + 3")} || ' ' || {_pick(NOTES, "doc_id")} || coalesce(' ' || text, '') as description,
     {_pick(FUNDING, "doc_id")} as funding_type,
     case when doc_id % 13 = 12 then null when doc_id % 11 = 10 then 'rolling' else strftime(date '2026-03-01' + cast(doc_id * 3 % 180 as int), '%Y-%m-%d') end as close_date,
     case when doc_id % 6 <> 0 then n_chars * 10 end as min_award, case when doc_id % 5 <> 0 then n_chars * 100 end as max_award,

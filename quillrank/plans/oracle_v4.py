@@ -55,7 +55,7 @@ p4 as (select *, {_has('full_norm', CONCEPTS)} as ph, {_has('tn', CONCEPTS)} as
       when {_any('ctext', 'community nonprofit', 'community-based', 'nonprofit organization', '501(c)(3)', 'community organization')} then 'community_nonprofit'
       when {_any('ctext', 'healthcare provider', 'health center', 'hospital', 'clinic', 'federally qualified')} then 'healthcare_provider' when {_any('ctext', 'nonprofit', 'ngo', 'charity', 'foundation')} then 'nonprofit' else 'open' end as intended from p4a),
 x4 as (select d2.org_id, d2.id, d2.ord, d2.source, d2.type, class, elig, cap, gap, budget, min_award, max_award, has_501c3, is_small, os, op, pp, m, am, pm, d_a, d_c, boost, p4.* exclude (title, description, tt, type, eligibility, geography, n), o4.*,
-    list_intersect(oph, ph) as exact, list_filter(words, lambda t: list_contains(owords, t)) as mt, list_intersect(pops, opops) as sp, len(list_intersect(oph, tph)) as th, len(list_intersect(oph, oph2)) as oh,
+    list_filter(oph, lambda q: list_contains(ph, q)) as exact, list_filter(words, lambda t: list_contains(owords, t)) as mt, list_intersect(pops, opops) as sp, len(list_filter(oph, lambda q: list_contains(tph, q))) as th, len(list_filter(oph, lambda q: list_contains(oph2, q))) as oh,
     d2.type = 'procurement_contract' and class not in ('contractor', 'small_business', 'government') as bar1, d2.type = 'research_grant' and class not in ('university', 'research_institution') as bar2,
     {_listed('intended', {k: v[0] for k, v in SUITS.items()})} as good, {_listed('intended', {k: v[1] for k, v in SUITS.items()})} as bad,
     len(elig) = 0 or not ((list_contains(elig, '501c3') and not has_501c3 and class not in ('government', 'university', 'tribal')) or (list_has_all(['small_business', 'for_profit', '8a_certified', 'hubzone', 'sdvosb'], elig) and not is_small and class not in ('small_business', 'contractor'))
@@ -73,8 +73,8 @@ z4 as (select *, least(26, case when len(exact) = 0 and ratio < 0.3 and craw > 3
     case when len(elig) = 0 then 6 when list_contains(elig, 'all') then 8 when {" or ".join(f"(class = '{c}' and list_has_any(elig, {_array(v)}))" for c, v in SATISFIES.items())}
       then case when has_501c3 and list_contains(elig, '501c3') then 10 when is_small and list_has_any(elig, ['small_business', 'for_profit']) then 9 else 8 end else 5 end as e6,
     case when len(places) = 0 or contains(pl, 'global') or contains(pl, 'international') then 5 when {_NATIONAL} then case when {_IN_US} then 8 else 2 end
-      when len(list_filter(oplaces, lambda o: len(list_filter(places, lambda p: contains(o, p) or contains(p, o) or list_has_any({_ALIAS.format('o')}, {_ALIAS.format('p')}))) > 0)) > 0 then 8
-      when len(list_filter(oplaces, lambda o: len(list_filter(places, lambda p: {_within('o', 'p')} or {_within('p', 'o')})) > 0)) > 0 then 6 else 0 end as e7,
+      else coalesce(list_filter(flatten(list_transform(oplaces, lambda o: list_transform(places, lambda p: case when contains(o, p) or contains(p, o) or list_has_any({_ALIAS.format('o')}, {_ALIAS.format('p')}) then 8
+        when {_within('o', 'p')} or {_within('p', 'o')} then 6 else 0 end))), lambda v: v > 0)[1], 0) end as e7,
     floor(d_c::double / 10 * 7 + 0.5)::bigint as e8,
     case when max_award is null and min_award is null then 3 when coalesce(max_award, min_award) >= budget * 0.1 and coalesce(min_award, 0) <= budget * 3.0 then 6 when coalesce(max_award, min_award) >= budget * 0.05 and coalesce(min_award, 0) <= budget * 5.0 then 4
       when coalesce(max_award, min_award) < budget * 0.05 then 2 when coalesce(min_award, 0) <= budget * 10.0 then 3 else 1 end as e9,

@@ -49,12 +49,14 @@ def v1_capped_top(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.capped_top_k(_scores(spark, sf), k=10, cap=3).select(*_KEYS, "source", "total", "rank")
 
 
+def _variants(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """The 20 best of each organization by each variant, all from one pass over the pairs."""
+    scored = v1.score_variants(v1.pairs(views.opportunities(spark, sf), views.organizations(spark, sf)), names or tuple(v1.VARIANTS))
+    return ranking.top_k(scored, 20, by=("variant", "org_id"))
+
+
 def audit_weighted_variants(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for name in v1.VARIANTS:
-        top = ranking.top_k(_audit(spark, sf, name), 20).select(F.lit(name).alias("variant"), *_KEYS, "total", "rank")
-        out = top if out is None else out.unionByName(top)
-    return out
+    return _variants(spark, sf).select("variant", *_KEYS, "total", "rank")
 
 
 def audit_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +69,7 @@ def compare_v1_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def compare_variants(spark: SparkSession, sf: str) -> DataFrame:
     names = ("v1_current", "v1_mission_heavy", "v1_synonyms")
-    return ranking.compare_many({n: _list(ranking.top_k(_audit(spark, sf, n), 20)) for n in names})
+    return ranking.compare_named(_variants(spark, sf, *names).select("variant", "org_id", F.col("id").alias("opp_id"), F.col("total").alias("score"), "rank"), names)
 
 
 def sweep_funnel(spark: SparkSession, sf: str) -> DataFrame:

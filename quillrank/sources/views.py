@@ -1,7 +1,7 @@
 """Opportunities, organizations, labels and events derived from the driver's tables.
 
 The driver's tables hold no funding data. Titles, keywords and missions are put together from fixed phrases by arithmetic on the key, so that the
-topical operators have something to find; descriptions end with the start of the documents' own text. See the README.
+topical operators have something to find; descriptions end with the whole text of the document. See the README.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(strings(KEYS), (F.pmod(F.substring("source", 4, 9).cast("int"), F.lit(11)) + 1).cast("int")).alias("source"),
         F.col("source").alias("source_raw"),
         F.concat_ws(" ", _pick(PHRASES, n), _pick(FRAMES, n)).alias("title"),
-        F.concat_ws(" ", _pick(PHRASES, n * 7 + 3), _pick(NOTES, n), F.substring("text", 1, 200)).alias("description"),
+        F.concat_ws(" ", _pick(PHRASES, n * 7 + 3), _pick(NOTES, n), "text").alias("description"),
         F.concat(F.lit("Agency "), F.pmod(n, F.lit(17))).alias("agency"),
         _pick(FUNDING, n).alias("funding_type"),
         F.lit("active").alias("status"),

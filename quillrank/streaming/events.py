@@ -39,10 +39,13 @@ def toggled_status(events: DataFrame) -> DataFrame:
 
 
 def _toggle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Only the last run of equal statuses counts, and whether its length is odd; a run that begins with the batch goes on from the state."""
     now = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for s in rows["status"]:
-        now = None if now == s else s
+    s = pd.concat(list(batches)).sort_values(["ts", "event_id"])["status"].to_numpy()
+    changes = (s[1:] != s[:-1]).nonzero()[0]
+    start = int(changes[-1]) + 1 if len(changes) else 0
+    n = len(s) - start + (start == 0 and now == s[-1])
+    now = s[-1] if n % 2 else None
     state.update((now,))
     yield pd.DataFrame({"source_user_id": [key[0]], "opp_id": [key[1]], "status": [now]})
 
