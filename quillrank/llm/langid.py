@@ -153,7 +153,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pa.array(out, pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]))
 
     found = free_name(docs, "found")
-    return docs.withColumn(found, infer(F.col("text"))).select(*[F.col(f"`{c}`") for c in keep], f"{found}.*")
+    # Not to be run once more for each filter on what it finds.
+    return docs.withColumn(found, infer.asNondeterministic()(F.col("text"))).select(*[F.col(f"`{c}`") for c in keep], f"{found}.*")
 
 
 def identify_by_own_labels(docs: DataFrame) -> DataFrame:
