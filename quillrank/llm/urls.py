@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import free_name
+
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BITS_PER_URL = 16
@@ -77,11 +79,11 @@ def mark_listed(urls: DataFrame, listed: DataFrame, column: str = "canonical") -
     blocks = max(1, -(-wanted.count() * BITS_PER_URL // 64))
     words = bloom_blocks(wanted, blocks, column)
     words = F.broadcast(words) if blocks <= MOST_BROADCAST else words
-    bits = _bits(F.col(column))
-    marked = urls.withColumn("block", _block(F.coalesce(column, F.lit("")), blocks)).join(words, "block", "left")
-    marked = marked.withColumn("possible", F.coalesce(F.col("word").bitwiseAND(bits) == bits, F.lit(False))).drop("block", "word")
-    sure = marked.where("possible").join(wanted.withColumn("listed", F.lit(True)), column, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return marked.where("not possible").withColumn("listed", F.lit(False)).unionByName(sure).drop("possible")
+    bits, block, word, possible = _bits(F.col(column)), *(free_name(urls, n) for n in ("block", "word", "possible"))
+    marked = urls.withColumn(block, _block(F.coalesce(column, F.lit("")), blocks)).join(words.select(F.col("block").alias(block), F.col("word").alias(word)), block, "left")
+    marked = marked.withColumn(possible, F.coalesce(F.col(word).bitwiseAND(bits) == bits, F.lit(False))).drop(block, word)
+    sure = marked.where(F.col(possible)).join(wanted.withColumn("listed", F.lit(True)), column, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return marked.where(~F.col(possible)).withColumn("listed", F.lit(False)).unionByName(sure).drop(possible)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -93,10 +95,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str]
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url")).withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), canonical(F.col("host"), F.col("path"), F.col("url")).alias("canonical"))
-    ruled, free = rows.where("rule is not null"), rows.where("rule is null")
-    judged = mark_listed(free, listed).withColumn("verdict", F.when(F.col("listed"), "block").otherwise("allow"))
-    return ruled.drop("canonical").unionByName(judged.drop("canonical", "listed"))
+    wanted = F.when(rule.isNull(), canonical(F.col("host"), F.col("path"), F.col("url")))  # a rule's verdict needs no look at the list
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), wanted.alias("canonical"))
+    judged = F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow"))
+    return mark_listed(rows, listed).select("page_id", "host", "path", "rule", judged.alias("verdict"))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
