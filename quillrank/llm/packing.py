@@ -77,7 +77,7 @@ def write_sequences(pieces: DataFrame, counts: dict[int, int], scratch: Scratch)
     placed = reduce(DataFrame.unionAll, ranges or [pieces]).withColumn("_at", at)
     part, row = F.shiftright("_at", 33).alias("part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row")
     rows = placed.select("doc_id", "start", "doc_tokens", "width", "ids", part, row, "length").sortWithinPartitions("length", "part", "row")
-    return scratch.save(rows, "sequences", by=["length"])
+    return scratch.save(rows, "sequences", by=["length"], codec="zstd")
 
 
 def number_sequences(written: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, longest
 
     The pieces are written once before they are ordered, as range partitioning reads its input twice.
     """
-    pieces = scratch.save(cut_documents(docs, tokenizer, end_id, longest), "pieces", by=["length"])
+    pieces = scratch.save(cut_documents(docs, tokenizer, end_id, longest), "pieces", by=["length"], codec="zstd")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each power of two
     written = write_sequences(pieces, counts, scratch)
     scratch.drop(pieces)

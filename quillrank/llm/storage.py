@@ -28,11 +28,11 @@ class Scratch:
         self.spark, self.path, self.made = spark, f"{shared_folder(spark)}/quillrank/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame, name: str = "table", by: Sequence[str] = ()) -> DataFrame:
+    def save(self, df: DataFrame, name: str = "table", by: Sequence[str] = (), codec: str = "snappy") -> DataFrame:
         """The same rows, read back from Parquet, which has a folder for each value of the columns `by`."""
         self.made += 1
         path = f"{self.path}/{self.made}-{name}"
-        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path, partitionBy=list(by) or None)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path, partitionBy=list(by) or None, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

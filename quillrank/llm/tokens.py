@@ -3,7 +3,7 @@
 A text is cut at ASCII blanks, and between an ASCII letter and a following ASCII punctuation mark other than the
 apostrophe. The tokenizers used here never join characters across such places, so a text's ids are its pieces' ids in
 a row. Each Python worker keeps the ids of the pieces it has seen in flat arrays, so that a frequent word is encoded
-once and not a million times; the memory is bounded by `_MOST` pieces and `_MOST_BYTES` of them, after which the worker starts afresh. Texts that
+once and not a million times; the memory is bounded by `_MOST` pieces and `_MOST_BYTES` of them, beyond which only those stay that have been met again since the last time. Texts that
 hold the string of a special token are encoded whole, so that they too get the ids that the library gives them. Pieces are found by
 a 64-bit hash and then compared byte by byte; a text with a piece that shares another's hash is encoded whole too. A new
 encoder first checks on a probe that piece-wise and whole-text encoding agree, and refuses the tokenizer otherwise.
@@ -51,15 +51,42 @@ class Encoder:
         self.used, self.ids = 0, np.empty(1 << 20, self.dtype)
         self.filled, self.bytes = 0, np.zeros(1 << 20, np.uint8)
         self.byte_at, self.byte_count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
+        self.met = np.zeros(1 << 16, bool)
+
+    def _shed(self) -> None:
+        """Drops the pieces that have not been met again; all of them if most have."""
+        kept = np.flatnonzero(self.met[: self.n])
+        if len(kept) > _MOST // 2 or self.byte_count[kept].sum() > _MOST_BYTES // 2:
+            return self.forget()
+        hashes = np.empty(self.n, np.uint64)
+        for known, slot in self.tiers:
+            hashes[slot] = known
+        hashes, old = hashes[kept], (self.ids, self.start[kept], self.count[kept], self.bytes, self.byte_at[kept], self.byte_count[kept].astype(np.int64))
+        self.forget()
+        ids, ids_at = _gathered(*old[:3])
+        raw, raw_at = _gathered(*old[3:])
+        self._room(len(kept), len(ids), len(raw))
+        self.ids[: len(ids)], self.start[: len(kept)], self.count[: len(kept)], self.used = ids, ids_at, old[2], len(ids)
+        self.bytes[: len(raw)], self.byte_at[: len(kept)], self.byte_count[: len(kept)], self.filled = raw, raw_at, old[5], len(raw)
+        self.n = len(kept)
+        order = np.argsort(hashes)
+        self.tiers = [(hashes[order], order)] if len(order) else []
+
+    def _room(self, pieces: int, ids: int, size: int) -> None:
+        """Makes room for so many more pieces, ids and bytes."""
+        while self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.filled + size + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        while self.n + pieces > len(self.start):
+            self.start, self.count, self.byte_at, self.byte_count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count, self.byte_at, self.byte_count))
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
 
     def _keep(self, texts: list[bytes]) -> None:
         """Stores the bytes of the pieces that are about to be learned."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         total = int(sizes.sum())
-        while self.filled + total + 8 > len(self.bytes):
-            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
-        while self.n + len(texts) > len(self.byte_at):
-            self.byte_at, self.byte_count = (np.concatenate([x, np.empty_like(x)]) for x in (self.byte_at, self.byte_count))
+        self._room(len(texts), 0, total)
         self.bytes[self.filled : self.filled + total] = np.frombuffer(b"".join(texts), np.uint8)
         self.byte_at[self.n : self.n + len(texts)] = self.filled + np.cumsum(sizes) - sizes
         self.byte_count[self.n : self.n + len(texts)] = sizes
@@ -73,10 +100,7 @@ class Encoder:
             if not got.word_ids or got.word_ids[-1] != len(some) - 1:
                 got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids, sizes = np.array(got.ids, self.dtype), np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while self.n + len(some) > len(self.start):
-                self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
+            self._room(len(some), len(ids), 0)
             self.ids[self.used : self.used + len(ids)] = ids
             self.count[self.n : self.n + len(some)] = sizes
             self.start[self.n : self.n + len(some)] = self.used + np.cumsum(sizes) - sizes
@@ -118,7 +142,7 @@ class Encoder:
         ends = np.flatnonzero(cut) + 1
         code, distinct = pd.factorize(words.hashes(data, starts, ends, lower=self.lower))
         if self.n + len(distinct) > _MOST or self.filled > _MOST_BYTES:
-            self.forget()
+            self._shed()
         slot = self._find(distinct)
         first, size = np.empty(len(distinct), np.int64), ends - starts
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
@@ -127,6 +151,7 @@ class Encoder:
         same = (size == size[first[code]]) & words.equal(raw, starts, raw, starts[first[code]], size)
         if len(old):
             known, own = slot[old], first[old]
+            self.met[known] = True
             fits = self.byte_count[known] == size[own]
             fits[fits] = words.equal(self.bytes, self.byte_at[known[fits]], raw, starts[own[fits]], size[own[fits]])
             if not fits.all():
@@ -163,6 +188,13 @@ class Encoder:
         return found
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat in a row, and where each begins."""
+    upto = np.cumsum(count)
+    at = upto - count
+    return flat[np.repeat(start - at, count) + np.arange(upto[-1] if len(upto) else 0)], at
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _LOADED:
