@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, pii, urls
+from . import neardup, pii, sharding, urls
 from .decontamination import op2_decontamination
 from .fingerprints import op10_fingerprints
 from .langid import op9_langid
 from .lm import op1_lm
 from .packing import op5_packing
-from .sharding import op8_sharding
 from .token_files import op3_token_files
 
 
@@ -25,11 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_neardup": neardup.op6_neardup,
         "op7_urls": urls.op7_urls,
-        "op8_sharding": op8_sharding,
+        "op8_sharding": sharding.op8_sharding,
         "op9_langid": op9_langid,
         "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii.SQL, "op6_neardup": neardup.SQL, "op7_urls": urls.SQL}
+    return {"op4_pii": pii.SQL, "op6_neardup": neardup.SQL, "op7_urls": urls.SQL, "op8_sharding": sharding.SQL}

@@ -45,3 +45,19 @@ def assign_shards(docs: DataFrame, shards: int, scratch: Scratch, key: str = "do
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40, Scratch(spark, "op8"))
+
+
+#: The checksum's table from its generator polynomial, the checksum byte by byte, and prefix sums over all rows.
+SQL = """
+with t as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, n: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as tab),
+d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select doc_id, length(h) // 2 as n, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint) as bytes from d),
+c as (
+  select doc_id, (n + 16)::bigint as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c // 256, tab[1 + xor(c, x) % 256])), 4294967295)::bigint as text_crc32
+  from b cross join t),
+w as (select *, sum(size) over (order by doc_id, size, text_crc32 rows unbounded preceding) - size as before, sum(size) over () as total from c),
+s as (select *, least(39, ((2 * before + size) * 40) // (2 * total))::int as shard from w)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id, size, text_crc32) - 1 as slot, null::int as grown_shard from s
+"""
