@@ -22,7 +22,9 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without text or letters and those without a main language; the model learns from docs' own labels.
 
-    lang stays as it is where it was given, and is filled by the prediction where it was null.
+    lang stays as it is where it was given, and is filled by the prediction where it was null. A null or empty text has no letters and goes. Rows are judged one by
+    one: repeated rows and rows without a doc_id stay or go by their own text. Without any labelled row nothing can be told and all rows go. Other
+    columns are left out, whatever their names; an empty table stays empty.
     """
     found = langid.identify_by_own_labels(docs)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
@@ -32,7 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8).
 
-    Rows that repeat a doc_id with the same text are copies as well: one of them stays. Rows without a doc_id stay.
+    Rows that repeat a doc_id with the same text are copies as well: one of them stays. A doc_id with several texts counts as one document, and its texts stay or
+    go together. Rows without a doc_id, and documents without words (null texts included), are copies of nothing and stay. An empty table stays empty.
     """
     found = neardup.near_duplicates(docs, Scratch(spark, "pipeline-near"), percent=80, k=5)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
@@ -45,19 +48,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, each row by its own text; null and empty texts, and all rows where there is no benchmark, stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.clean_documents(docs, benchmark, Scratch(spark, "pipeline-leaks")).select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by the names of their kinds and counts n_chars anew; keeps all documents."""
+    """Replaces personal data in the texts by the names of their kinds and counts n_chars anew; keeps all rows.
+
+    A null text stays null, with null n_chars. Repeated rows stay repeated.
+    """
     clean = pii.redact(pii.find_pii(docs.select(*COLUMNS))).drop("pii")
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the documents into sequences of power-of-two lengths; one row per sequence, with its ids."""
+    """Cuts the documents into sequences of power-of-two lengths; one row per sequence, with its ids.
+
+    A null or empty text gives one sequence, its end id. Repeated rows and rows without a doc_id are packed like any others; no document gives no sequence.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, Scratch(spark, "pipeline-pack"))
 
 
