@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
-from quillrank.operators import analysis, ranking, scoring_v1, scoring_v2, store
+from quillrank.operators import analysis, interpretation, ranking, scoring_v1, scoring_v2, scoring_v4, scoring_v5, store, taxonomy
 from quillrank.sources import landed, registry
 from quillrank.streaming import events
 
@@ -145,3 +145,61 @@ def test_stream_ingest_ends_like_a_batch_upsert(spark, tmp_path):
     events.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
     got = {r["source_record_id"]: r["title"] for r in spark.read.parquet(str(tmp_path / "store/v=0")).collect()}
     assert got == {str(i % 7): f"t{i}" for i in range(20)}
+
+
+def test_title_scorer_by_hand(spark):
+    """`health equity` is in the title (40), both words of `maternal health` are (28): 68, cut to 60. Two cues name nonprofits. One of seven words is generic."""
+    pairs = scoring_v5.pairs(opps(spark, {}, {"id": "sg_002", "title": "Community Innovation Support Program", "eligibility": [], "source": "ted_eu"}), orgs(spark, {}))
+    got = {r["id"]: r for r in scoring_v5.score_v5(pairs).collect()}
+    values = lambda r: tuple(r[d] for d in (*scoring_v5.DIMENSIONS, "total", "confidence"))
+    assert values(got["sg_001"]) == (60, 25, 0, 4, 0, 89, "excellent")
+    assert got["sg_001"]["reasons"] == ["Org mission phrase in title: health equity", "Org focus area words in title: maternal", "Strong org-type match: nonprofit = intended applicant"] and got["sg_001"]["risks"] == []
+    # All four words are generic (20, times 1.4 without a match, at most 20); nobody is meant (7); another continent's source (1).
+    assert values(got["sg_002"]) == (0, 7, 0, 1, 20, 0, "weak")
+    assert len(got["sg_002"]["risks"]) == 3
+
+
+def test_stems_phrases_and_siblings():
+    assert [scoring_v5.plain_stem(w) for w in ("services", "training", "communities", "workers", "mental", "wind", "education", "business")] == ["servic", "train", "community", "worker", "ment", "wind", "educa", "busi"]
+    assert scoring_v5.siblings()["clean energy"] == ["renewable energy", "green energy", "solar energy", "wind energy"]  # the later group's
+    assert [scoring_v5.needed(n) for n in (2, 3, 4, 5)] == [2, 3, 3, 4]
+
+
+def test_stem_column_equals_plain_stem(spark):
+    words = ["services", "ties", "applied", "king", "training", "nation", "kindness", "payment", "mental", "metal", "workers", "boxes", "gas", "class", "a", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", scoring_v5.stem(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in rows} == {w: scoring_v5.plain_stem(w) for w in words}
+
+
+def test_interpreter_by_hand(spark):
+    change = {"title": "NOFO - Maternal and Child Health Equity Initiative", "description": "Job training for veterans, and youth employment near wind farms.", "eligibility": ["nonprofit"]}
+    r = interpretation.interpret(opps(spark, change, {"description": None, "title": "Pre-K wicker arts"})).orderBy("domains").collect()
+    by = {x["clean_title"]: x for x in r}
+    one, two = by["Maternal and Child Health Equity Initiative"], by["Pre-K wicker arts"]
+    # health: 18 (health equity) + 8 (the word maternal); workforce: 20 (job training) + 20 (youth employment); climate: 8 (wind); veterans: 8.
+    assert one["domains"] == ["workforce", "health", "climate", "veterans"] and one["subdomains"] == ["workforce_development", "youth_workforce", "health_equity", "maternal_health", "clean_energy", "veteran_services"]
+    assert one["populations"] == ["pregnant_people", "youth", "veterans"]
+    assert [p["phrase"] for p in one["desc_phrases"]] == ["job training"] and one["generic_terms"] == ["initiative"] and one["domain_confidence"] == 100
+    assert one["title_signals"]["strong"] == ["health equity"] and one["title_signals"]["weak"] == ["maternal", "child"]
+    # pre-k counts as a word, wic inside a longer one does not.
+    assert two["subdomains"] == ["early_childhood", "arts"] and two["description_signals"]["strong"] == [] and two["domain_confidence"] == 100
+
+
+def test_whole_words(spark):
+    row = spark.createDataFrame([("a hiv-positive group, wicker, stem_cell, k12 coding",)], "t string").select(taxonomy.ranked(taxonomy.domain_scores(F.col("t")), 1).alias("s")).first()
+    assert row["s"] == ["stem", "sexual_health"]
+
+
+def test_first_related_pair_of_places_decides(spark):
+    rows = [(["greater midwest area", "texas"], ["ohio", "texas"]), (["texas"], ["ohio", "texas"]), (["kenya"], ["ohio"]), (["kenya"], [])]
+    got = spark.createDataFrame(rows, "org_places array<string>, places array<string>").select(scoring_v4.geography().alias("g")).collect()
+    assert [r["g"] for r in got] == [6, 8, 0, 5]
+
+
+def test_variants_in_one_pass_equal_single_ones(spark):
+    pairs = scoring_v1.pairs(opps(spark, {}, {"id": "b", "geography": ["Kenya"], "max_award": None}), orgs(spark, {}, {"id": "o2", "has_501c3": False}))
+    every = {(r["variant"], r["org_id"], r["id"]): r["total"] for r in scoring_v1.score_variants(pairs).collect()}
+    for name, (weights, synonyms) in scoring_v1.VARIANTS.items():
+        for r in scoring_v1.score_audit(pairs, weights, synonyms).collect():
+            assert every[name, r["org_id"], r["id"]] == r["total"]
+    assert len(every) == 4 * len(scoring_v1.VARIANTS)
