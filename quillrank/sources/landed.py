@@ -100,10 +100,9 @@ def _list(spec: list[str] | tuple[str, ...]) -> Column:
     return strings(spec) if isinstance(spec, tuple) else _array(_first(spec))
 
 
-def normalize_source(landed: DataFrame, source: str) -> DataFrame:
-    """The canonical records of one source from landed (source, payload, landed_at)."""
-    f, rows = FIELDS[source], landed.where(F.col("source") == source)
-    rows = rows.withColumn("_id", _first(f["id"])).where(F.coalesce("_id", F.lit("")) != "")
+def _record(source: str) -> Column:
+    """The canonical record of a row (payload, landed_at) of one source, whose id is in `_id`."""
+    f = FIELDS[source]
     i, key = F.col("_id"), dedupe_key(F.lit(source), F.col("_id"))
     title, funding, status, opened = _first(f["title"]), _first(f["funding_type"]), _first(f["status"]), _first(f["open_date"])
     categories, eligibility = _list(f["categories"]), _list(f["eligibility"])
@@ -120,7 +119,7 @@ def normalize_source(landed: DataFrame, source: str) -> DataFrame:
         title = F.when(title.isNull(), F.concat(F.lit("EU Procurement Notice "), i)).when(title.startswith("{"), named).otherwise(title)
         opened = F.when(opened.startswith("20"), F.substring(opened, 1, 10))
     geography = F.array(_first(f["geography"])) if isinstance(f["geography"], list) else strings(f["geography"])
-    return rows.select(
+    return F.struct(
         record_id_hash(key).alias("id"),
         F.lit(source).alias("source"),
         i.alias("source_record_id"),
@@ -145,9 +144,15 @@ def normalize_source(landed: DataFrame, source: str) -> DataFrame:
     )
 
 
-def normalize(landed: DataFrame) -> DataFrame:
-    """All known sources' records."""
-    return reduce(DataFrame.unionByName, [normalize_source(landed, s) for s in FIELDS])
+def normalize(landed: DataFrame, sources: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """The canonical records of all known sources (or those named) from landed (source, payload, landed_at), in one pass; rows without an id are left out."""
+    of = lambda each: reduce(lambda out, s: F.when(F.col("source") == s, each(s)).otherwise(out), reversed(sources), F.lit(None))
+    rows = landed.withColumn("_id", of(lambda s: _first(FIELDS[s]["id"]))).where(F.coalesce("_id", F.lit("")) != "")
+    return rows.select(of(_record).alias("r")).select("r.*")
+
+
+def normalize_source(landed: DataFrame, source: str) -> DataFrame:
+    return normalize(landed, (source,))
 
 
 def live_items(items: DataFrame) -> DataFrame:
