@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..operators import scoring_v1 as v1
 from ..operators import scoring_v2 as v2
 from ..operators import scoring_v4 as v4
 from ..operators import scoring_v5 as v5
-from ..sources import uploads, views
+from ..sources import landed, uploads, views
 from ..streaming import events as ev
 from . import oracle, oracle_v2, oracle_v4, oracle_v5, queries_v2, queries_v4, queries_v5
 from .queries import AS_OF, _audit, _events, _scores, compare_v1_audit, recommendations, records, risk_counts
@@ -173,6 +175,30 @@ def coerced_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("id", "name", "org_type", F.array_join("program_areas", ",").alias("program_areas"), "annual_budget", "has_501c3", "is_small_business")
 
 
+def _template(source: str) -> str:
+    """A payload with the source's own first fields for id, title and largest award, each made of @N@."""
+    out: dict = {}
+    for name, value in (("id", "@N@"), ("title", "Title @N@"), ("max_award", "$@N@00")):
+        path = next((x for x in landed.FIELDS[source][name] if not x.startswith("=")), None)
+        keys = [path[2:-2]] if path and path.startswith("[") else path.split(".") if path else []
+        at = out
+        for k in keys[:-1]:
+            at = at.setdefault(k, {})
+        if keys:
+            at[keys[-1]] = value
+    return json.dumps(out)
+
+
+def normalized_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed payloads of all sources, one a document, as canonical records; every thirteenth has no id and is left out."""
+    n = F.col("doc_id")
+    source = F.element_at(F.array(*[F.lit(k) for k in landed.FIELDS]), (F.pmod(n, F.lit(len(landed.FIELDS))) + 1).cast("int"))
+    text = F.element_at(F.create_map(*[F.lit(x) for k in landed.FIELDS for x in (k, _template(k))]), F.col("source"))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", source.alias("source")).withColumn("payload", F.when(n % 13 == 12, "{}").otherwise(F.replace(text, F.lit("@N@"), n.cast("string"))))
+    got = landed.normalize(rows.withColumn("landed_at", F.lit(AS_OF).cast("timestamp")))
+    return got.select("source", "source_record_id", "classification", "title", "max_award", F.array_join("geography", ",").alias("geography"), "url", "dedupe_key")
+
+
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """Runs by id: what a second save of a run changes and what it leaves."""
     n = F.col("ord")
@@ -186,10 +212,22 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert(old, new, "id", F.col("_at"), store.RUN_REFRESHED).select("id", "source", "status", "total_fetched")
 
 
+def _normalized_sql() -> str:
+    def one(i: int, source: str) -> str:
+        f = landed.FIELDS[source]
+        places = ",".join(f["geography"]) if isinstance(f["geography"], tuple) else f["geography"][-1][1:]
+        url = next(u for u in f["url"] if u.startswith("="))[1:].replace("{url_id}", "{id}").replace("{id}", "' || doc_id || '")
+        kind = "historical_intelligence" if source in ("usaspending", "nih_reporter", "nsf_awards") else "active_opportunity"
+        most = "nullif(doc_id * 100, 0)" if f["max_award"] else "null::bigint"
+        return f"select '{source}' as source, doc_id::varchar as source_record_id, '{kind}' as classification, 'Title ' || doc_id as title, {most} as max_award, '{places}' as geography, '{url}' as url, '{source}::' || doc_id as dedupe_key from documents where doc_id % {len(landed.FIELDS)} = {i} and doc_id % 13 <> 12"
+
+    return " union all ".join(one(i, s) for i, s in enumerate(landed.FIELDS))
+
+
 def queries() -> dict:
     every = (
         audit_search, verbose_search, result_tabs, tab_counts, dashboard_counts, recently_viewed, matching_total, pool_diagnostics, source_list, total_over_sources, playground_stats, ranked_by_source, comparison_flags, comparison_listing,
-        frequent_risks, ordered_recommendations, run_metrics, run_report, unified_results, export_csv, export_raw_csv, export_json, displays, coerced_records, coerced_profiles, run_log,
+        frequent_risks, ordered_recommendations, run_metrics, run_report, unified_results, export_csv, export_raw_csv, export_json, displays, coerced_records, coerced_profiles, normalized_records, run_log,
     )
     return {q.__name__: q for q in every}
 
@@ -242,5 +280,6 @@ def oracle_sql() -> dict[str, str]:
         "coerced_records": opps + " select id, source, case when ord % 7 = 0 then 'Untitled' else title end as title, 'grant' as funding_type, 'active' as status, ord as min_award, null::bigint as max_award, case ord % 5 when 0 then 'Ohio,Texas' when 1 then 'Ohio,Iowa' when 2 then 'Ohio' else '' end as geography, case when ord % 3 = 0 then '' else 'energy,water' end as keywords, '' as categories from opps",
         "coerced_profiles": """select 'u' || n_nationkey as id, case when n_nationkey % 6 = 5 then 'My Organization' else n_name end as name, 'nonprofit' as org_type, case when n_nationkey % 6 = 5 then '' when n_nationkey % 3 = 0 then 'health' when n_nationkey % 3 = 1 then 'a,b' else '' end as program_areas,
             case when n_nationkey % 6 = 5 or n_nationkey % 4 = 0 then 0 else n_nationkey * 1000 end::double as annual_budget, n_nationkey % 6 <> 5 and n_nationkey % 2 = 0 as has_501c3, false as is_small_business from nation""",
+        "normalized_records": _normalized_sql(),
         "run_log": opps + " select 'run_' || ord as id, case when ord % 2 = 0 then source else 'changed' end as source, case when ord % 3 = 0 then 'completed' else 'running' end as status, case when ord % 3 = 0 then ord * 10 else ord end as total_fetched from opps where ord % 2 = 0 or ord % 3 = 0",
     }
