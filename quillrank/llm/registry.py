@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, pii, sharding, urls
+from . import divergence, fim, neardup, pii, sharding, urls
+from .byte_bpe import op12_byte_bpe
 from .decontamination import op2_decontamination
 from .fingerprints import op10_fingerprints
 from .langid import op9_langid
@@ -27,8 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_langid": op9_langid,
         "op10_fingerprints": op10_fingerprints,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii.SQL, "op6_neardup": neardup.SQL, "op7_urls": urls.SQL, "op8_sharding": sharding.SQL}
+    return {"op4_pii": pii.SQL, "op6_neardup": neardup.SQL, "op7_urls": urls.SQL, "op8_sharding": sharding.SQL, "op11_fill_in_middle": fim.SQL, "op13_divergence": divergence.SQL}
