@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import tags
 from ..functions.text import strings, table
 from . import taxonomy as tx
+from .pairs import spread
 from .scoring_v2 import has
 from .scoring_v5 import plain_phrase
 
@@ -75,7 +77,8 @@ def clean_title(title: Column) -> Column:
 
 
 def activity_tags(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has(text, *phrases, *words), F.lit(tag)) for tag, (phrases, words) in ACTIVITIES.items()]))
+    """The tags of which a lower-cased text holds a phrase or a word."""
+    return tags(text, {tag: [*phrases, *words] for tag, (phrases, words) in ACTIVITIES.items()})
 
 
 def intended_applicants(source: Column, eligibility: Column, title: Column, description: Column) -> Column:
@@ -108,7 +111,7 @@ def interpret(opps: DataFrame) -> DataFrame:
     The description counts if it has more than 20 characters; its signals come from its first 2000. desc_phrases are (phrase, norm) of the description
     that the title does not hold.
     """
-    out = opps.withColumn("clean_title", clean_title(F.col("title")))
+    out = spread(opps).withColumn("clean_title", clean_title(F.col("title")))
     body = F.when(F.length(F.trim("description")) > 20, F.trim("description")).otherwise("")
     title, eligibility, source = F.lower("clean_title"), F.lower(F.array_join("eligibility", " ")), F.col("source")
     kind = (

@@ -8,17 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _first(scored: DataFrame, k: int, score: str, by: tuple[str, ...], least: int, name: str) -> DataFrame:
+    """Numbers the eligible rows with `least` points or more, best first, and keeps k of each group.
+
+    The points are compared behind the window only: a filter on a computed score before it would sink into the join that made the pairs, and there the score would be
+    computed anew for each of its uses.
+    """
+    points = F.when(F.col("passes_eligibility") & (F.col(score) >= least), F.col(score))
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("_points"), F.asc("ord"))
+    numbered = scored.withColumn("_points", points).withColumn(name, F.row_number().over(w))
+    return numbered.where((F.col(name) <= k) & F.col("_points").isNotNull()).drop("_points")
+
+
 def top_k(scored: DataFrame, k: int = 10, score: str = "total", by: str | tuple[str, ...] = "org_id", least: int = 1) -> DataFrame:
     """The k best eligible rows of each organization with a rank, ties in arrival order."""
-    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc(score), F.asc("ord"))
-    return scored.where(F.col("passes_eligibility") & (F.col(score) >= least)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return _first(scored, k, score, (by,) if isinstance(by, str) else by, least, "rank").withColumn("rank", F.col("rank").cast("long"))
 
 
-def capped_top_k(scored: DataFrame, k: int, cap: int, score: str = "total", by: str = "org_id", group: str = "source") -> DataFrame:
+def capped_top_k(scored: DataFrame, k: int, cap: int, score: str = "total", by: str = "org_id", group: str = "source", least: int = 1) -> DataFrame:
     """As top_k, with at most `cap` rows of each source: what a walk down the sorted list that skips full sources would take."""
-    w = Window.partitionBy(by, group).orderBy(F.desc(score), F.asc("ord"))
-    kept = scored.where(F.col("passes_eligibility") & (F.col(score) > 0)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
-    return top_k(kept, k, score, by)
+    return top_k(_first(scored, cap, score, (by, group), least, "_n").drop("_n"), k, score, by, least)
 
 
 def first_per_key(rows: DataFrame, key: list[Column], order: Column) -> DataFrame:

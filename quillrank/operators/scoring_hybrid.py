@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import SECTORS
 from ..functions.text import js_round
 from . import scoring_v1 as v1
 from . import scoring_v2 as v2
-from .pairs import pair_up
+from .bounds import at_most, class_points, with_class_points
+from .pairs import only, pair_up, said_by, spread
 
 DIMENSIONS = ("mission_domain", "eligibility", "org_type_fit", "activity_fit", "geography_fit", "capacity_fit", "funding_fit", "population_fit")
 
 
-def pairs(opps: DataFrame, orgs: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
-    """Opportunities and organizations with the columns of both scorers."""
+def sides(opps: DataFrame, orgs: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns of both scorers; of an opportunity's tokens only those that some organization says."""
     own = v2.org_profiles(v1.with_org_columns(orgs).drop("geo"), sectors)
-    return pair_up(v2.opp_profiles(v1.with_opp_columns(opps).drop("elig", "geo"), sectors), own)
+    return v2.opp_profiles(v1.with_opp_columns(spread(opps)).drop("elig", "geo"), sectors).withColumn("tokens", only("tokens", said_by(own, "tokens"))), own
+
+
+def pairs(opps: DataFrame, orgs: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
+    return pair_up(*sides(opps, orgs, sectors))
+
+
+def _mission(first: Column, domain: Column) -> Column:
+    return js_round(0.6 * (first / 60) * 25 + 0.4 * (domain / 20) * 25)
+
+
+def _funding(first: Column, second: Column) -> Column:
+    return js_round(0.5 * (first / 5) * 8 + 0.5 * (second / 5) * 8)
+
+
+def _penalty() -> Column:
+    return F.aggregate(v2.penalties(), F.lit(0), lambda s, p: s + p["value"])
+
+
+def bounded_sides(opps: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with what `bound` needs: of the classes, what the type of opportunity is worth; the gates are not decided by class alone."""
+    mine, own = v2.with_place_bits(*sides(opps, orgs))
+    return with_class_points(mine, F.lit(True), js_round(v2.type_points() / 10 * 12)), own
+
+
+def bound() -> Column:
+    """No pair of bounded sides scores more; null where both gates reject it. The places count as at their best."""
+    first, second = v1.points_v1(v1.hits()), v2.dimension_points()
+    gates = (v1.passes_eligibility(), v2.passes())
+    eligibility = F.least(F.lit(20), F.greatest(F.when(gates[0], first["eligibility_fit"]).otherwise(0), F.when(gates[1], second["eligibility_fit"]).otherwise(0)))
+    points = class_points() + _mission(first["mission_topic_fit"], second["domain_fit"]) + eligibility + js_round(second["activity_fit"] / 15 * 10) + js_round(5 + 0.5 * v2.best_places()) + second["capacity_fit"]
+    points = points + _funding(first["funding_size_fit"], second["funding_fit"]) + js_round(second["population_fit"] / 10 * 5) + v2.semantic_boost() + js_round(first["maturity_fit"] / 5 * 4) - _penalty()
+    return at_most(F.when(gates[0] | gates[1], points))
 
 
 def score_hybrid(pairs: DataFrame) -> DataFrame:
@@ -31,19 +64,19 @@ def score_hybrid(pairs: DataFrame) -> DataFrame:
     out = out.withColumn("passes_eligibility", (F.col("v1_eligibility_fit") > 0) | v2.passes())
     c = F.col
     blend = {
-        "mission_domain": js_round(0.6 * (c("v1_mission_topic_fit") / 60) * 25 + 0.4 * (c("v2_domain_fit") / 20) * 25),
+        "mission_domain": _mission(c("v1_mission_topic_fit"), c("v2_domain_fit")),
         "eligibility": F.least(F.lit(20), F.greatest("v1_eligibility_fit", "v2_eligibility_fit")),
         "org_type_fit": js_round(c("v2_organization_type_fit") / 10 * 12),
         "activity_fit": js_round(c("v2_activity_fit") / 15 * 10),
         "geography_fit": js_round(0.5 * c("v1_geography_fit") + 0.5 * c("v2_geography_fit")),
         "capacity_fit": c("v2_capacity_fit"),
-        "funding_fit": js_round(0.5 * (c("v1_funding_size_fit") / 5) * 8 + 0.5 * (c("v2_funding_fit") / 5) * 8),
+        "funding_fit": _funding(c("v1_funding_size_fit"), c("v2_funding_fit")),
         "population_fit": js_round(c("v2_population_fit") / 10 * 5),
         "semantic_boost": v2.semantic_boost(),
         "maturity_boost": js_round(c("v1_maturity_fit") / 5 * 4),
     }
     ok = c("passes_eligibility")
     out = out.withColumns({k: F.when(ok, v).otherwise(0).cast("long") for k, v in blend.items()})
-    out = out.withColumn("penalty_total", F.when(ok, F.aggregate(v2.penalties(), F.lit(0), lambda s, p: s + p["value"])).otherwise(0).cast("long"))
+    out = out.withColumn("penalty_total", F.when(ok, _penalty()).otherwise(0).cast("long"))
     base = sum((c(d) for d in DIMENSIONS[1:]), c(DIMENSIONS[0])) + c("semantic_boost") + c("maturity_boost")
     return out.withColumn("total", F.greatest(F.lit(0), F.least(F.lit(100), base - c("penalty_total")))).drop("hits")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SYNONYMS, expand_synonyms, flat_tokens, js_round, strings, tokenize, topic_tokens
 from ..sources.registry import is_active
-from .pairs import pair_up
+from .pairs import only, pair_up, said_by, spread
 
 #: Weights of the audit scorer's variants, in the order of DIMENSIONS, and whether organizations' tokens are expanded.
 VARIANTS = {
@@ -57,7 +57,10 @@ def with_org_columns(orgs: DataFrame) -> DataFrame:
 
 
 def pairs(opps: DataFrame, orgs: DataFrame) -> DataFrame:
-    return pair_up(with_opp_columns(opps), with_org_columns(orgs).withColumnRenamed("org_type", "type"))
+    """Every opportunity with every organization; of an opportunity's tokens and topics only those that some organization says."""
+    own = with_org_columns(orgs).withColumnRenamed("org_type", "type")
+    mine = with_opp_columns(spread(opps)).withColumns({"tokens": only("tokens", said_by(own, "tokens")), "topics": only("topics", said_by(own, "wider"))})
+    return pair_up(mine, own)
 
 
 def passes_eligibility() -> Column:
@@ -109,18 +112,21 @@ def _eligibility_points(listed_base: int, open_base: int, most: int) -> Column:
     return F.when(F.size("eligibility") <= 0, F.lit(open_base)).otherwise(F.least(F.lit(most), F.lit(listed_base) + bonus)).cast("long")
 
 
+def hits() -> Column:
+    """How many of the organization's tokens, repeated ones counted, the opportunity has."""
+    return F.aggregate(F.array_intersect(F.map_keys("org_weights"), "tokens"), F.lit(0), lambda a, t: a + F.col("org_weights")[t])
+
+
 def with_hits(pairs: DataFrame) -> DataFrame:
-    """Adds `hits`: how many of the organization's tokens, repeated ones counted, the opportunity has."""
-    common = F.array_intersect(F.map_keys("org_weights"), "tokens")
-    return pairs.withColumn("hits", F.aggregate(common, F.lit(0), lambda a, t: a + F.col("org_weights")[t]))
+    return pairs.withColumn("hits", hits())
 
 
-def points_v1() -> dict[str, Column]:
-    """The five dimensions over a pair's columns and hits, whether or not the pair passes the gate."""
-    unique = F.size("org_weights")
-    ratio = F.when(unique > 0, F.col("hits") / F.least(unique, F.lit(20))).otherwise(0.0)
+def points_v1(hits: Column | None = None) -> dict[str, Column]:
+    """The five dimensions over a pair's columns and hits (a column of that name if none is given), whether or not the pair passes the gate."""
+    hits, unique = F.col("hits") if hits is None else hits, F.size("org_weights")
+    ratio = F.when(unique > 0, hits / F.least(unique, F.lit(20))).otherwise(0.0)
     return {
-        "mission_topic_fit": js_round(F.least(F.lit(60.0), ratio * 60 + F.when(F.col("hits") > 0, 8).otherwise(0))).cast("long"),
+        "mission_topic_fit": js_round(F.least(F.lit(60.0), ratio * 60 + F.when(hits > 0, 8).otherwise(0))).cast("long"),
         "eligibility_fit": _eligibility_points(10, 10, 20),
         "geography_fit": _by(geography_level(), {"open": 7, "match": 10, "none": 0}),
         "funding_size_fit": _by(funding_level(), {"unknown": 3, "ideal": 5, "near": 3, "small": 1, "large": 1, "partial": 2}),

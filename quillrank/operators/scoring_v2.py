@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import ACTIVITIES, POPULATIONS, SECTORS, tags
+from ..functions.lexicons import ACTIVITIES, POPULATIONS, SECTORS, bits, every_word, tags, tags_at
+from ..functions.phrases import found
 from ..functions.text import js_round, strings
-from .pairs import pair_up
+from .bounds import at_most, class_points, with_class_points
+from .pairs import CLASSES, pair_up, said_by, spread
 
-CLASSES = ("nonprofit", "small_business", "university", "government", "tribal", "research_institution", "contractor", "international_ngo", "other")
 #: How well each class of organization (columns, in the order of CLASSES) suits each type of opportunity.
 TYPE_FIT = {
     "program_service_grant": (10, 4, 6, 9, 10, 6, 5, 9, 7),
@@ -109,7 +110,12 @@ def org_profiles(orgs: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> Da
     small = F.col("is_small_business") | (F.col("class") == "government")
     procurement = F.when(F.col("class") == "contractor", "high").when(small & (F.coalesce(F.col("capacity"), F.lit(9)) != 0), "medium").otherwise("low")
     research = F.when(F.col("class").isin("research_institution", "university"), "high").when(F.col("_science"), "medium").otherwise("low")
-    return out.withColumn("procurement_readiness", procurement).withColumn("research_readiness", research).drop("_science")
+    return _with_bits(out, sectors).withColumn("procurement_readiness", procurement).withColumn("research_readiness", research).drop("_science")
+
+
+def _with_bits(rows: DataFrame, sectors: dict[str, list[str]]) -> DataFrame:
+    """Adds the tags as bits, which pairs are compared by."""
+    return rows.withColumns({f"{k}_bits": bits(k, list(names)) for k, names in (("sectors", sectors), ("activities", ACTIVITIES), ("populations", POPULATIONS))})
 
 
 def opportunity_type() -> Column:
@@ -144,27 +150,38 @@ def opp_profiles(opps: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> Da
     out = opps.select(
         "*",
         opportunity_type().alias("type"),
-        tags(text, sectors).alias("sectors"),
-        tags(text, ACTIVITIES).alias("activities"),
-        tags(text, POPULATIONS).alias("populations"),
+        found(F.lower(text), every_word(sectors, ACTIVITIES, POPULATIONS)).alias("_found"),
         F.transform("eligibility", F.lower).alias("elig"),
         F.transform(geo, F.lower).alias("geo"),
         _scope(geo, "worldwide").alias("scope"),
         F.when(amount.isNotNull(), band(amount, 25_000, 150_000, 1_000_000, 10_000_000)).alias("funding_band"),
     )
+    first = len(every_word(sectors))
+    out = out.withColumns({"sectors": tags_at(F.col("_found"), sectors), "activities": tags_at(F.col("_found"), ACTIVITIES, first), "populations": tags_at(F.col("_found"), POPULATIONS, first + len(every_word(ACTIVITIES)))}).drop("_found")
     point = lambda n, *words: F.when(has(body, *words), n).otherwise(0)
     by_type = F.when(F.col("type").isin("procurement_contract", "infrastructure_capital"), 3).when(F.col("type").isin("research_grant", "international_implementation"), 2).otherwise(0)
     points = by_type + F.coalesce(F.greatest(F.col("funding_band") - 1, F.lit(0)), F.lit(0))
     points = points + point(2, "prior federal", "past performance") + point(1, "cooperative agreement", "multi-site") + point(1, "international", "overseas") + point(1, "compliance", "reporting requirements") + point(1, "environmental review", "audit")
-    return out.withColumn("complexity", band(points, 2, 4, 6))
+    e = F.col("elig")
+    out = out.withColumns({"takes_501c3": F.array_contains(e, "501c3"), "takes_small": F.arrays_overlap(e, strings(("small_business", "for_profit")))})
+    return _with_bits(out, sectors).withColumn("complexity", band(points, 2, 4, 6))
+
+
+def sides(opps: DataFrame, orgs: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> tuple[DataFrame, DataFrame]:
+    return opp_profiles(spread(opps), sectors), org_profiles(orgs, sectors).withColumnRenamed("org_type", "kind")
 
 
 def pairs(opps: DataFrame, orgs: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
-    return pair_up(opp_profiles(opps, sectors), org_profiles(orgs, sectors).withColumnRenamed("org_type", "kind"))
+    return pair_up(*sides(opps, orgs, sectors))
+
+
+def common(column: str) -> Column:
+    """How many of sectors, activities or populations a pair has in common."""
+    return F.bit_count(F.col(f"org_{column}_bits").bitwiseAND(F.col(f"{column}_bits")))
 
 
-def _common(column: str) -> Column:
-    return F.size(F.array_intersect(f"org_{column}", column))
+def either(column: str) -> Column:
+    return F.bit_count(F.col(f"org_{column}_bits").bitwiseOR(F.col(f"{column}_bits")))
 
 
 def passes() -> Column:
@@ -177,27 +194,32 @@ def passes() -> Column:
     return (F.size(e) == 0) | ~(nonprofit | business | exempt)
 
 
-def dimension_points() -> dict[str, Column]:
-    """The eight dimensions over a pair's columns."""
+def eligibility_points() -> Column:
     e = F.col("elig")
     any_of = lambda *v: F.arrays_overlap(e, strings(v))
     alias = F.lit(False)
     for c, values in ALIASES.items():
         alias = alias | ((F.col("org_class") == c) & any_of(*values))
     bonus = F.when(alias, 5).otherwise(0) + F.when(F.col("org_has_501c3") & any_of("501c3"), 2).otherwise(0) + F.when(F.col("org_is_small_business") & any_of("small_business", "for_profit"), 1).otherwise(0)
-    eligibility = F.when(F.size(e) == 0, 12).when(any_of("all"), 15).otherwise(F.least(F.lit(20), 12 + bonus))
+    return F.when(F.size(e) == 0, 12).when(any_of("all"), 15).otherwise(F.least(F.lit(20), 12 + bonus))
 
-    m, n, k = _common("sectors"), F.size("org_sectors"), F.size("sectors")
-    jaccard = m / F.greatest(F.size(F.array_union("org_sectors", "sectors")), F.lit(1))
-    domain = F.when((n == 0) & (k == 0), 8).when((n == 0) | (k == 0), 6).when(m == 0, 0).when(m >= 4, 20).when(m == 3, 17).when(m == 2, js_round(12 + jaccard * 8)).otherwise(js_round(8 + jaccard * 8))
-    a, p = _common("activities"), _common("populations")
-    activity = F.when((F.size("org_activities") == 0) | (F.size("activities") == 0), 6).when(a == 0, 2).when(a >= 3, 15).when(a == 2, 11).otherwise(7)
-    population = F.when((F.size("org_populations") == 0) | (F.size("populations") == 0), 5).when(p == 0, 2).when(p >= 2, 10).otherwise(6)
 
-    touching = F.exists("org_geo", lambda o: F.exists("geo", lambda q: o.contains(q) | q.contains(o)))
+def type_points() -> Column:
+    """What the type of opportunity is worth to the organization's class."""
+    fit = F.lit(5)
+    for kind, row in TYPE_FIT.items():
+        of_class = F.lit(5)
+        for c, v in zip(CLASSES, row, strict=True):
+            of_class = F.when(F.col("org_class") == c, v).otherwise(of_class)
+        fit = F.when(F.col("type") == kind, of_class).otherwise(fit)
+    return fit
+
+
+def geography(touching: Column) -> Column:
+    """The geography dimension, given whether a place of one side lies in the name of one of the other."""
     us = F.arrays_overlap("org_geo", strings(("united states", "us", "usa", "u.s."))) & F.arrays_overlap("geo", strings(("united states", "us", "usa", "national", "u.s.")))
     scope, own = F.col("scope"), F.col("org_scope")
-    geography = (
+    return (
         F.when(scope.isin("international", "unknown"), 7)
         .when((scope == "national") & own.isin("national", "state", "local"), 10)
         .when((scope == "national") & (own == "international"), 5)
@@ -205,12 +227,18 @@ def dimension_points() -> dict[str, Column]:
         .when(own == scope, 9)
         .otherwise(5)
     )
-    fit = F.lit(5)
-    for kind, row in TYPE_FIT.items():
-        of_class = F.lit(5)
-        for c, v in zip(CLASSES, row, strict=True):
-            of_class = F.when(F.col("org_class") == c, v).otherwise(of_class)
-        fit = F.when(F.col("type") == kind, of_class).otherwise(fit)
+
+
+def dimension_points() -> dict[str, Column]:
+    """The eight dimensions over a pair's columns."""
+    m, n, k = common("sectors"), F.size("org_sectors"), F.size("sectors")
+    jaccard = m / F.greatest(either("sectors"), F.lit(1))
+    domain = F.when((n == 0) & (k == 0), 8).when((n == 0) | (k == 0), 6).when(m == 0, 0).when(m >= 4, 20).when(m == 3, 17).when(m == 2, js_round(12 + jaccard * 8)).otherwise(js_round(8 + jaccard * 8))
+    a, p = common("activities"), common("populations")
+    activity = F.when((F.size("org_activities") == 0) | (F.size("activities") == 0), 6).when(a == 0, 2).when(a >= 3, 15).when(a == 2, 11).otherwise(7)
+    population = F.when((F.size("org_populations") == 0) | (F.size("populations") == 0), 5).when(p == 0, 2).when(p >= 2, 10).otherwise(6)
+
+    touching = F.exists("org_geo", lambda o: F.exists("geo", lambda q: o.contains(q) | q.contains(o)))
     gap = F.col("complexity") - F.col("org_capacity")
     capacity = F.when(gap.isNull(), 6).when(gap <= 0, 10).when(gap == 1, 6).when(gap == 2, 3).otherwise(1)
     budget, most, least = F.col("org_budget"), F.col("max_award"), F.coalesce("min_award", F.lit(0))
@@ -222,15 +250,14 @@ def dimension_points() -> dict[str, Column]:
         .when((most < budget * 0.01) | (least > budget * 5), 1)
         .otherwise(2)
     )
-    return dict(zip(DIMENSIONS, (eligibility, domain, activity, population, geography, fit, capacity, funding), strict=True))
+    return dict(zip(DIMENSIONS, (eligibility_points(), domain, activity, population, geography(touching), type_points(), capacity, funding), strict=True))
 
 
 def semantic_boost() -> Column:
-    e, m, p, a = F.col("elig"), _common("sectors"), _common("populations"), _common("activities")
+    m, p, a = common("sectors"), common("populations"), common("activities")
     step = lambda x: F.when(x >= 2, 2).otherwise(x)
     points = F.when(m >= 4, 4).when(m == 3, 3).when(m == 2, 2).otherwise(0) + step(p) + step(a)
-    points = points + F.when(F.col("org_has_501c3") & F.array_contains(e, "501c3"), 2).otherwise(0)
-    points = points + F.when(F.col("org_is_small_business") & F.arrays_overlap(e, strings(("small_business", "for_profit"))), 2).otherwise(0)
+    points = points + F.when(F.col("org_has_501c3") & F.col("takes_501c3"), 2).otherwise(0) + F.when(F.col("org_is_small_business") & F.col("takes_small"), 2).otherwise(0)
     return F.least(F.lit(10), points)
 
 
@@ -249,6 +276,35 @@ def penalties() -> Column:
     return F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("type"), value.cast("int").alias("value"))) for name, when, value in rules]))
 
 
+def with_place_bits(mine: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds the organizations' places as bits: those of an organization, and those that an opportunity's places touch; null where there are too many for a number."""
+    said = said_by(own, "geo")
+    none = F.lit(None).cast("long")
+    if said is None or len(said) > 63:
+        return mine.withColumn("place_bits", none), own.withColumn("place_bits", none)
+    touched = F.filter(strings(said), lambda o: F.exists("geo", lambda q: o.contains(q) | q.contains(o)))
+    return mine.withColumn("place_bits", bits(touched, said)), own.withColumn("place_bits", bits("geo", said))
+
+
+def best_places() -> Column:
+    """The geography dimension by the bits of places, at its best where those aren't known."""
+    return geography(F.coalesce(F.col("org_place_bits").bitwiseAND(F.col("place_bits")) != 0, F.lit(True)))
+
+
+def bounded_sides(opps: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with what `bound` needs."""
+    mine, own = with_place_bits(*sides(opps, orgs))
+    european = F.when((F.col("source") == "ted_eu") & ~F.col("org_class").isin("contractor", "small_business", "government", "university"), 5).otherwise(0)
+    return with_class_points(mine, passes(), eligibility_points() + type_points() - european), own
+
+
+def bound() -> Column:
+    """No pair of bounded sides scores more. The flags of the organization count as at their best."""
+    d, gap = dimension_points(), F.col("complexity") - F.col("org_capacity")
+    points = class_points() + best_places() + sum((d[k] for k in ("activity_fit", "population_fit", "capacity_fit", "funding_fit")), d["domain_fit"])
+    return at_most(points + semantic_boost() - F.when(gap == 1, 3).when(gap == 2, 7).when(gap > 2, 10).otherwise(0))
+
+
 def score_v2(pairs: DataFrame) -> DataFrame:
     """Adds the dimensions, base_score, semantic_boost, penalties, penalty_total, total and passes_eligibility; failing pairs score 0 and have no penalties."""
     ok = F.col("passes_eligibility")

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import SECTORS
+from ..functions.phrases import contained
 from ..functions.text import js_round, norm_text, strings
 from . import scoring_v2 as v2
 from . import scoring_v4 as v4
-from .pairs import pair_up
+from .bounds import at_most, class_points, with_class_points
+from .pairs import only, pair_up, said_by, spread
 from .scoring_v2 import has
 
 #: Concept phrases of value, the most specific ones of each field first.
@@ -104,9 +106,9 @@ def opp_features(opps: DataFrame, phrases: tuple[str, ...] = PHRASES, sectors: d
     return v2.opp_profiles(opps, sectors).select(
         "*",
         intended_applicant().alias("intended"),
-        v4.contained(norm_text(F.concat_ws(" ", "title", "description", F.array_join("keywords", " "), F.array_join("categories", " "))), phrases).alias("phrases"),
-        v4.contained(title, phrases).alias("title_phrases"),
-        v4.contained(norm_text(F.substring("description", 1, 350)), phrases).alias("opening_phrases"),
+        contained(norm_text(F.concat_ws(" ", "title", "description", F.array_join("keywords", " "), F.array_join("categories", " "))), phrases).alias("phrases"),
+        contained(title, phrases).alias("title_phrases"),
+        contained(norm_text(F.substring("description", 1, 350)), phrases).alias("opening_phrases"),
         title.alias("title_norm"),
         body.alias("body_norm"),
         F.filter(F.split(norm_text(F.concat_ws(" ", "title", "description")), " "), lambda t: F.length(t) > 2).alias("words"),
@@ -119,15 +121,21 @@ def org_features(orgs: DataFrame, phrases: tuple[str, ...] = PHRASES, sectors: d
     text = norm_text(F.concat_ws(" ", "mission", F.array_join("keywords", " "), F.array_join("program_areas", " ")))
     return v2.org_profiles(orgs, sectors).select(
         "*",
-        v4.contained(text, phrases).alias("phrases"),
-        v4.contained(norm_text(F.concat_ws(" ", "mission", F.array_join("keywords", " "))), phrases).alias("core"),
+        contained(text, phrases).alias("phrases"),
+        contained(norm_text(F.concat_ws(" ", "mission", F.array_join("keywords", " "))), phrases).alias("core"),
         F.array_distinct(F.split(text, " ")).alias("words"),
         v4.population_tags(norm_text(F.concat_ws(" ", "mission", F.array_join("population_served", " "))), POPULATIONS).alias("pops"),
     )
 
 
+def sides(opps: DataFrame, orgs: DataFrame, phrases: tuple[str, ...] = PHRASES, sectors: dict[str, list[str]] = SECTORS) -> tuple[DataFrame, DataFrame]:
+    """Both sides' features; of an opportunity's words only those that some organization says."""
+    own = org_features(orgs, phrases, sectors)
+    return opp_features(spread(opps), phrases, sectors).withColumn("words", only("words", said_by(own, "words"))), own
+
+
 def pairs(opps: DataFrame, orgs: DataFrame, phrases: tuple[str, ...] = PHRASES, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
-    return pair_up(opp_features(opps, phrases, sectors), org_features(orgs, phrases, sectors))
+    return pair_up(*sides(opps, orgs, phrases, sectors))
 
 
 def passes() -> Column:
@@ -140,24 +148,76 @@ def passes() -> Column:
 
 def _matches(out: DataFrame) -> DataFrame:
     """Adds what a pair has in common: phrases, domains, words, populations and the share of specific words among the common ones."""
-    shared = lambda a, b: F.array_intersect(a, b)
-    out = out.withColumns({
-        "exact": F.size(shared("org_phrases", "phrases")),
-        "domains": F.size(shared("org_sectors", "sectors")),
-        "in_title": F.size(shared("org_core", "title_phrases")),
-        "in_opening": F.size(shared("org_core", "opening_phrases")),
-        "shared_pops": shared("pops", "org_pops"),
-        "matched": F.filter("words", lambda t: F.array_contains("org_words", t)),
-    })
+    shared = (("exact", "org_phrases", "phrases"), ("in_title", "org_core", "title_phrases"), ("in_opening", "org_core", "opening_phrases"))
+    out = out.withColumns({k: F.size(F.array_intersect(a, b)) for k, a, b in shared} | {"domains": v2.common("sectors")}).withColumns({"shared_pops": F.array_intersect("pops", "org_pops"), "matched": F.filter("words", lambda t: F.array_contains("org_words", t))})
     special = F.size(F.filter("matched", lambda t: ~t.isin(*GENERIC) & (F.length(t) > 3)))
     return out.withColumn("specific", F.when(F.size("matched") > 0, special / F.size("matched")).otherwise(0.0))
 
 
+def _concept(exact: Column, domains: Column) -> Column:
+    by_phrase = F.when(exact >= 3, 20).when(exact == 2, 16).when(exact == 1, 11).when((F.size("org_phrases") > 0) & (F.size("phrases") > 0), 4).otherwise(0)
+    return by_phrase + F.when(domains >= 3, 8).when(domains == 2, 6).when(domains == 1, 3).otherwise(0)
+
+
+def _capacity(second: dict[str, Column]) -> Column:
+    return js_round(F.when((F.col("complexity") - F.col("org_capacity")).isNull(), 4).otherwise(second["capacity_fit"]) / 10 * 7)
+
+
+def _funding(second: dict[str, Column]) -> Column:
+    return js_round(F.when(F.col("org_budget").isNull() | F.col("max_award").isNull(), 2).otherwise(second["funding_fit"]) / 5 * 6)
+
+
+def _named(level: Column, several: Column, otherwise: Column) -> Column:
+    """Points of the populations in common by the most specific level among them."""
+    return F.when(level == 4, 7 + several).when(level == 3, 5 + several).when(level == 2, 3 + several).when(level == 1, 2).otherwise(otherwise)
+
+
+def _weak(none: Column, concept: Column, central: Column) -> Column:
+    return F.when((~none & (central >= 4)) | (concept >= 18), 0).when((concept < 8) & (central < 4), 8).when((concept < 12) & (central == 0), 4).otherwise(0)
+
+
+def _complex() -> Column:
+    gap = F.col("complexity") - F.col("org_capacity")
+    return js_round(F.when(gap == 1, 3).when(gap == 2, 7).when(gap >= 3, 10).otherwise(0) / 10 * 7)
+
+
+def _procurement() -> Column:
+    return F.when((F.col("type") == "procurement_contract") & ~F.col("org_class").isin("contractor", "small_business", "government"), 8).otherwise(0)
+
+
+def _european() -> Column:
+    return F.when((F.col("source") == "ted_eu") & ~F.col("org_class").isin("contractor", "small_business", "government", "university"), 4).otherwise(0)
+
+
+def _too_large() -> Column:
+    return F.when(F.col("min_award") > F.col("org_budget") * 5, 5).otherwise(0)
+
+
+def bounded_sides(opps: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with what `bound` needs."""
+    mine, own = sides(opps, orgs)
+    fit, mismatch = v4.target_applicant()
+    points = v4.eligibility(SATISFIES) + fit - mismatch - _procurement() - _european()
+    mine, own = v2.with_place_bits(*v4.with_phrase_bits(mine, own, PHRASES, "core"))
+    return with_class_points(mine.withColumn("pop_level", v4.specificity(F.col("pops"), POPULATIONS)), passes(), points), own
+
+
+def bound() -> Column:
+    """No pair of bounded sides scores more. The words in common and the body's repetitions count as at their best."""
+    c, size, second, hits = F.col, F.size, v2.dimension_points(), v4.hits
+    exact, shared, in_title, in_opening = hits("org_phrase_bits", "phrase_bits"), hits("org_pop_bits", "pop_bits"), hits("org_core_bits", "title_bits"), hits("org_core_bits", "opening_bits")
+    concept = F.least(F.lit(28), _concept(exact, v2.common("sectors")))
+    central = F.when(in_title >= 2, 6).when(in_title == 1, 4).otherwise(2) + F.greatest(F.when(in_opening >= 2, 4).when(in_opening == 1, 2).otherwise(0), F.when(exact > 0, 3).otherwise(0))
+    named = F.when(shared > 0, _named(c("pop_level"), F.when(shared >= 2, 1).otherwise(0), F.lit(3))).otherwise(3)
+    population = F.when((size("org_pops") > 0) & (size("pops") > 0), named).when(v2.common("populations") > 0, 4).otherwise(2)
+    points = class_points() + concept + F.least(F.lit(12), central) + F.least(F.lit(10), second["activity_fit"]) + population + js_round(v2.best_places() / 10 * 7) + _capacity(second) + _funding(second)
+    return at_most(points + js_round(v2.semantic_boost() / 10 * 8) - _weak(exact == 0, concept, central) - _complex() - _too_large())
+
+
 def _dimensions() -> dict[str, Column]:
     c, size, second = F.col, F.size, v2.dimension_points()
     exact, domains = c("exact"), c("domains")
-    by_phrase = F.when(exact >= 3, 20).when(exact == 2, 16).when(exact == 1, 11).when((size("org_phrases") > 0) & (size("phrases") > 0), 4).otherwise(0)
-    concept = by_phrase + F.when(domains >= 3, 8).when(domains == 2, 6).when(domains == 1, 3).otherwise(0)
+    concept = _concept(exact, domains)
     concept = F.when((exact == 0) & (c("specific") < 0.3) & (concept > 3), concept - 3).otherwise(concept)
 
     title = F.when(c("in_title") >= 2, 6).when(c("in_title") == 1, 4).when(F.exists("org_sectors", lambda t: c("title_norm").contains(t)), 2).otherwise(0)
@@ -166,13 +226,10 @@ def _dimensions() -> dict[str, Column]:
     repeated = F.greatest(F.when(c("in_opening") >= 2, 4).when(c("in_opening") == 1, 2).otherwise(0), F.when(times >= 3, 3).otherwise(0))
 
     own, theirs, shared = c("org_pops"), c("pops"), size("shared_pops")
-    level, several = v4.specificity(c("shared_pops"), POPULATIONS), F.when(shared >= 2, 1).otherwise(0)
     partly = F.exists(own, lambda a: F.exists(theirs, lambda b: a.contains(b) | b.contains(a)))
-    named = F.when(level == 4, 7 + several).when(level == 3, 5 + several).when(level == 2, 3 + several).when(level == 1, 2).when(partly, 3).otherwise(1)
-    by_tag = F.when(size(F.array_intersect("org_populations", "populations")) > 0, 4).otherwise(2)
+    named = _named(v4.specificity(c("shared_pops"), POPULATIONS), F.when(shared >= 2, 1).otherwise(0), F.when(partly, 3).otherwise(1))
+    by_tag = F.when(v2.common("populations") > 0, 4).otherwise(2)
 
-    capacity = F.when((c("complexity") - c("org_capacity")).isNull(), 4).otherwise(second["capacity_fit"])
-    funding = F.when(c("org_budget").isNull() | c("max_award").isNull(), 2).otherwise(second["funding_fit"])
     points = (
         F.least(F.lit(28), concept),
         F.least(F.lit(12), title + repeated),
@@ -181,30 +238,27 @@ def _dimensions() -> dict[str, Column]:
         v4.target_applicant()[0],
         v4.eligibility(SATISFIES),
         js_round(second["geography_fit"] / 10 * 7),
-        js_round(capacity / 10 * 7),
-        js_round(funding / 5 * 6),
+        _capacity(second),
+        _funding(second),
     )
     return dict(zip(DIMENSIONS, points, strict=True))
 
 
 def _penalties() -> dict[str, Column]:
-    c, kind = F.col, F.col("org_class")
+    c = F.col
     none, vague, base = c("exact") == 0, 1 - c("specific"), c("base_score")
     generic = F.when(none & (c("specific") < 0.2) & (base > 30), F.least(F.lit(15), js_round(base * vague * 0.35))).when(none & (c("specific") < 0.35), F.least(F.lit(8), js_round(base * vague * 0.15))).otherwise(0)
-    concept, central = c("concept_fit"), c("concept_centrality")
-    weak = F.when((~none & (central >= 4)) | (concept >= 18), 0).when((concept < 8) & (central < 4), 8).when((concept < 12) & (central == 0), 4).otherwise(0)
     pointed = lambda tags: F.arrays_overlap(tags, strings(POPULATIONS[3] + POPULATIONS[4]))
     apart = (F.size("shared_pops") == 0) & (F.size("org_pops") > 0) & pointed(c("pops"))
-    gap = c("complexity") - c("org_capacity")
     values = (
         generic,
-        weak,
+        _weak(none, c("concept_fit"), c("concept_centrality")),
         v4.target_applicant()[1],
         F.when(apart, F.when(pointed(c("org_pops")), 6).otherwise(3)).otherwise(0),
-        js_round(F.when(gap == 1, 3).when(gap == 2, 7).when(gap >= 3, 10).otherwise(0) / 10 * 7),
-        F.when((c("type") == "procurement_contract") & ~kind.isin("contractor", "small_business", "government"), 8).otherwise(0),
-        F.when((c("source") == "ted_eu") & ~kind.isin("contractor", "small_business", "government", "university"), 4).otherwise(0),
-        F.when(c("min_award") > c("org_budget") * 5, 5).otherwise(0),
+        _complex(),
+        _procurement(),
+        _european(),
+        _too_large(),
     )
     return dict(zip(PENALTIES, values, strict=True))
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import SECTORS
+from ..functions.lexicons import SECTORS, bits
+from ..functions.phrases import contained
 from ..functions.text import js_round, let, norm_text, parse_date, strings
 from . import scoring_v2 as v2
-from .pairs import pair_up
+from .bounds import at_most, class_points, with_class_points
+from .pairs import only, pair_up, said_by, spread
 from .scoring_v2 import has
 
 #: Concept phrases of value, in their order (one of them comes twice).
@@ -110,15 +112,10 @@ DIMENSIONS = ("concept_fit", "concept_centrality", "activity_fit", "population_f
 TIERS = ((70, "excellent"), (55, "strong"), (38, "moderate"))
 
 
-def contained(text: Column, phrases: tuple[str, ...]) -> Column:
-    """The phrases that occur in a normalized text, in their order."""
-    return let(text, lambda t: F.filter(strings(phrases), lambda p: t.contains(p)))
-
-
 def population_tags(text: Column, table: dict[int, tuple[str, ...]] = POPULATIONS) -> Column:
     """The populations a normalized text names, without those that are part of a longer one it names."""
     every = tuple(p for level in table.values() for p in level)
-    return let(contained(text, every), lambda found: F.filter(found, lambda t: ~F.exists(found, lambda o: (o != t) & o.contains(t))))
+    return let(contained(text, every), lambda named: F.filter(named, lambda t: ~F.exists(named, lambda o: (o != t) & o.contains(t))))
 
 
 def specificity(tags: Column, table: dict[int, tuple[str, ...]] = POPULATIONS) -> Column:
@@ -176,8 +173,14 @@ def org_features(orgs: DataFrame, concepts: tuple[str, ...] = CONCEPTS, sectors:
     )
 
 
+def sides(opps: DataFrame, orgs: DataFrame, as_of: Column, concepts: tuple[str, ...] = CONCEPTS, sectors: dict[str, list[str]] = SECTORS) -> tuple[DataFrame, DataFrame]:
+    """Both sides' features; of an opportunity's words only those that some organization says."""
+    own = org_features(orgs, concepts, sectors)
+    return opp_features(spread(opps), as_of, concepts, sectors).withColumn("words", only("words", said_by(own, "words"))), own
+
+
 def pairs(opps: DataFrame, orgs: DataFrame, as_of: Column, concepts: tuple[str, ...] = CONCEPTS, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
-    return pair_up(opp_features(opps, as_of, concepts, sectors), org_features(orgs, concepts, sectors))
+    return pair_up(*sides(opps, orgs, as_of, concepts, sectors))
 
 
 def _in(column: str, table: dict[str, tuple[str, ...]]) -> Column:
@@ -249,12 +252,81 @@ def target_applicant() -> tuple[Column, Column]:
     return points, penalty
 
 
+def _concept(exact: Column, domains: Column) -> Column:
+    concept = F.when(exact >= 3, 18).when(exact == 2, 14).when(exact == 1, 9).when((F.size("org_phrases") > 0) & (F.size("phrases") > 0), 3).otherwise(0)
+    return concept + F.when(domains >= 3, 8).when(domains == 2, 5).when(domains == 1, 3).otherwise(0)
+
+
+def _capacity(second: dict[str, Column]) -> Column:
+    return js_round(F.when((F.col("complexity") - F.col("org_capacity")).isNull(), 4).otherwise(second["capacity_fit"]) / 10 * 7)
+
+
+def _complex() -> Column:
+    gap = F.col("complexity") - F.col("org_capacity")
+    return js_round(F.when(gap == 1, 3).when(gap == 2, 7).when(gap >= 3, 10).otherwise(0) / 10 * 7)
+
+
+def _barrier() -> Column:
+    out = F.lit(0)
+    for source, (_, barred, value) in SOURCES.items():
+        out = F.when((F.col("source") == source) & F.col("org_class").isin(*barred), value).otherwise(out) if barred else out
+    return out
+
+
+def _suits() -> Column:
+    return F.when(_in("source", {k: v[0] for k, v in SOURCES.items()}), 3).otherwise(1)
+
+
+def _too_large() -> Column:
+    return F.when((F.col("org_annual_budget") > 0) & (F.col("min_award") > F.col("org_annual_budget") * 5), 5).otherwise(0)
+
+
+def bounded_sides(opps: DataFrame, orgs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with what `bound` needs."""
+    mine, own = sides(opps, orgs, as_of)
+    fit, mismatch = target_applicant()
+    mine, own = with_phrase_bits(mine, own, CONCEPTS)
+    return with_class_points(mine.withColumn("pop_level", specificity(F.col("pops"))), passes(), eligibility() + fit - mismatch + _suits() - _barrier()), own
+
+
+def with_phrase_bits(mine: DataFrame, own: DataFrame, listed: tuple[str, ...], core: str = "phrases") -> tuple[DataFrame, DataFrame]:
+    """Adds the phrases and populations that some organization has as bits, of either side, and as core_bits those of the organization's column `core`; bits stay null where there are too many for a number, and then count as all in common."""
+    said, named = said_by(own, "phrases"), said_by(own, "pops")
+    times = {p: listed.count(p) for p in said or ()}
+    none = F.lit(None).cast("long")
+    of = lambda c: bits(c, said, times) if said is not None and sum(times.values()) <= 63 else none
+    pops = bits("pops", named) if named is not None and len(named) <= 63 else none
+    mine = mine.withColumns({"phrase_bits": of("phrases"), "title_bits": of("title_phrases"), "opening_bits": of("opening_phrases"), "pop_bits": pops})
+    return mine, own.withColumns({"phrase_bits": of("phrases"), "core_bits": of(core), "pop_bits": pops})
+
+
+def hits(own: str, column: str) -> Column:
+    """How many phrases (or populations) both sides have, or as many as there could be where that isn't known."""
+    return F.coalesce(F.bit_count(F.col(own).bitwiseAND(F.col(column))), F.lit(63))
+
+
+def bound() -> Column:
+    """No pair of bounded sides scores more. The words in common, the places and the body's repetitions count as at their best."""
+    c, size, second = F.col, F.size, v2.dimension_points()
+    exact, shared = hits("org_phrase_bits", "phrase_bits"), hits("org_pop_bits", "pop_bits")
+    concept = F.least(F.lit(26), _concept(exact, v2.common("sectors")))
+    in_title, in_opening = hits("org_core_bits", "title_bits"), hits("org_core_bits", "opening_bits")
+    central = F.when(in_title >= 2, 5).when(in_title == 1, 4).otherwise(2) + F.greatest(F.when(in_opening >= 2, 4).when(in_opening == 1, 2).otherwise(0), F.when(exact > 0, 3).otherwise(0))
+    several, both = F.when(shared >= 2, 1).otherwise(0), (size("org_pops") > 0) & (size("pops") > 0)
+    named = F.when(c("pop_level") == 4, 7 + several).when(c("pop_level") == 3, 5 + several).when(c("pop_level") == 2, 3 + several).otherwise(2)
+    population = F.when(both, F.when(shared > 0, named).otherwise(3)).when(v2.common("populations") > 0, 4).otherwise(2)
+    weak = F.when((exact == 0) & (central < 4), F.when(concept < 8, 8).when(concept < 12, 4).otherwise(0)).otherwise(0)
+    points = class_points() + concept + F.least(F.lit(10), central) + F.least(F.lit(10), second["activity_fit"]) + population + F.when(size("places") == 0, 5).otherwise(8) + _capacity(second) + funding()
+    points = points + js_round(v2.semantic_boost() / 10 * 8) + c("recency_boost") - weak - _complex() - _too_large()
+    return at_most(points)
+
+
 def score_v4(pairs: DataFrame) -> DataFrame:
     """Adds ten dimensions, boosts, penalties by type, penalty_total, total, confidence and passes_eligibility; failing pairs score 0 and are `ineligible`."""
     c, size = F.col, F.size
     out = pairs.withColumns({
         "exact": F.filter("org_phrases", lambda p: F.array_contains("phrases", p)),
-        "domains": size(F.array_intersect("org_sectors", "sectors")),
+        "domains": v2.common("sectors"),
         "matched": F.filter("words", lambda t: F.array_contains("org_words", t)),
         "shared_pops": F.array_intersect("pops", "org_pops"),
         "title_hits": size(F.filter("org_phrases", lambda p: F.array_contains("title_phrases", p))),
@@ -263,8 +335,7 @@ def score_v4(pairs: DataFrame) -> DataFrame:
     special = F.filter("matched", lambda t: ~t.isin(*GENERIC) & (F.length(t) > 3))
     out = out.withColumn("specific", F.when(size("matched") > 0, size(special) / size("matched")).otherwise(0.0))
     exact, domains, ratio = size("exact"), c("domains"), c("specific")
-    concept = F.when(exact >= 3, 18).when(exact == 2, 14).when(exact == 1, 9).when((size("org_phrases") > 0) & (size("phrases") > 0), 3).otherwise(0)
-    concept = concept + F.when(domains >= 3, 8).when(domains == 2, 5).when(domains == 1, 3).otherwise(0)
+    concept = _concept(exact, domains)
     concept = F.least(F.lit(26), F.when((exact == 0) & (ratio < 0.3) & (concept > 3), concept - 3).otherwise(concept))
     title = F.when(c("title_hits") >= 2, 5).when(c("title_hits") == 1, 4).when(F.exists("org_sectors", lambda t: c("title_norm").contains(t)), 2).otherwise(0)
     first = F.try_element_at("org_phrases", F.lit(1))
@@ -277,15 +348,12 @@ def score_v4(pairs: DataFrame) -> DataFrame:
     both = (size(own) > 0) & (size(theirs) > 0)
     population = F.when(
         both, F.when(shared > 0, F.when(level == 4, 7 + several).when(level == 3, 5 + several).when(level == 2, 3 + several).otherwise(2)).when(partly, 3).otherwise(1)
-    ).otherwise(F.when(size(F.array_intersect("org_populations", "populations")) > 0, 4).otherwise(2))
+    ).otherwise(F.when(v2.common("populations") > 0, 4).otherwise(2))
     target, mismatch = target_applicant()
     second = v2.dimension_points()
-    gap = c("complexity") - c("org_capacity")
-    capacity = F.when(gap.isNull(), 4).otherwise(second["capacity_fit"])
-    suits = _in("source", {k: v[0] for k, v in SOURCES.items()})
     points = {
         "concept_fit": concept, "concept_centrality": F.least(F.lit(10), title + repeated), "activity_fit": F.least(F.lit(10), second["activity_fit"]), "population_fit": population, "target_applicant_fit": target, "eligibility": eligibility(),
-        "geography_fit": geography(), "capacity_fit": js_round(capacity / 10 * 7), "funding_fit": funding(), "source_relevance": F.when(suits, 3).otherwise(1),
+        "geography_fit": geography(), "capacity_fit": _capacity(second), "funding_fit": funding(), "source_relevance": _suits(),
     }
     out = out.withColumn("passes_eligibility", passes()).withColumn("mismatch", mismatch)
     ok = c("passes_eligibility")
@@ -297,12 +365,7 @@ def score_v4(pairs: DataFrame) -> DataFrame:
     weak = F.when(none & (c("concept_centrality") < 4), F.when(c("concept_fit") < 8, 8).when(c("concept_fit") < 12, 4).otherwise(0)).otherwise(0)
     pointed = lambda tags: F.arrays_overlap(tags, strings(POPULATIONS[3] + POPULATIONS[4]))
     apart = F.when((shared == 0) & both & pointed(theirs), F.when(pointed(own), 6).otherwise(3)).otherwise(0)
-    complex_ = js_round(F.when(gap == 1, 3).when(gap == 2, 7).when(gap >= 3, 10).otherwise(0) / 10 * 7)
-    barrier = F.lit(0)
-    for source, (_, barred, value) in SOURCES.items():
-        barrier = F.when((c("source") == source) & c("org_class").isin(*barred), value).otherwise(barrier) if barred else barrier
-    too_large = F.when((c("org_annual_budget") > 0) & (c("min_award") > c("org_annual_budget") * 5), 5).otherwise(0)
-    rules = {"genericity": generic, "weak_specificity": weak, "target_applicant_mismatch": c("mismatch"), "population_mismatch": apart, "complexity_mismatch": complex_, "source_barrier": barrier, "funding_capacity_mismatch": too_large}
+    rules = {"genericity": generic, "weak_specificity": weak, "target_applicant_mismatch": c("mismatch"), "population_mismatch": apart, "complexity_mismatch": _complex(), "source_barrier": _barrier(), "funding_capacity_mismatch": _too_large()}
     applied = F.array(*[F.struct(F.lit(k).alias("type"), F.when(ok, v).otherwise(0).cast("long").alias("value")) for k, v in rules.items()])
     out = out.withColumn("penalties", F.filter(applied, lambda p: p["value"] > 0)).withColumn("penalty_total", F.aggregate("penalties", F.lit(0).cast("long"), lambda s, p: s + p["value"]))
     out = out.withColumn("total", F.greatest(F.lit(0), F.least(F.lit(100), base + c("semantic_boost") + c("recency_boost") - c("penalty_total"))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round, let, normalize_phrase, strings, table
-from .pairs import pair_up
+from .pairs import pair_up, spread
 from .scoring_v2 import has
 
 #: Mission phrases with their weights, in their order.
@@ -308,7 +308,7 @@ def opp_features(opps: DataFrame, interpreted: bool = False) -> DataFrame:
 
 
 def pairs(opps: DataFrame, orgs: DataFrame, interpreted: bool = False) -> DataFrame:
-    return pair_up(opp_features(opps, interpreted), org_features(orgs))
+    return pair_up(opp_features(opps if interpreted else spread(opps), interpreted), org_features(orgs))
 
 
 def _near(phrase: Column) -> Column:

@@ -15,19 +15,37 @@ RUN_REFRESHED = ("status", "total_fetched", "total_inserted", "total_updated", "
 LISTED = ("id", "source", "source_record_id", "classification", "title", "agency", "funding_type", "status", "open_date", "close_date", "min_award", "max_award", "geography", "url", "normalized_at", "dedupe_key")
 
 
-def upsert(target: DataFrame, staged: DataFrame, key: str, order: Column, refreshed: tuple[str, ...] = REFRESHED) -> DataFrame:
+def upsert(target: DataFrame, staged: DataFrame, key: str, order: Column, refreshed: tuple[str, ...] = REFRESHED, flags: bool = False) -> DataFrame:
     """target after all staged rows were inserted or, where the key exists, had `refreshed` updated, one by one in `order`.
 
     Of a new key's rows, the first gives the columns that updates leave alone and the last gives the refreshed ones. Staged rows without a key
-    are left out. Both sides are reduced to one row a key before the join, so a hot key costs no more than its rows.
+    are left out. Both sides are reduced to one row a key before the join, so a hot key costs no more than its rows. With `flags`, `_old` tells whether the
+    key was there before and `_n` how many staged rows it had; null where not and where none.
     """
     names = target.columns
     rows = staged.where(F.col(key).isNotNull()).withColumn("_o", order)
     row = F.struct("_o", *names)
-    edge = rows.groupBy(key).agg(F.min_by(row, "_o").alias("first"), F.max_by(row, "_o").alias("last"))
+    edge = rows.groupBy(key).agg(F.min_by(row, "_o").alias("first"), F.max_by(row, "_o").alias("last"), F.count(F.lit(1)).alias("_n"))
     joined = target.withColumn("_old", F.lit(True)).join(edge, key, "full_outer")
     pick = lambda c: F.when(F.col("last").isNull(), F.col(c)).otherwise(F.col(f"last.{c}")) if c in refreshed else F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"first.{c}"))
-    return joined.select(*[F.col(key) if c == key else pick(c).alias(c) for c in names])
+    return joined.select(*[F.col(key) if c == key else pick(c).alias(c) for c in names], *["_old", "_n"] * flags)
+
+
+def update_profiles(profiles: DataFrame, updates: DataFrame, key: str = "id", order: str = "at") -> tuple[DataFrame, DataFrame]:
+    """Whole profiles replaced where an update names the version it has seen; returns the profiles after it and the updates that were refused, with the reason.
+
+    `profiles` has key, version and profile (of any type, as a whole); `updates` has key, seen, profile and `order`. Of the updates that have seen the current version the first wins and raises the
+    version by one; the others would undo it and are refused as `stale`, like those that have seen another version. An update of an unknown or null key is refused as `unknown`. A null profile is a value
+    like any other. Updates at the same `order` go by the version they have seen, then by their content.
+    """
+    w = Window.partitionBy(key).orderBy(order, "seen", F.xxhash64("profile"))
+    met = updates.join(profiles.select(F.col(key), F.col("version").alias("_now")), key, "left").withColumn("_fits", F.coalesce(F.col("seen") == F.col("_now"), F.lit(False)))
+    met = met.withColumn("_n", F.sum(F.col("_fits").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    wins = F.col("_fits") & (F.col("_n") == 1)
+    won = met.where(wins).select(key, F.col("profile").alias("_profile"), F.lit(True).alias("_won"))
+    after = profiles.join(won, key, "left").withColumns({"profile": F.when(F.col("_won"), F.col("_profile")).otherwise(F.col("profile")), "version": F.col("version") + F.when(F.col("_won"), 1).otherwise(0)})
+    lost = met.where(~wins).withColumn("reason", F.when(F.col("_now").isNull(), "unknown").otherwise("stale"))
+    return after.select(*profiles.columns), lost.select(*updates.columns, "reason")
 
 
 def upsert_counts(target: DataFrame, staged: DataFrame, key: str) -> DataFrame:

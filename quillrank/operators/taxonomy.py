@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.phrases import contained, found
 from ..functions.text import let, strings, table
 from .scoring_v5 import GENERIC, MISSION_PHRASES
 
@@ -80,11 +81,19 @@ POPULATIONS = {
 }
 
 
-_ENTRY = "phrases:array<string>,words:array<string>,plain:array<string>"
+_ENTRY = "phrases:array<int>,words:array<int>,plain:array<int>"
 
 
-def _entry(phrases: tuple[str, ...], words: tuple[str, ...]) -> dict:
-    return {"phrases": phrases, "words": words, "plain": [" " + re.sub("[^a-z0-9_]", " ", w) + " " for w in words]}
+def _numbered(entries: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> tuple[list[dict], list[str], list[str]]:
+    """Entries by the places of their phrases and words in one list, and of the words as they stand alone in a padded text in another; and both lists."""
+    rows, listed, alone = [], [], []
+    for phrases, words in entries:
+        row = {"phrases": [], "words": [], "plain": []}
+        for kind, values, into in (("phrases", phrases, listed), ("words", words, listed), ("plain", [" " + re.sub("[^a-z0-9_]", " ", w) + " " for w in words], alone)):
+            row[kind] = list(range(len(into), len(into) + len(values)))
+            into += values
+        rows.append(row)
+    return rows, listed, alone
 
 
 def padded(text: Column) -> Column:
@@ -92,23 +101,29 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9_]", " "), F.lit(" "))
 
 
-def has_word(text: Column, wide: Column, entry: Column) -> Column:
-    """Whether a lower-cased text (and `wide`, the same padded) holds one of the entry's words, not inside a longer one."""
-    return F.exists(entry["words"], lambda w: text.contains(w)) & F.exists(entry["plain"], lambda w: wide.contains(w))
+def _places(text: Column, listed: list[str], alone: list[str]) -> Column:
+    """What a lower-cased text holds of either list, each found in one pass."""
+    return F.struct(found(text, listed).alias("low"), found(padded(text), alone).alias("wide"))
+
+
+def has_word(t: Column, entry: Column) -> Column:
+    """Whether a text of those places holds one of the entry's words, not inside a longer one."""
+    return F.arrays_overlap(entry["words"], t["low"]) & F.arrays_overlap(entry["plain"], t["wide"])
 
 
 def domain_scores(text: Column) -> Column:
     """The score of each of DOMAINS in a lower-cased text: its weight for each phrase, or 0.4 of it, rounded, for any of its words."""
-    rows = [{"weight": weight, "least": int(weight * 0.4 + 0.5), **_entry(phrases, words)} for _, _, weight, phrases, words in DOMAINS]
+    rows, listed, alone = _numbered([(phrases, words) for *_, phrases, words in DOMAINS])
+    rows = [{"weight": weight, "least": int(weight * 0.4 + 0.5), **row} for (_, _, weight, _, _), row in zip(DOMAINS, rows, strict=True)]
 
     def of(t: Column) -> Column:
         def score(e: Column) -> Column:
-            hits = F.size(F.filter(e["phrases"], lambda p: t["low"].contains(p)))
-            return F.when(hits > 0, hits * e["weight"]).when(has_word(t["low"], t["wide"], e), e["least"]).otherwise(0)
+            hits = F.size(F.array_intersect(e["phrases"], t["low"]))
+            return F.when(hits > 0, hits * e["weight"]).when(has_word(t, e), e["least"]).otherwise(0)
 
         return F.transform(table(rows, f"array<struct<weight:int,least:int,{_ENTRY}>>"), score)
 
-    return let(F.struct(text.alias("low"), padded(text).alias("wide")), of)
+    return let(_places(text, listed, alone), of)
 
 
 def ranked(scores: Column, which: int) -> Column:
@@ -127,19 +142,19 @@ def ranked(scores: Column, which: int) -> Column:
 
 def domain_phrases(text: Column) -> Column:
     """The domains' phrases that a lower-cased text holds, each once, in the table's order."""
-    return F.filter(strings(tuple(dict.fromkeys(p for e in DOMAINS for p in e[3]))), lambda p: text.contains(p))
+    return contained(text, tuple(dict.fromkeys(p for e in DOMAINS for p in e[3])))
 
 
 def population_tags(text: Column) -> Column:
-    rows = table([{"tag": tag, **_entry(*entry)} for tag, entry in POPULATIONS.items()], f"array<struct<tag:string,{_ENTRY}>>")
-    fits = lambda t, e: F.exists(e["phrases"], lambda p: t["low"].contains(p)) | has_word(t["low"], t["wide"], e)
-    return let(F.struct(text.alias("low"), padded(text).alias("wide")), lambda t: F.transform(F.filter(rows, lambda e: fits(t, e)), lambda e: e["tag"]))
+    rows, listed, alone = _numbered(list(POPULATIONS.values()))
+    entries = table([{"tag": tag, **row} for tag, row in zip(POPULATIONS, rows, strict=True)], f"array<struct<tag:string,{_ENTRY}>>")
+    fits = lambda t, e: F.arrays_overlap(e["phrases"], t["low"]) | has_word(t, e)
+    return let(_places(text, listed, alone), lambda t: F.transform(F.filter(entries, lambda e: fits(t, e)), lambda e: e["tag"]))
 
 
 def mission_phrases(text: Column) -> Column:
     """The 15 mission phrases of the most weight that a lower-cased text holds."""
-    by_weight = sorted(MISSION_PHRASES, key=lambda p: -MISSION_PHRASES[p])
-    return F.slice(F.filter(strings(tuple(by_weight)), lambda p: text.contains(p)), 1, 15)
+    return F.slice(contained(text, tuple(sorted(MISSION_PHRASES, key=lambda p: -MISSION_PHRASES[p]))), 1, 15)
 
 
 def weak_words(text: Column, least: int) -> Column:

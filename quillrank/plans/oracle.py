@@ -148,6 +148,9 @@ list_filter([case when mission_topic_fit < 20 then 'Limited keyword overlap —
     case when not has_501c3 and list_contains(eligibility, '501c3') then '501(c)(3) required — organization may not currently qualify' end], lambda r: r is not null)"""
 
 
+_UPSERTED = "select dedupe_key, case when ord % 3 = 0 then title || ' v2' else title end as title, case when ord % 2 <> 0 then 'type1' else funding_type end as funding_type from rec where ord % 2 = 0 or ord % 3 = 0"
+
+
 def oracle_sql() -> dict[str, str]:
     v1, aud = "with " + _V1 + " ", "with " + _PAIRS + "," + _audit("v1_current")
     three = ("v1_current", "v1_mission_heavy", "v1_synonyms")
@@ -210,7 +213,8 @@ def oracle_sql() -> dict[str, str]:
         "count_by_source": rec + "select source, count(*) as n from rec group by source",
         "stats_by_classification": rec + "select count(*) as total, count(*) filter (classification = 'active_opportunity') as active, count(*) filter (classification = 'historical_intelligence') as historical from rec",
         "delete_by_source": rec + "select dedupe_key, source from rec where source <> 'sbir'",
-        "upsert_merge": rec + "select dedupe_key, case when ord % 3 = 0 then title || ' v2' else title end as title, case when ord % 2 <> 0 then 'type1' else funding_type end as funding_type from rec where ord % 2 = 0 or ord % 3 = 0",
+        "store_batches": rec + _UPSERTED,
+        "upsert_merge": rec + _UPSERTED,
         "upsert_counts": rec + "select count(*) filter (ord % 2 <> 0) as inserted, 2 * count(*) filter (ord % 2 = 0) + count(*) filter (ord % 2 <> 0) as updated, 0::bigint as errors from rec where ord % 3 = 0",
         "dedupe_first_wins": opps + "select id, source, title from opps qualify row_number() over (partition by source, substr(title, 1, 80) order by ord) = 1",
         "tokenize_terms": opps + f"select id, array_to_string({_tokens(text)}, ' ') as tokens, array_to_string({_tokens(text, True)}, ' ') as topics, trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g')) as norm from opps",

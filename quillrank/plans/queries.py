@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analysis, ranking, store
 from ..operators import scoring_v1 as v1
-from ..sources import registry, views
+from ..operators.keyed_store import KeyedStore
+from ..sources import registry, staging, views
 from ..streaming import events as ev
 
 AS_OF = "2026-04-01 00:00:00"
@@ -180,6 +181,15 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert(target, staged, "dedupe_key", F.col("_arrival")).select("dedupe_key", "title", "funding_type")
 
 
+def store_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same upsert through the store's files, in a batch for each arrival."""
+    target, staged = _staged(spark, sf)
+    files = KeyedStore(spark, staging.own_folder(spark, "store"), buckets=16)
+    for version, rows in enumerate((target, *(staged.where(F.col("_arrival") == i).drop("_arrival") for i in (1, 2)))):
+        files.merge(rows, version, F.lit(0))
+    return files.read().select("dedupe_key", "title", "funding_type")
+
+
 def upsert_counts(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert_counts(*_staged(spark, sf), "dedupe_key")
 
@@ -240,7 +250,7 @@ def tier_counts(spark: SparkSession, sf: str) -> DataFrame:
 _ALL: tuple[Query, ...] = (
     v1_scores, v1_top10, v1_explained_top10, v1_capped_top, audit_scores, audit_weighted_variants, compare_v1_audit, compare_variants, sweep_funnel, sweep_histogram, sweep_by_source, sweep_types, dimension_avgs,
     risk_counts, upper_median, metrics_precision_recall, failure_classes, recommendations, active_filter, source_alias, expired_filter, pool_search, deterministic_id, ilike_search, records_page, count_by_source,
-    stats_by_classification, delete_by_source, upsert_merge, upsert_counts, dedupe_first_wins, tokenize_terms, top_terms, synonym_expand, parse_amount, event_counts, status_toggle, latest_label, tier_counts,
+    stats_by_classification, delete_by_source, upsert_merge, store_batches, upsert_counts, dedupe_first_wins, tokenize_terms, top_terms, synonym_expand, parse_amount, event_counts, status_toggle, latest_label, tier_counts,
 )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strings
-from ..operators import analysis, ranking
+from ..operators import analysis, bounds
 from ..operators import scoring_hybrid as hybrid
 from ..operators import scoring_v2 as v2
 from ..sources import registry, views
@@ -14,9 +14,16 @@ from ..sources import registry, views
 _FUNDING = ("micro", "small", "medium", "large", "enterprise")
 
 
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.split_active(views.opportunities(spark, sf))[0]
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    active, _ = registry.split_active(views.opportunities(spark, sf))
-    return v2.score_v2(v2.pairs(active, views.organizations(spark, sf)))
+    return v2.score_v2(v2.pairs(_pool(spark, sf), views.organizations(spark, sf)))
+
+
+def best(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    return bounds.best(*v2.bounded_sides(_pool(spark, sf), views.organizations(spark, sf)), v2.bound(), v2.score_v2, k)
 
 
 def _opps(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +35,7 @@ def v2_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v2_top10(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.top_k(_scores(spark, sf)).select("org_id", "id", "total", "rank")
+    return best(spark, sf).select("org_id", "id", "total", "rank")
 
 
 def v2_sweep(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +73,11 @@ def penalty_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    active, _ = registry.split_active(views.opportunities(spark, sf))
-    return hybrid.score_hybrid(hybrid.pairs(active, views.organizations(spark, sf)))
+    return hybrid.score_hybrid(hybrid.pairs(_pool(spark, sf), views.organizations(spark, sf)))
+
+
+def best_hybrid(spark: SparkSession, sf: str, k: int = 10, cap: int | None = None) -> DataFrame:
+    return bounds.best(*hybrid.bounded_sides(_pool(spark, sf), views.organizations(spark, sf)), hybrid.bound(), hybrid.score_hybrid, k, cap)
 
 
 def hybrid_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,11 +85,11 @@ def hybrid_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_top10(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.top_k(_hybrid(spark, sf)).select("org_id", "id", "total", "rank")
+    return best_hybrid(spark, sf).select("org_id", "id", "total", "rank")
 
 
 def hybrid_capped_top(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.capped_top_k(_hybrid(spark, sf), k=10, cap=3).select("org_id", "id", "source", "total", "rank")
+    return best_hybrid(spark, sf, cap=3).select("org_id", "id", "source", "total", "rank")
 
 
 def hybrid_histogram(spark: SparkSession, sf: str) -> DataFrame:

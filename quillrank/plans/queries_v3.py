@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, ranking
+from ..operators import analysis, bounds
 from ..operators import scoring_v3 as v3
 from ..sources import registry, views
 
 
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.split_active(views.opportunities(spark, sf))[0]
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    pool, _ = registry.split_active(views.opportunities(spark, sf))
-    return v3.score_v3(v3.pairs(pool, views.organizations(spark, sf)))
+    return v3.score_v3(v3.pairs(_pool(spark, sf), views.organizations(spark, sf)))
+
+
+def best(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    return bounds.best(*v3.bounded_sides(_pool(spark, sf), views.organizations(spark, sf)), v3.bound(), v3.score_v3, k)
 
 
 def v3_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,7 +27,7 @@ def v3_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v3_top10(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.top_k(_scores(spark, sf)).select("org_id", "id", "total", "rank")
+    return best(spark, sf).select("org_id", "id", "total", "rank")
 
 
 def v3_penalties(spark: SparkSession, sf: str) -> DataFrame:

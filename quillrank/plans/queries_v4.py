@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_date
-from ..operators import analysis, ranking
+from ..operators import analysis, bounds, ranking
 from ..operators import scoring_v4 as v4
 from ..sources import registry, views
 
 AS_OF = "2026-04-01 00:00:00"
 
 
-def _scores(spark: SparkSession, sf: str, drop_expired: bool = False) -> DataFrame:
-    as_of = F.lit(AS_OF).cast("timestamp")
+def _pool(spark: SparkSession, sf: str, drop_expired: bool = False) -> DataFrame:
     pool, _ = registry.split_active(views.opportunities(spark, sf))
-    pool = ranking.unexpired(pool, parse_date(F.col("close_date")), as_of) if drop_expired else pool
-    return v4.score_v4(v4.pairs(pool, views.organizations(spark, sf), as_of))
+    return ranking.unexpired(pool, parse_date(F.col("close_date")), _as_of()) if drop_expired else pool
+
+
+def _as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def _scores(spark: SparkSession, sf: str, drop_expired: bool = False) -> DataFrame:
+    return v4.score_v4(v4.pairs(_pool(spark, sf, drop_expired), views.organizations(spark, sf), _as_of()))
+
+
+def best(spark: SparkSession, sf: str, drop_expired: bool = False, k: int = 10, cap: int | None = None, least: int = 1) -> DataFrame:
+    """The ranked list, of pairs whose bound lets them in."""
+    return bounds.best(*v4.bounded_sides(_pool(spark, sf, drop_expired), views.organizations(spark, sf), _as_of()), v4.bound(), v4.score_v4, k, cap, least)
 
 
 def v4_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,8 +37,7 @@ def v4_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def v4_capped_top10(spark: SparkSession, sf: str) -> DataFrame:
     """Unexpired rows of active sources with 25 points or more, three a source at most."""
-    good = _scores(spark, sf, drop_expired=True).where("total >= 25")
-    return ranking.capped_top_k(good, k=10, cap=3).select("org_id", "id", "source", "total", "rank")
+    return best(spark, sf, True, cap=3, least=25).select("org_id", "id", "source", "total", "rank")
 
 
 def v4_penalties(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,16 +50,16 @@ def v4_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recency_boost(spark: SparkSession, sf: str) -> DataFrame:
-    return v4.opp_features(views.opportunities(spark, sf), F.lit(AS_OF).cast("timestamp")).select("id", F.col("recency_boost").cast("long").alias("recency_boost"))
+    return v4.opp_features(views.opportunities(spark, sf), _as_of()).select("id", F.col("recency_boost").cast("long").alias("recency_boost"))
 
 
 def phrase_extract(spark: SparkSession, sf: str) -> DataFrame:
-    o = v4.opp_features(views.opportunities(spark, sf), F.lit(AS_OF).cast("timestamp"))
+    o = v4.opp_features(views.opportunities(spark, sf), _as_of())
     return o.select("id", F.array_join("phrases", ",").alias("phrases"), "intended")
 
 
 def population_specificity(spark: SparkSession, sf: str) -> DataFrame:
-    o = v4.opp_features(views.opportunities(spark, sf), F.lit(AS_OF).cast("timestamp"))
+    o = v4.opp_features(views.opportunities(spark, sf), _as_of())
     return o.select("id", F.array_join("pops", ",").alias("populations"), v4.specificity(F.col("pops")).cast("long").alias("specificity"))
 
 

@@ -54,9 +54,8 @@ def v5_org_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 def compare_v4_v5(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best of either scorer side by side."""
-    four = queries_v4._scores(spark, sf)
-    mine = lambda df: ranking.top_k(df).select("org_id", "id", "total", "rank")
-    a, b = (mine(df).withColumnsRenamed({"total": f"total_v{n}", "rank": f"rank_v{n}"}) for n, df in ((4, four), (5, _scores(spark, sf))))
+    lists = ((4, queries_v4.best(spark, sf)), (5, ranking.top_k(_scores(spark, sf))))
+    a, b = (df.select("org_id", "id", F.col("total").alias(f"total_v{n}"), F.col("rank").alias(f"rank_v{n}")) for n, df in lists)
     return a.join(b, ["org_id", "id"], "full").withColumn("delta", F.col("rank_v4") - F.col("rank_v5"))
 
 

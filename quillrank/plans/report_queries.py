@@ -106,21 +106,25 @@ def ordered_recommendations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    good = queries_v4._scores(spark, sf, drop_expired=True)
-    return reports.run_metrics(ranking.capped_top_k(good, k=10, cap=3), views.organizations(spark, sf))
+    return reports.run_metrics(queries_v4.best(spark, sf, True, cap=3), views.organizations(spark, sf))
 
 
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     scored = queries_v4._scores(spark, sf, drop_expired=True)
-    return reports.run_report(scored, ranking.capped_top_k(scored, k=10, cap=3))
+    return reports.run_report(scored, queries_v4.best(spark, sf, True, cap=3))
 
 
 def unified_results(spark: SparkSession, sf: str) -> DataFrame:
     """The three best of each organization by four scorers, in one shape."""
-    parts = (("v1", _scores(spark, sf), v1.DIMENSIONS), ("v2", queries_v2._scores(spark, sf), v2.DIMENSIONS), ("v4", queries_v4._scores(spark, sf), v4.DIMENSIONS), ("v5", queries_v5._scores(spark, sf), v5.DIMENSIONS))
+    parts = (
+        ("v1", ranking.top_k(_scores(spark, sf), 3), v1.DIMENSIONS),
+        ("v2", queries_v2.best(spark, sf, 3), v2.DIMENSIONS),
+        ("v4", queries_v4.best(spark, sf, k=3), v4.DIMENSIONS),
+        ("v5", ranking.top_k(queries_v5._scores(spark, sf), 3), v5.DIMENSIONS),
+    )
     out = None
-    for version, scored, dimensions in parts:
-        part = reports.unified(ranking.top_k(scored, 3), version, dimensions)
+    for version, ranked, dimensions in parts:
+        part = reports.unified(ranked, version, dimensions)
         part = part.withColumn("dimensions", F.array_join(F.transform(F.array_sort(F.map_entries("dimensions")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
         out = part if out is None else out.unionByName(part)
     return out

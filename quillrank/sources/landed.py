@@ -1,6 +1,6 @@
 """Landed source payloads (JSON text) to canonical records.
 
-Each source is described by the JSON paths that feed each column, tried in order; one select per source, joined by unionByName. Rows without a record
+Each source is described by the JSON paths that feed each column, tried in order. A payload is parsed once, into a variant, and each path is looked up in that. Rows without a record
 id are dropped, as are rows of unknown sources and unreadable payloads.
 """
 
@@ -75,7 +75,8 @@ _HISTORICAL = ("usaspending", "nih_reporter", "nsf_awards")
 
 
 def _path(path: str) -> Column:
-    return F.get_json_object("payload", f"${path}" if path.startswith("[") else f"$.{path}")
+    """A value of the parsed payload as text, lists and objects as JSON; null where it is missing or null."""
+    return F.try_variant_get("_parsed", f"${path}" if path.startswith("[") else f"$.{path}", "string")
 
 
 def _first(paths: list[str], record_id: Column | None = None) -> Column:
@@ -147,7 +148,7 @@ def _record(source: str) -> Column:
 def normalize(landed: DataFrame, sources: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
     """The canonical records of all known sources (or those named) from landed (source, payload, landed_at), in one pass; rows without an id are left out."""
     of = lambda each: reduce(lambda out, s: F.when(F.col("source") == s, each(s)).otherwise(out), reversed(sources), F.lit(None))
-    rows = landed.withColumn("_id", of(lambda s: _first(FIELDS[s]["id"]))).where(F.coalesce("_id", F.lit("")) != "")
+    rows = landed.withColumn("_parsed", F.try_parse_json("payload")).withColumn("_id", of(lambda s: _first(FIELDS[s]["id"]))).where(F.coalesce("_id", F.lit("")) != "")
     return rows.select(of(_record).alias("r")).select("r.*")
 
 

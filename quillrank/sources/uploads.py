@@ -27,6 +27,12 @@ def upload(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(each).alias("payload")).where("payload is not null")
 
 
+def fixture_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """The organization profiles of fixture files; their id is the file's own, or a hash of the profile where it has none."""
+    rows = upload(spark, path)
+    return coerce_profile(rows, F.coalesce(_field(F.col("payload"), "id"), F.sha2("payload", 256)))
+
+
 def coerce_opportunity(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Stored records (JSON) as opportunities. geography may be an array, JSON text of one, or plain text; other lists count only as arrays."""
     p = F.col(payload)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.store import upsert
+from ..operators.keyed_store import KeyedStore
 from ..sources.landed import normalize
 
 #: The accepted event types.
@@ -23,6 +23,32 @@ def valid_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin(*EVENT_TYPES) & (F.coalesce(F.col("source_user_id").cast("string"), F.lit("")) != ""))
 
 
+def refusal(late: str | None = None) -> Column:
+    """Why an event is refused: an unknown type, no user, or, with `late`, that it arrived (received_at) more than that after it happened (ts); null for one that is accepted."""
+    why = F.when(~F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False)), "unknown type").when(F.coalesce(F.col("source_user_id").cast("string"), F.lit("")) == "", "no user")
+    return why.when(F.col("ts").isNull() | (F.col("ts") + F.expr(f"interval {late}") < F.col("received_at")), "late") if late else why
+
+
+def accepted(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Events that aren't refused, each event_id once, by the first to arrive. On a stream, repeats are known for `late` after the first; in a batch, for good."""
+    good = events.where(refusal(late).isNull())
+    if events.isStreaming:
+        return good.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["event_id"])
+    w = Window.partitionBy("event_id").orderBy("received_at", "ts")
+    return good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def refused(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The other events, with the reason; streams too."""
+    return events.withColumn("reason", refusal(late)).where("reason is not null")
+
+
+def event_feed(events: DataFrame, store: str, checkpoint: str, late: str = "1 hour") -> list[StreamingQuery]:
+    """A stream of events into two appended tables, store/accepted and store/refused. Either's files belong to a micro-batch as a whole, so a repeated one adds nothing. Both stop when all is read."""
+    parts = {"accepted": accepted(events, late), "refused": refused(events, late)}
+    return [rows.writeStream.format("parquet").option("path", f"{store}/{name}").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start() for name, rows in parts.items()]
+
+
 def toggled_status(events: DataFrame) -> DataFrame:
     """The status of each (user, opportunity) after all its saved and applied events in order of time.
 
@@ -66,17 +92,15 @@ def event_counts(events: DataFrame) -> DataFrame:
     return valid_events(events).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_user_id").alias("users"))
 
 
-def ingest_stream(spark: SparkSession, landing: str, store: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, landing: str, store: str, checkpoint: str, files: int = 1000) -> StreamingQuery:
     """Landed payload files (JSON lines of source, payload, landed_at) into the record store, a micro-batch at a time.
 
-    Each batch writes a new version of the store beside the old one: version n holds the records after batch n, so a batch that is run again after a failure
-    starts from the same version and ends in the same place. Stops when all landed files are read.
+    A micro-batch rewrites only the buckets of the store that its records fall into, and is version n of the store: run again after a failure, it changes nothing that was committed. KeyedStore
+    reads the records, and its history has the counters of every batch. Stops when all landed files are read; `files` bounds a micro-batch.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        records = normalize(batch)
-        old = spark.read.schema(records.schema).parquet(f"{store}/v={n - 1}") if n else records.limit(0)
-        upsert(old, records, "dedupe_key", F.struct("normalized_at", "raw_payload")).write.mode("overwrite").parquet(f"{store}/v={n}")
+        KeyedStore(spark, store).merge(normalize(batch), n, F.struct("normalized_at", "raw_payload"))
 
-    landed = spark.readStream.schema("source string, payload string, landed_at timestamp").json(landing)
+    landed = spark.readStream.schema("source string, payload string, landed_at timestamp").option("maxFilesPerTrigger", files).json(landing)
     return landed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
 from quillrank.operators import analysis, interpretation, ranking, scoring_v1, scoring_v2, scoring_v4, scoring_v5, store, taxonomy
+from quillrank.operators.keyed_store import KeyedStore
 from quillrank.sources import landed, registry
 from quillrank.streaming import events
 
@@ -143,7 +144,7 @@ def test_stream_ingest_ends_like_a_batch_upsert(spark, tmp_path):
     table = spark.createDataFrame(rows, "source string, payload string, landed_at string").withColumn("landed_at", F.to_timestamp("landed_at"))
     table.repartition(1).sortWithinPartitions("landed_at").write.json(str(tmp_path / "in"))
     events.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
-    got = {r["source_record_id"]: r["title"] for r in spark.read.parquet(str(tmp_path / "store/v=0")).collect()}
+    got = {r["source_record_id"]: r["title"] for r in KeyedStore(spark, str(tmp_path / "store")).read().collect()}
     assert got == {str(i % 7): f"t{i}" for i in range(20)}
 
 
