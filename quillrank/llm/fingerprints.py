@@ -1,9 +1,9 @@
 """Operator 10: threshold-scaled document sketches.
 
-A sketch keeps every 5-word shingle hash below a fraction of the hash range: all of them for a text of at most FEW shingles, FRACTION of the range
-for a longer one. The fraction goes with the sketch. Two sketches are compared at the smaller of their fractions, to which the other is cut down, so that
-very unequal texts compare fairly, and the share of one in the other estimates containment. Sketches of parts merge (`merge`, `merge_by`): their union, cut
-down likewise, is exactly the sketch of all the parts' shingles together.
+A sketch keeps every 5-word shingle hash below one fixed fraction of the hash range, and the LEAST smallest hashes in any case, so that short texts have sketches too. How far a sketch
+reaches (up to which hash it holds all of them) can be told from itself: everywhere if it has fewer than LEAST hashes, else up to the fraction or its last hash. Two sketches
+are compared up to where both reach, so that very unequal texts compare fairly, and the share of one in the other estimates containment. Sketches of parts merge
+(`merge`, `merge_by`): their union, cut by the same rule, is exactly the sketch of all the parts' shingles together.
 """
 
 from __future__ import annotations
@@ -21,50 +21,60 @@ from . import words
 from .storage import bound_batches
 
 WORDS = 5
-FRACTION = 1 / 2
-FEW = 256  # distinct shingles
+FRACTION = 1 / 8
+LEAST = 64  # hashes that are kept in any case
 DEALT = 32  # shares of one key's parts when they are merged
 
 
-def sketches(column: pa.Array, fraction: float = FRACTION, k: int = WORDS) -> list[tuple[np.ndarray, float]]:
-    """The sorted kept hashes of each text, and the fraction of the range that they are kept from."""
+def sketches(column: pa.Array, fraction: float = FRACTION, k: int = WORDS) -> list[np.ndarray]:
+    """The sorted kept hashes of each text."""
     found, edge = words.row_shingles(column, k)
-    out = []
-    for r in range(len(edge) - 1):
-        own = np.unique(found[edge[r] : edge[r + 1]])
-        out.append((own, 1.0) if len(own) <= FEW else (cut(own, fraction), fraction))
-    return out
+    return [kept(np.unique(found[edge[r] : edge[r + 1]]), fraction) for r in range(len(edge) - 1)]
 
 
-def cut(hashes: np.ndarray, fraction: float) -> np.ndarray:
-    """The part of a sketch's sorted hashes that lies below a fraction of the range."""
-    return hashes if fraction >= 1 else hashes[: np.searchsorted(hashes, np.uint64(int(fraction * 2.0**64)))]
+def kept(hashes: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """What a sketch keeps of all of a text's sorted hashes."""
+    return hashes[: max(LEAST, int(np.searchsorted(hashes, _top(fraction), side="right")))]
 
 
-def likeness(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float]) -> float | None:
+def _top(fraction: float) -> np.uint64:
+    return np.uint64(min((1 << 64) - 1, int(fraction * 2.0**64)))
+
+
+def reach(sketch: np.ndarray, fraction: float = FRACTION) -> np.uint64:
+    """The hash up to which the sketch holds all hashes of its text."""
+    if len(sketch) < LEAST:
+        return np.uint64((1 << 64) - 1)
+    return max(_top(fraction), sketch[-1])
+
+
+def _in_reach(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    upto = min(reach(a, fraction), reach(b, fraction))
+    return tuple(x[: np.searchsorted(x, upto, side="right")] for x in (a, b))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
     """The estimated share of the smaller shingle set that the larger one contains; of two texts without shingles, 1, and of one, 0.
 
-    None where a text has shingles and none of them below the other's fraction, so that nothing is known.
+    Where none of the smaller one's hashes lies within reach, nothing in common is known and the likeness is 0; that takes a text of few shingles and one of many.
     """
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    x, y = (cut(s[0], min(a[1], b[1])) for s in (a, b))
-    return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y)) if len(x) and len(y) else None
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    x, y = _in_reach(a, b, fraction)
+    return len(np.intersect1d(x, y, assume_unique=True)) / max(1, min(len(x), len(y)))
 
 
-def containment(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float]) -> float | None:
-    """The estimated share of a's shingle set that b's contains; 1 if a has no shingles, and None where none of a's lies below b's fraction."""
-    if not len(a[0]):
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """The estimated share of a's shingle set that b's contains; 1 if a has no shingles, and 0 where none of a's lies within reach."""
+    if not len(a):
         return 1.0
-    x, y = (cut(s[0], min(a[1], b[1])) for s in (a, b))
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else None
+    x, y = _in_reach(a, b, fraction)
+    return len(np.intersect1d(x, y, assume_unique=True)) / max(1, len(x))
 
 
-def merge(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float], fraction: float = FRACTION) -> tuple[np.ndarray, float]:
-    """The sketch of the union of two shingle sets, from their sketches."""
-    kept = min(a[1], b[1])
-    both = np.union1d(cut(a[0], kept), cut(b[0], kept))
-    return (cut(both, fraction), fraction) if kept == 1 and len(both) > FEW else (both, kept)
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of the union of two shingle sets, from their sketches. Neither lacks a hash that the union's sketch keeps."""
+    return kept(np.union1d(a, b), fraction)
 
 
 def written(sketch: np.ndarray) -> str:
@@ -73,15 +83,15 @@ def written(sketch: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", fraction: float = FRACTION) -> DataFrame:
-    """Returns doc_id, fingerprint and the fraction it was kept from for every row; a null text counts as empty. Other columns are ignored."""
+    """Returns doc_id and fingerprint for every row; a null text counts as empty. Other columns are ignored."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in words.pieces(batch):
-                marks = sketches(some.column("text"), fraction)
-                yield pa.record_batch([some.column("doc_id"), pa.array([written(m) for m, _ in marks], pa.string()), pa.array([f for _, f in marks])], names=["doc_id", "fingerprint", "fraction"])
+                marks = pa.array([written(m) for m in sketches(some.column("text"), fraction)], pa.string())
+                yield pa.record_batch([some.column("doc_id"), marks], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sketch, "doc_id long, fingerprint string, fraction double")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sketch, "doc_id long, fingerprint string")
 
 
 def read(text: str) -> np.ndarray:
@@ -90,23 +100,23 @@ def read(text: str) -> np.ndarray:
 
 
 def merge_by(sketches: DataFrame, key: str, fraction: float = FRACTION) -> DataFrame:
-    """One sketch for each value of `key` (null included) from sketches (key, fingerprint, fraction) that `fingerprint` has made with the same fraction.
+    """One sketch for each value of `key` (null included) from sketches (key, fingerprint) that `fingerprint` has made with the same fraction.
 
-    Returns key, fingerprint and fraction; other columns are ignored and repeated rows change nothing. A key's parts are merged in DEALT
+    Returns key and fingerprint; other columns are ignored and repeated rows change nothing. A key's parts are merged in DEALT
     shares first, so that a frequent key is spread over tasks; a task holds the one sketch that it builds. Rows with a null fingerprint count as
     empty. An empty table gives an empty result.
     """
 
     def run(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, name = (np.empty(0, np.uint64), 1.0), None
+        now, name = np.empty(0, np.uint64), None
         for batch in batches:
             name = batch.column("key")[0] if name is None else name
-            for text, kept in zip(batch.column("fingerprint"), batch.column("fraction").to_pylist(), strict=True):
-                now = merge(now, (read(text.as_py() or ""), 1.0 if kept is None else kept), fraction)
-        yield pa.record_batch([pa.array([name.as_py()], name.type), pa.array([written(now[0])], pa.string()), pa.array([now[1]])], names=["key", "fingerprint", "fraction"])
+            for text in batch.column("fingerprint"):
+                now = merge(now, read(text.as_py() or ""), fraction)
+        yield pa.record_batch([pa.array([name.as_py()], name.type), pa.array([written(now)], pa.string())], names=["key", "fingerprint"])
 
-    kind = f"key {sketches.schema[key].dataType.simpleString()}, fingerprint string, fraction double"
-    rows = sketches.select(F.col(key).alias("key"), F.col("fingerprint"), F.col("fraction").cast("double").alias("fraction"))
+    kind = f"key {sketches.schema[key].dataType.simpleString()}, fingerprint string"
+    rows = sketches.select(F.col(key).alias("key"), F.col("fingerprint"))
     shares = rows.groupBy("key", F.pmod(F.xxhash64("fingerprint"), F.lit(DEALT)).alias("share")).applyInArrow(run, kind)
     return shares.groupBy("key").applyInArrow(run, kind).withColumnRenamed("key", key)
 
@@ -178,19 +188,17 @@ def compare_with_next(docs: DataFrame, parts: int, key: str = "doc_id", text: st
                         pa.array([r[0] for r in mine], pa.int64()),
                         pa.array([len(r[1]) for r in mine], pa.int64()),
                         pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                        pa.array([written(r[2][0]) for r in mine], pa.string()),
-                        pa.array([written(m) for m, _ in marks], pa.string()),
-                        pa.array([likeness(r[2], m) for r, m in zip(mine, marks, strict=True)], pa.float64()),
-                        pa.array([likeness(r[2], n[2]) for r, n in zip(mine, after, strict=True)], pa.float64()),
-                        pa.array([r[2][1] for r in mine], pa.float64()),
-                        pa.array([f for _, f in marks], pa.float64()),
+                        pa.array([written(r[2]) for r in mine], pa.string()),
+                        pa.array([written(m) for m in marks], pa.string()),
+                        pa.array([likeness(r[2], m, fraction) for r, m in zip(mine, marks, strict=True)], pa.float64()),
+                        pa.array([likeness(r[2], n[2], fraction) for r, n in zip(mine, after, strict=True)], pa.float64()),
                     ],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "fraction", "edited_fraction"],
+                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fraction double, edited_fraction double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(rows, parts).mapInArrow(compare, schema)
 
 

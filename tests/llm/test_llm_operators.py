@@ -250,18 +250,19 @@ def test_clean_documents_judges_each_row_by_itself(spark):
 
 
 def plain_sketch(text, fraction):
-    """The kept hashes and their fraction, one shingle at a time."""
+    """The kept hashes and up to where they are all there, one shingle at a time."""
     w = plain_words(text)
     runs = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
     own = {int(words.row_shingles(pa.array([" ".join(r)]), 5)[0][0]) for r in runs}
     assert len(own) == len(runs)
-    return (own, 1.0) if len(own) <= fingerprints.FEW else ({h for h in own if h < fraction * 2**64}, fraction)
+    top = fraction * 2**64
+    kept = set(sorted(own)[: fingerprints.LEAST]) | {h for h in own if h <= top}
+    return kept, 2.0**64 if len(kept) < fingerprints.LEAST else max(top, max(kept))
 
 
 def plain_likeness(a, b):
-    cut = min(a[1], b[1]) * 2**64
-    x, y = ({h for h in s[0] if h < cut} for s in (a, b))
-    return len(x & y) / min(len(x), len(y)) if a[0] and b[0] else float(bool(a[0]) == bool(b[0]))
+    x, y = ({h for h in s[0] if h <= min(a[1], b[1])} for s in (a, b))
+    return len(x & y) / max(1, min(len(x), len(y))) if a[0] and b[0] else float(bool(a[0]) == bool(b[0]))
 
 
 def test_fingerprints_equal_brute_force(spark, empty):
@@ -278,8 +279,8 @@ def test_fingerprints_equal_brute_force(spark, empty):
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
             a, b, c = (plain_sketch(t, 0.5) for t in (text, edited, after))
-            left[(key, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a[0]), hexed(b[0]), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9), a[1])] += 1
-        assert left == Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9), r["fraction"]) for r in got)
+            left[(key, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a[0]), hexed(b[0]), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9))] += 1
+        assert left == Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got)
     plain = Counter((r["doc_id"], r["fingerprint"]) for r in fingerprints.fingerprint(table, fraction=0.5).collect())
     assert plain == Counter((r["doc_id"], r["fingerprint"]) for r in got)
     assert fingerprints.compare_with_next(empty, 3).count() == 0
@@ -296,12 +297,11 @@ def test_merged_sketches_are_those_of_the_whole(spark, empty):
     got = {r["site"]: r for r in fingerprints.merge_by(named, "site").collect()}
     for site in ("big", None):
         every = set().union(*(set(words.row_shingles(pa.array([t]), 5)[0].tolist()) for k, t in rows if k == site))
-        kept = sorted(h for h in every if h < fingerprints.FRACTION * 2**64)
-        assert got[site]["fingerprint"] == "".join(f"{h:016x}" for h in kept) and got[site]["fraction"] == fingerprints.FRACTION
+        kept = sorted({h for h in every if h <= fingerprints.FRACTION * 2**64}.union(sorted(every)[: fingerprints.LEAST]))
+        assert got[site]["fingerprint"] == "".join(f"{h:016x}" for h in kept)
     one, two, both = fingerprints.sketches(pa.array([rows[1][1], rows[2][1], rows[1][1]]))
-    few = fingerprints.merge(one, both)
-    assert few[0].tolist() == one[0].tolist() and few[1] == 1.0
-    whole = (fingerprints.read(got["big"]["fingerprint"]), got["big"]["fraction"])
+    assert fingerprints.merge(one, both).tolist() == one.tolist()
+    whole = fingerprints.read(got["big"]["fingerprint"])
     assert fingerprints.containment(one, whole) == 1.0 and fingerprints.containment(whole, one) < 0.1 and fingerprints.containment(one, two) == 0.0
     assert fingerprints.merge_by(fingerprints.fingerprint(empty), "doc_id").count() == 0
 
@@ -321,11 +321,17 @@ def test_sketches_at_the_registered_settings_against_exact_containment(spark):
     order = sorted(rows, reverse=True)
     for (key, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         want, n = exact(text, text[: len(text) - len(text) // 2] + after[: len(text) // 2])
-        assert got[key]["near_edited"] == pytest.approx(want, abs=0 if n <= fingerprints.FEW else 0.12)
-        assert got[key]["fraction"] == (1.0 if len(text.split()) < 260 else 0.5)
+        assert got[key]["near_edited"] == pytest.approx(want, abs=0 if n < fingerprints.LEAST else 0.2)
+    assert sum(len(r["fingerprint"]) for r in got.values()) < sum(len(t) for _, t in rows) * 2
     short, long = rows[1][1], rows[-1][1]
     one, other, whole = fingerprints.sketches(pa.array([short, long, f"{long} {short}"]))
     assert fingerprints.likeness(one, whole) == 1.0 and fingerprints.likeness(other, whole) == 1.0 and fingerprints.likeness(one, other) == 0.0
+    # a text of one word or few beside one of 20,000: always a number, and never more than there is
+    huge = drawn(20_000)
+    for small, want in (("w1", 0.0), ("w1 w2 w3 w4 w5", 0.0), (" ".join(huge.split()[:5]), None), (" ".join(huge.split()[:60]), 1.0), (huge, 1.0), ("", 0.0)):
+        a, b = fingerprints.sketches(pa.array([small, huge]))
+        for got_ in (fingerprints.likeness(a, b), fingerprints.likeness(b, a)):
+            assert 0.0 <= got_ <= 1.0 and (want is None or got_ == want)
 
 
 PII = [
