@@ -120,7 +120,7 @@ class LandedReader(DataSourceReader):
                 page = json.loads(file.read())
             items = items_of(partition.source, page)
             following = at(page, shape["cursor"]) if partition.by_cursor and items else None
-            following = f"after-{following}.json" if following else ""
+            following = f"after-{following}.json" if following is not None else ""
             if following and store.get_file_info(f"{top}/{partition.source}/{following}").type == pyarrow.fs.FileType.File:  # else it hasn't landed yet
                 waiting.append((number + 1, following))
             landed = at(page, ("landed_at",))
