@@ -1,6 +1,6 @@
 """The exact best opportunities of each organization without scoring every pair in full.
 
-A scorer comes with a bound: points that no pair of such sides can exceed, from short arrays and numbers of either side, and from what an opportunity is worth at most to each class of
+A scorer comes with a bound: points that no pair of such sides can exceed (null where a pair fails the gate), from short arrays and numbers of either side, and from what an opportunity is worth at most to each class of
 organization, which is derived once on its side. The pairs with the highest bounds are scored first. Where they fill the list, its last row is a floor: a pair whose bound is lower
 cannot enter the list, nor one whose bound equals it but that arrived later, and only the others are scored in full.
 """
@@ -36,11 +36,6 @@ def class_points() -> Column:
     return F.get("class_points", (F.array_position(strings(CLASSES), F.col("org_class")) - 1).cast("int"))
 
 
-def at_most(points: Column, highest: int = 100) -> Column:
-    """The points, cut at the highest score; null for pairs that fail the gate. (`least` alone would skip the null.)"""
-    return F.when(points.isNotNull(), F.least(F.lit(highest), points))
-
-
 def candidates(opps: DataFrame, orgs: DataFrame, bound: Column, score: Scorer, rank: Scorer, k: int, least: int, seeds: int, by: tuple[str, ...]) -> DataFrame:
     """The pairs whose bound reaches the floor of their organization, with all columns of both sides. `opps` should be a written table, as it is read three times.
 

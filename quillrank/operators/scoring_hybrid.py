@@ -9,7 +9,7 @@ from ..functions.lexicons import SECTORS
 from ..functions.text import js_round
 from . import scoring_v1 as v1
 from . import scoring_v2 as v2
-from .bounds import at_most, class_points, with_class_points
+from .bounds import class_points, with_class_points
 from .pairs import only, pair_up, said_by, spread
 
 DIMENSIONS = ("mission_domain", "eligibility", "org_type_fit", "activity_fit", "geography_fit", "capacity_fit", "funding_fit", "population_fit")
@@ -50,7 +50,7 @@ def bound() -> Column:
     eligibility = F.least(F.lit(20), F.greatest(F.when(gates[0], first["eligibility_fit"]).otherwise(0), F.when(gates[1], second["eligibility_fit"]).otherwise(0)))
     points = class_points() + _mission(first["mission_topic_fit"], second["domain_fit"]) + eligibility + js_round(second["activity_fit"] / 15 * 10) + js_round(5 + 0.5 * v2.best_places()) + second["capacity_fit"]
     points = points + _funding(first["funding_size_fit"], second["funding_fit"]) + js_round(second["population_fit"] / 10 * 5) + v2.semantic_boost() + js_round(first["maturity_fit"] / 5 * 4) - _penalty()
-    return at_most(F.when(gates[0] | gates[1], points))
+    return F.when(gates[0] | gates[1], points)
 
 
 def score_hybrid(pairs: DataFrame) -> DataFrame:

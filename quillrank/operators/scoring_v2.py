@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import ACTIVITIES, POPULATIONS, SECTORS, bits, every_word, tags, tags_at
 from ..functions.phrases import found
 from ..functions.text import js_round, strings
-from .bounds import at_most, class_points, with_class_points
+from .bounds import class_points, with_class_points
 from .pairs import CLASSES, pair_up, said_by, spread
 
 #: How well each class of organization (columns, in the order of CLASSES) suits each type of opportunity.
@@ -302,7 +302,7 @@ def bound() -> Column:
     """No pair of bounded sides scores more. The flags of the organization count as at their best."""
     d, gap = dimension_points(), F.col("complexity") - F.col("org_capacity")
     points = class_points() + best_places() + sum((d[k] for k in ("activity_fit", "population_fit", "capacity_fit", "funding_fit")), d["domain_fit"])
-    return at_most(points + semantic_boost() - F.when(gap == 1, 3).when(gap == 2, 7).when(gap > 2, 10).otherwise(0))
+    return points + semantic_boost() - F.when(gap == 1, 3).when(gap == 2, 7).when(gap > 2, 10).otherwise(0)
 
 
 def score_v2(pairs: DataFrame) -> DataFrame:

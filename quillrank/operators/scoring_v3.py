@@ -13,7 +13,7 @@ from ..functions.phrases import contained
 from ..functions.text import js_round, norm_text, strings
 from . import scoring_v2 as v2
 from . import scoring_v4 as v4
-from .bounds import at_most, class_points, with_class_points
+from .bounds import class_points, with_class_points
 from .pairs import only, pair_up, said_by, spread
 from .scoring_v2 import has
 
@@ -211,7 +211,7 @@ def bound() -> Column:
     named = F.when(shared > 0, _named(c("pop_level"), F.when(shared >= 2, 1).otherwise(0), F.lit(3))).otherwise(3)
     population = F.when((size("org_pops") > 0) & (size("pops") > 0), named).when(v2.common("populations") > 0, 4).otherwise(2)
     points = class_points() + concept + F.least(F.lit(12), central) + F.least(F.lit(10), second["activity_fit"]) + population + js_round(v2.best_places() / 10 * 7) + _capacity(second) + _funding(second)
-    return at_most(points + js_round(v2.semantic_boost() / 10 * 8) - _weak(exact == 0, concept, central) - _complex() - _too_large())
+    return points + js_round(v2.semantic_boost() / 10 * 8) - _weak(exact == 0, concept, central) - _complex() - _too_large()
 
 
 def _dimensions() -> dict[str, Column]:

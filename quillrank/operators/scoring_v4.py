@@ -12,7 +12,7 @@ from ..functions.lexicons import SECTORS, bits
 from ..functions.phrases import contained
 from ..functions.text import js_round, let, norm_text, parse_date, strings
 from . import scoring_v2 as v2
-from .bounds import at_most, class_points, with_class_points
+from .bounds import class_points, with_class_points
 from .pairs import only, pair_up, said_by, spread
 from .scoring_v2 import has
 
@@ -318,7 +318,7 @@ def bound() -> Column:
     weak = F.when((exact == 0) & (central < 4), F.when(concept < 8, 8).when(concept < 12, 4).otherwise(0)).otherwise(0)
     points = class_points() + concept + F.least(F.lit(10), central) + F.least(F.lit(10), second["activity_fit"]) + population + F.when(size("places") == 0, 5).otherwise(8) + _capacity(second) + funding()
     points = points + js_round(v2.semantic_boost() / 10 * 8) + c("recency_boost") - weak - _complex() - _too_large()
-    return at_most(points)
+    return points
 
 
 def score_v4(pairs: DataFrame) -> DataFrame:
