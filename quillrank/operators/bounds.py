@@ -18,6 +18,8 @@ from . import ranking
 from .pairs import CLASSES, pair_up
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Below so many pairs, planning and compiling the search for a floor takes longer than scoring every pair. The rows are the same either way.
+LEAST_PAIRS = 2_000_000
 
 
 def with_class_points(opps: DataFrame, gate: Column, points: Column) -> DataFrame:
@@ -52,8 +54,11 @@ def candidates(opps: DataFrame, orgs: DataFrame, bound: Column, score: Scorer, r
     return pair_up(opps, aimed).where(bound >= F.col("org_floor") + F.when(later, 1).otherwise(0))
 
 
-def best(opps: DataFrame, orgs: DataFrame, bound: Column, score: Scorer, k: int = 10, cap: int | None = None, least: int = 1, seeds: int | None = None) -> DataFrame:
-    """What ranking.top_k (or, with `cap`, capped_top_k) makes of all pairs' scores, from the candidates alone."""
+def best(opps: DataFrame, orgs: DataFrame, bound: Column, score: Scorer, k: int = 10, cap: int | None = None, least: int = 1, seeds: int | None = None, least_pairs: int = LEAST_PAIRS) -> DataFrame:
+    """What ranking.top_k (or, with `cap`, capped_top_k) makes of all pairs' scores; from the candidates alone where there are `least_pairs` or more."""
     rank = (lambda rows: ranking.capped_top_k(rows, k, cap, least=least)) if cap else (lambda rows: ranking.top_k(rows, k, least=least))
     by, seeds = (("org_id", "source"), seeds or 20 * cap) if cap else (("org_id",), seeds or 20 * k)
-    return rank(score(candidates(staged(opps, "opportunities"), orgs, bound, score, rank, k, least, seeds, by)))
+    opps = staged(opps, "opportunities")
+    if opps.count() * orgs.count() < least_pairs:
+        return rank(score(pair_up(opps, orgs)))
+    return rank(score(candidates(opps, orgs, bound, score, rank, k, least, seeds, by)))

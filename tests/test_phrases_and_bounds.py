@@ -93,7 +93,7 @@ def test_bounded_ranking_equals_the_ranking_of_all_pairs(spark, name):
     keys = ["org_id", "id", "total", "rank"]
     for cap, least in ((3, 25),) if name in ("hybrid", "v4") else ((None, 1),):
         want = ranking.capped_top_k(scored, 10, cap, least=least) if cap else ranking.top_k(scored, 10, least=least)
-        got = bounds.best(mine, own, bound, score, 10, cap, least)
+        got = bounds.best(mine, own, bound, score, 10, cap, least, least_pairs=0)
         assert sorted(map(tuple, got.select(*keys).collect())) == sorted(map(tuple, want.select(*keys).collect()))
 
 
@@ -109,7 +109,8 @@ def test_few_pairs_are_scored_in_full(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
-def test_no_score_sinks_into_the_join(spark):
+def test_no_score_sinks_into_the_join(spark, monkeypatch):
+    monkeypatch.setattr(bounds.best, "__defaults__", (*bounds.best.__defaults__[:-1], 0))  # rankings by bounds, however few the pairs
     known = plans.queries()
     for name in ("v1_top10", "v5_top10", "v4_capped_top10", "v3_top10"):
         joins = [line for line in known[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line or "Join Cross" in line]
