@@ -133,11 +133,14 @@ def ranked(scores: Column, which: int) -> Column:
         places.setdefault(entry[which], []).append(i)
     names = table([{"name": name, "at": at} for name, at in places.items()], "array<struct<name:string,at:array<int>>>")
 
-    def row(n: Column) -> Column:
-        found = F.filter(n["at"], lambda i: F.get(scores, i) > 0)
-        return F.struct((-F.aggregate(found, F.lit(0), lambda a, i: a + F.get(scores, i))).alias("v"), F.array_min(found).alias("o"), n["name"].alias("name"))
+    def of(s: Column) -> Column:
+        def row(n: Column) -> Column:
+            found = F.filter(n["at"], lambda i: F.get(s, i) > 0)
+            return F.struct((-F.aggregate(found, F.lit(0), lambda a, i: a + F.get(s, i))).alias("v"), F.array_min(found).alias("o"), n["name"].alias("name"))
 
-    return F.transform(F.array_sort(F.filter(F.transform(names, row), lambda r: r["v"] < 0)), lambda r: r["name"])
+        return F.transform(F.array_sort(F.filter(F.transform(names, row), lambda r: r["v"] < 0)), lambda r: r["name"])
+
+    return let(scores, of)
 
 
 def domain_phrases(text: Column) -> Column:
