@@ -184,14 +184,20 @@ def either(column: str) -> Column:
     return F.bit_count(F.col(f"org_{column}_bits").bitwiseOR(F.col(f"{column}_bits")))
 
 
-def passes() -> Column:
-    """The eligibility gate by class of organization; no applicant types admit everyone."""
+def refusals() -> dict[str, Column]:
+    """The rules by which the gate refuses a class of organization, in the order in which they are told."""
     e, c = F.col("elig"), F.col("org_class")
     any_of = lambda *v: F.arrays_overlap(e, strings(v))
     nonprofit = any_of("nonprofit", "501c3", "community_based_org", "community_org") & ~any_of("for_profit", "small_business", "all") & ~c.isin("nonprofit", "tribal", "research_institution", "university")
     business = F.forall(e, lambda t: t.isin("small_business", "for_profit", "8a_certified")) & ~F.coalesce(F.col("org_is_small_business"), F.lit(False)) & ~c.isin("small_business", "contractor")
     exempt = any_of("501c3") & ~F.coalesce(F.col("org_has_501c3"), F.lit(False)) & ~c.isin("government", "university", "tribal")
-    return (F.size(e) == 0) | ~(nonprofit | business | exempt)
+    return {"nonprofit_only": nonprofit, "small_business_only": business, "501c3_required": exempt}
+
+
+def passes() -> Column:
+    """The eligibility gate by class of organization; no applicant types admit everyone."""
+    nonprofit, business, exempt = refusals().values()
+    return (F.size("elig") == 0) | ~(nonprofit | business | exempt)
 
 
 def eligibility_points() -> Column:

@@ -138,12 +138,17 @@ def pairs(opps: DataFrame, orgs: DataFrame, phrases: tuple[str, ...] = PHRASES,
     return pair_up(*sides(opps, orgs, phrases, sectors))
 
 
+def excluded() -> Column:
+    """Whether applicant types exclude the class."""
+    out = F.lit(False)
+    for kind, types in EXCLUDES.items():
+        out = out | ((F.col("org_class") == kind) & F.arrays_overlap("elig", strings(types)))
+    return out
+
+
 def passes() -> Column:
     """The strict gate: the source-aware scorer's rules, and applicant types that exclude the class."""
-    excluded = F.lit(False)
-    for kind, types in EXCLUDES.items():
-        excluded = excluded | ((F.col("org_class") == kind) & F.arrays_overlap("elig", strings(types)))
-    return (F.size("elig") == 0) | (v4.passes() & ~excluded)
+    return (F.size("elig") == 0) | (v4.passes() & ~excluded())
 
 
 def _matches(out: DataFrame) -> DataFrame:

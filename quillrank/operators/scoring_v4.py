@@ -191,7 +191,8 @@ def _in(column: str, table: dict[str, tuple[str, ...]]) -> Column:
     return out
 
 
-def passes() -> Column:
+def refusals() -> dict[str, Column]:
+    """The rules by which the gate refuses a class of organization, in the order in which they are told."""
     e, c = F.col("elig"), F.col("org_class")
     any_of = lambda *v: F.arrays_overlap(e, strings(v))
     only = lambda *v: F.forall(e, lambda t: t.isin(*v))
@@ -199,7 +200,12 @@ def passes() -> Column:
     business = only("small_business", "for_profit", "8a_certified", "hubzone", "sdvosb") & ~F.col("org_is_small_business") & ~c.isin("small_business", "contractor")
     nonprofit = any_of("nonprofit", "501c3", "community_based_org", "community_org", "ngo") & ~any_of("for_profit", "small_business", "all") & ~c.isin("nonprofit", "tribal", "research_institution", "university", "international_ngo")
     government = only("government", "public_agency", "state_government", "local_government", "federal_agency") & ~c.isin("government", "tribal")
-    return (F.size(e) == 0) | ~(exempt | business | nonprofit | government)
+    return {"501c3_required": exempt, "small_business_only": business, "nonprofit_only": nonprofit, "government_only": government}
+
+
+def passes() -> Column:
+    exempt, business, nonprofit, government = refusals().values()
+    return (F.size("elig") == 0) | ~(exempt | business | nonprofit | government)
 
 
 def eligibility(satisfies: dict[str, tuple[str, ...]] = SATISFIES) -> Column:
@@ -239,13 +245,17 @@ def funding() -> Column:
     return F.when(most.isNull() | (F.coalesce(budget, F.lit(0.0)) <= 0), 3).otherwise(zones)
 
 
+def applicant_barriers() -> tuple[Column, Column]:
+    """Whether procurement, and whether research, is out of the class's usual reach."""
+    c, kind = F.col("org_class"), F.col("type")
+    return (kind == "procurement_contract") & ~c.isin("contractor", "small_business", "government"), (kind == "research_grant") & ~c.isin("university", "research_institution")
+
+
 def target_applicant() -> tuple[Column, Column]:
     """Points and mismatch penalty for the intended applicant."""
-    c, kind, who = F.col("org_class"), F.col("type"), F.col("intended")
+    c, who = F.col("org_class"), F.col("intended")
     good, bad = _in("intended", {k: v[0] for k, v in SUITS.items()}), _in("intended", {k: v[1] for k, v in SUITS.items()})
-    procurement = (kind == "procurement_contract") & ~c.isin("contractor", "small_business", "government")
-    research = (kind == "research_grant") & ~c.isin("university", "research_institution")
-    nonprofit = c == "nonprofit"
+    nonprofit, procurement, research = c == "nonprofit", *applicant_barriers()
     fit = F.when((who == "community_nonprofit") & nonprofit, 12).when(who == "open", 8).otherwise(10)
     points = F.when(procurement, 3).when(research, F.when(nonprofit, 5).otherwise(3)).when(good, fit).when(bad, 3).otherwise(6)
     penalty = F.when(procurement, 10).when(research, F.when(nonprofit, 5).otherwise(8)).when(good, 0).when(bad, 8).otherwise(0)

@@ -91,10 +91,10 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
-def hybrid_sql() -> dict[str, str]:
-    """The hybrid scorer's queries, from the rows of both."""
+def hybrid_with() -> str:
+    """The hybrid scorer's rows `h` and their ranks `hr`, from the rows of both scorers."""
     bonus = "(case when list_contains(y.elig, org_type) then 5 else 0 end + case when y.has_501c3 and list_contains(y.elig, '501c3') then 3 else 0 end + case when y.is_small and list_contains(y.elig, 'small_business') then 2 else 0 end)"
-    hybrid = "with " + _V1 + "," + _V2.removeprefix(_OPPS + "," + _ORGS + ",") + f""",
+    return "with " + _V1 + "," + _V2.removeprefix(_OPPS + "," + _ORGS + ",") + f""",
     h1 as (select y.org_id, y.id, y.ord, y.source, d2.ok as ok2, d_d, d_a, d_p, d_g, d_t, d_c, d_f, boost, q1 + q2 + q3 + q4 + q5 + q6 as pen, case when d2.ok then d_e else 0 end as e2,
         floor(least(60.0::double, hits::double / least(uniq, 20) * 60 + case when hits > 0 then 8 else 0 end) + 0.5) as k1,
         case when not y.ok then 0 when len(y.elig) = 0 then 10 else least(20, 10 + {bonus}) end as e1, case geo when 'open' then 7 when 'match' then 10 else 0 end as g1,
@@ -110,6 +110,10 @@ def hybrid_sql() -> dict[str, str]:
         (case when ok then boost else 0 end)::bigint as semantic_boost, (case when ok then floor(m1::double / 5 * 4 + 0.5) else 0 end)::bigint as maturity_boost, (case when ok then pen else 0 end)::bigint as penalty_total from h2),
     h as (select *, greatest(0, least(100, mission_domain + eligibility + org_type_fit + activity_fit + geography_fit + capacity_fit + funding_fit + population_fit + semantic_boost + maturity_boost - penalty_total)) as total from h3),
     hr as (select *, row_number() over (partition by org_id order by total desc, ord) as rank from h where passes_eligibility and total > 0) """
+
+
+def hybrid_sql() -> dict[str, str]:
+    hybrid = hybrid_with()
     return {
         "hybrid_scores": hybrid + "select * exclude (ord, source) from h",
         "hybrid_top10": hybrid + "select org_id, id, total, rank from hr where rank <= 10",
