@@ -514,6 +514,56 @@ def test_lm_base_scores_and_proper_probabilities(spark, docs, empty, monkeypatch
     assert lm.score(empty, model, vocabulary, scratch).count() == 0
 
 
+def test_lm_scores_equal_plain_loops_and_sum_to_one(spark, docs):
+    """Scores anew from the weights, word by word, and the probabilities of all words after a history."""
+    scratch = Scratch(spark, "t1p")
+    own = docs.where(~lm.held_out())
+    vocabulary = scratch.save(lm.count_words(own))
+    model = lm.train(own, vocabulary)
+    known = {int(r["word"]) % 2**64: (int(r["ending"]), r["c"]) for r in vocabulary.collect()}
+    assert abs(model.weights).max() > 0
+    shift = 65 - len(model.weights).bit_length()
+
+    def softmax(j, keys, prior):
+        z = [float(x) for x in prior]
+        for n, key in enumerate(keys):
+            bucket = int(lm.words.mix(lm.np.array([(key + j + n) % 2**64], lm.np.uint64))[0]) >> shift
+            z = [a + float(b) for a, b in zip(z, model.weights[bucket], strict=True)]
+        e = [math.exp(x) for x in z]
+        return [x / sum(e) for x in e]
+
+    def after(before):
+        """Probability of a known word (its code, or None for the unknown one) after the words before it."""
+        one, two = (before[-n] if len(before) >= n else int(lm._NONE) for n in (1, 2))
+        pair = (one * 0x9FB21C651E98DF25 + two) % 2**64
+        classes = softmax(1, (one, pair, two), model.log_share)
+
+        def probability(word):
+            if word not in known:
+                return 0.1 / model.total * sum(p * float(u) for p, u in zip(classes, model.unknown, strict=True))
+            ending, c = known[word]
+            label, group = int(model.classes[ending]), (word >> 20) % lm.GROUPS
+            mark = (label + 1) * 0x9E3779B97F4A7C15
+            groups = softmax(4, (one + mark, pair + mark), model.log_groups[label])
+            return (c + 0.1) / model.total * classes[label] / math.exp(model.log_share[label]) * groups[group] / math.exp(model.log_groups[label][group])
+
+        return probability
+
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(docs, model, vocabulary, scratch).collect()}
+    seen = 0
+    for key, text in ROWS:
+        if len(plain_words(text)) > 60:
+            continue
+        codes = [int(w) for w in lm._tokens(lm.pa.array([text or ""]))[0]]
+        score = sum(math.log10(after(codes[:i])(w)) for i, w in enumerate(codes))
+        assert got[key, len(codes)] == pytest.approx(score, rel=1e-4, abs=1e-4)
+        seen += 1
+        for i in (0, len(codes) // 2, len(codes) - 1):
+            follows = after(codes[:i])
+            assert sum(follows(w) for w in known) + follows(None) == pytest.approx(1, abs=1e-3)
+    assert seen > 3
+
+
 def test_lm_scores_held_out_texts_above_their_base(spark):
     """The history tells of the next word: texts of a chain over 60 words, of which each is mostly followed by one of two."""
     import random
