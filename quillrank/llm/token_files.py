@@ -7,7 +7,8 @@ so any sequence of a memory-mapped file is found by arithmetic and used without
 of the documents (doc_id, start in the file, n_tokens).
 
 Parts are ranges of the key, so the files in name order hold the corpus in ascending key order. A task writes under a
-name of its own attempt and renames at the end; a repeated task writes the same bytes under the same final name.
+name of its own attempt and renames at the end; a repeated task replaces the file by one of the same bytes. An attempt that fails
+removes what it wrote; one whose process is killed may leave a file named `_attempt-`, which no reader looks at.
 """
 
 from __future__ import annotations
@@ -66,6 +67,17 @@ class _Writer:
         self.file.close()
 
 
+def settle(store: pyarrow.fs.FileSystem, own: str, name: str) -> None:
+    """Renames an attempt's file. File systems that don't rename onto a file, as HDFS, get the earlier attempt's one out of the way first."""
+    try:
+        store.move(own, name)
+    except OSError:
+        if store.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
+            raise
+        store.delete_file(name)
+        store.move(own, name)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes docs as token files in `folder` and returns the plan whose rows tell of each file: part, n_docs, n_tokens.
 
@@ -76,10 +88,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        part, encode = task.partitionId(), tokens.encoder(tokenizer)
+        part = task.partitionId()
         store, top = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
         name, own = f"{top}/part-{part:06d}", f"{top}/_attempt-{part:06d}-{task.taskAttemptId()}"
+        try:
+            yield from fill(batches, store, part, name, own)
+        except BaseException:
+            for kind in ("ids", "docs"):
+                if store.get_file_info(f"{own}.{kind}").type != pyarrow.fs.FileType.NotFound:
+                    store.delete_file(f"{own}.{kind}")
+            raise
+
+    def fill(batches: Iterator[pa.RecordBatch], store: pyarrow.fs.FileSystem, part: int, name: str, own: str) -> Iterator[pa.RecordBatch]:
+        encode = tokens.encoder(tokenizer)
         keys, sizes, writer, sink = [], [], None, None
         for batch in batches:
             for piece in words.pieces(batch):
@@ -103,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         with store.open_output_stream(f"{own}.docs") as sink, pa.ipc.new_file(sink, index.schema) as file:
             file.write_table(index, 100_000)
         for kind in ("ids", "docs"):
-            store.move(f"{own}.{kind}", f"{name}.{kind}")
+            settle(store, f"{own}.{kind}", f"{name}.{kind}")
         yield pa.record_batch([pa.array([part]), pa.array([len(sizes)]), pa.array([writer.total])], names=["part", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

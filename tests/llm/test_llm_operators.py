@@ -480,6 +480,33 @@ def test_languages_of_held_out_documents(spark):
     assert got.where("lang = lang_pred").count() >= 0.95 * got.count() > 0
 
 
+def test_token_file_of_a_repeated_attempt_replaces_the_first(spark, docs, tmp_path):
+    """On a file system that doesn't rename onto a file; and a failing attempt leaves no file."""
+    local = token_files.pyarrow.fs.LocalFileSystem()
+
+    class Strict:
+        get_file_info, delete_file = local.get_file_info, local.delete_file
+
+        @staticmethod
+        def move(own, name):
+            if os.path.exists(name):
+                raise OSError("exists")
+            local.move(own, name)
+
+    (tmp_path / "a").write_text("one")
+    token_files.settle(Strict, f"{tmp_path}/a", f"{tmp_path}/part")
+    (tmp_path / "b").write_text("two")
+    token_files.settle(Strict, f"{tmp_path}/b", f"{tmp_path}/part")
+    assert (tmp_path / "part").read_text() == "two" and not (tmp_path / "b").exists()
+    with pytest.raises(OSError):
+        token_files.settle(Strict, f"{tmp_path}/gone", f"{tmp_path}/other")
+
+    folder = tmp_path / "files"
+    with pytest.raises(Exception, match="range"):  # rows of no ids fail once the attempt's file is open
+        token_files.write_token_files(docs, folder.as_uri(), TOKENIZER, 1, length=0).collect()
+    assert os.listdir(folder) == []
+
+
 def test_lm_base_scores_and_proper_probabilities(spark, docs, empty, monkeypatch):
     scratch = Scratch(spark, "t1")
     own = docs.where(~lm.held_out())
