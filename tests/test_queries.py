@@ -9,7 +9,7 @@ from quillrank import plans
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
-QUICK = ("v1_scores", "audit_weighted_variants", "metrics_precision_recall", "failure_classes", "hybrid_scores", "v2_scores", "upsert_merge", "status_toggle", "deterministic_id", "synonym_expand", "parse_amount", "v4_scores", "v5_scores", "v5_interpreted_scores", "v5_explained_top10", "interpreted", "title_signals", "mission_phrases", "result_tabs", "unified_results", "export_csv", "export_raw_csv", "coerced_records", "coerced_profiles", "run_log", "run_report", "v2_explained_top10", "hybrid_explained_top10", "v3_explained_top10", "v4_explained_top10", "sweep_versions", "hybrid_risks", "v3_risks", "v4_risks")
+QUICK = ("v1_scores", "audit_weighted_variants", "metrics_precision_recall", "failure_classes", "hybrid_scores", "v2_scores", "upsert_merge", "status_toggle", "deterministic_id", "synonym_expand", "parse_amount", "v4_scores", "v5_scores", "v5_interpreted_scores", "v5_explained_top10", "interpreted", "title_signals", "mission_phrases", "result_tabs", "unified_results", "export_csv", "export_raw_csv", "coerced_records", "coerced_profiles", "run_log", "run_report", "v2_explained_top10", "hybrid_explained_top10", "v3_explained_top10", "v4_explained_top10", "sweep_versions", "hybrid_risks", "v3_risks", "v4_risks", "registry_progress", "latest_log", "live_opportunities", "ellipsized", "first_languages", "compare_profile_variant")
 
 
 def rows(table, columns):
