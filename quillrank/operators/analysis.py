@@ -50,9 +50,24 @@ def dimension_means(scored: DataFrame, dimensions: tuple[str, ...], score: str =
     return kept.groupBy("org_id").agg(*[js_round(F.sum(d) / F.count(F.lit(1)) * 10).cast("long").alias(d) for d in dimensions])
 
 
+def each_of(scored: DataFrame, items: Column, name: str) -> DataFrame:
+    """(org_id, `name`): a row for each item of a list that is computed from scored pairs; none for a null or empty list.
+
+    Neither a filter on the score nor `explode`, from which Spark infers one on the list's size, comes before the items: either would sink into the condition of the join that makes the
+    pairs, where all that the list is made of is computed anew for each of its uses.
+    """
+    return scored.select("org_id", F.posexplode_outer(items).alias("_at", name)).where("_at is not null").drop("_at")
+
+
+def penalty_sums(scored: DataFrame) -> DataFrame:
+    """Per organization and type of penalty: its points and how often it applies."""
+    each = each_of(scored, F.col("penalties"), "p")
+    return each.groupBy("org_id", F.col("p.type").alias("type")).agg(F.sum("p.value").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
 def risk_counts(scored: DataFrame, score: str = "total") -> DataFrame:
     """How often each risk occurs over scored rows, cut at the first dash or parenthesis."""
-    kept = scored.where(F.col("passes_eligibility") & (F.col(score) > 0)).select("org_id", F.explode("risks").alias("risk"))
+    kept = each_of(scored, F.when(F.col("passes_eligibility") & (F.col(score) > 0), F.col("risks")), "risk")
     return kept.select("org_id", F.trim(F.regexp_replace("risk", r"(?s)\s*[—(].*$", "")).alias("risk")).groupBy("org_id", "risk").agg(F.count(F.lit(1)).alias("n"))
 
 

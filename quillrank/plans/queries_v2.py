@@ -68,8 +68,7 @@ def capacity_band(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def penalty_sum(spark: SparkSession, sf: str) -> DataFrame:
-    each = _scores(spark, sf).select("org_id", F.explode("penalties").alias("p"))
-    return each.groupBy("org_id", F.col("p.type").alias("type")).agg(F.sum("p.value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return analysis.penalty_sums(_scores(spark, sf))
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
