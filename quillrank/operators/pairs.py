@@ -35,9 +35,14 @@ def only(words: str, known: list[str] | None) -> Column:
     return F.filter(words, lambda t: t.isin(known)) if known is not None else F.col(words)
 
 
+def prefixed(orgs: DataFrame) -> DataFrame:
+    """The organizations as a pair has them: their columns get the prefix `org_`."""
+    return orgs.select(*[F.col(c).alias(c if c.startswith("org_") else f"org_{c}") for c in orgs.columns])
+
+
 def pair_up(opps: DataFrame, orgs: DataFrame) -> DataFrame:
     """Every opportunity with every organization, whose columns get the prefix `org_`."""
-    named = orgs.select(*[F.col(c).alias(c if c.startswith("org_") else f"org_{c}") for c in orgs.columns])
+    named = prefixed(orgs)
     n = named.count()
     if n <= MOST:
         return opps.crossJoin(F.broadcast(named))

@@ -41,8 +41,12 @@ def v1_top10(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top_k(_scores(spark, sf)).select(*_KEYS, "source", "total", "rank")
 
 
+def _ranked(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return v1.ranked_v1(views.opportunities(spark, sf), views.organizations(spark, sf), k)
+
+
 def v1_explained_top10(spark: SparkSession, sf: str) -> DataFrame:
-    top = v1.reasons_v1(ranking.top_k(_scores(spark, sf)))
+    top = v1.reasons_v1(_ranked(spark, sf, 10))
     return top.select(*_KEYS, "rank", F.array_join("reasons", " | ").alias("reasons"), F.array_join("risks", " | ").alias("risks"))
 
 

@@ -16,7 +16,7 @@ from ..operators import scoring_v5 as v5
 from ..sources import landed, uploads, views
 from ..streaming import events as ev
 from . import oracle, oracle_v2, oracle_v4, oracle_v5, queries_v2, queries_v4, queries_v5
-from .queries import AS_OF, _audit, _events, _scores, compare_v1_audit, recommendations, records, risk_counts
+from .queries import AS_OF, _audit, _events, _ranked, _scores, compare_v1_audit, recommendations, records, risk_counts
 
 
 def audit_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,21 +130,37 @@ def unified_results(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def export_csv(spark: SparkSession, sf: str) -> DataFrame:
-    top = v1.reasons_v1(ranking.top_k(_scores(spark, sf), 5)).withColumn("title", F.concat("title", F.lit(' "A"')))
+def csv_lines(ranked: DataFrame) -> DataFrame:
+    top = v1.reasons_v1(ranked).withColumn("title", F.concat("title", F.lit(' "A"')))
     opp = {k: F.col(k) for k in ("title", "source", "agency", "close_date", "max_award", "url")}
     line = reports.csv_line(F.col("rank"), F.col("total"), F.when(F.col("total") >= 70, "excellent").otherwise("other"), opp, F.col("passes_eligibility"), F.lit("Open"), F.col("reasons"), F.col("risks"))
     return top.select("org_id", "rank", line.alias("line"))
 
 
-def export_raw_csv(spark: SparkSession, sf: str) -> DataFrame:
-    top = ranking.top_k(_scores(spark, sf), 5).withColumn("title", F.concat("title", F.lit(' "A"')))
+def raw_csv_lines(ranked: DataFrame) -> DataFrame:
+    top = ranked.withColumn("title", F.concat("title", F.lit(' "A"')))
     return top.select("org_id", "rank", reports.raw_csv_line(F.col("rank")).alias("line"))
 
 
+def json_lines(ranked: DataFrame) -> DataFrame:
+    return ranked.select("org_id", "rank", reports.json_line("rank", "total", "title", "source", "passes_eligibility").alias("line"))
+
+
+def listed(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best of each organization, which all exports hold."""
+    return _ranked(spark, sf, 5)
+
+
+def export_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return csv_lines(listed(spark, sf))
+
+
+def export_raw_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return raw_csv_lines(listed(spark, sf))
+
+
 def export_json(spark: SparkSession, sf: str) -> DataFrame:
-    top = ranking.top_k(_scores(spark, sf), 5)
-    return top.select("org_id", "rank", reports.json_line("rank", "total", "title", "source", "passes_eligibility").alias("line"))
+    return json_lines(listed(spark, sf))
 
 
 def displays(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillrank.operators import analysis
+from quillrank.operators import analysis, ranking
+from quillrank.operators import scoring_v1 as v1
 from quillrank.operators.pairs import pair_up
 
 
@@ -31,3 +32,24 @@ def test_no_score_sinks_into_the_join(spark):
 def test_items_of_null_and_empty_lists(spark):
     rows = spark.sql("select * from values ('a', array('x', null)), ('a', array()), ('b', null) as t(org_id, items)")
     assert set(map(tuple, analysis.each_of(rows, rows["items"], "item").collect())) == {("a", "x"), ("a", None)}
+
+
+def test_texts_are_fetched_for_ranked_rows_only(spark):
+    """Neither a sort nor a shuffle of the ranking carries an opportunity's text."""
+    opps = spark.sql("select 'a' as id, 1L as ord, 'grants_gov' as source, 'health grant' as title, 'health text' as description, array('nonprofit') as eligibility, array('Ohio') as geography, array('health') as keywords, array('care') as categories, 'grant' as funding_type, 10L as min_award, 100L as max_award")
+    orgs = spark.sql("select 'o' as id, 'nonprofit' as org_type, 'better health' as mission, array('health') as keywords, array('care') as program_areas, array('youth') as population_served, array('Ohio') as geography, 1000d as annual_budget, 3d as years_in_operation, true as has_501c3, false as is_small_business")
+    top = v1.reasons_v1(v1.ranked_v1(opps, orgs, 5))
+    (row,) = top.select("org_id", "id", "rank", "total", "reasons", "description").collect()
+    want = ranking.top_k(v1.v1_scores(opps, orgs), 5).select("total").first()
+    assert row[:4] == ("o", "a", 1, want["total"]) and row["description"] == "health text" and row["reasons"]
+    ranks = v1.reasons_v1(v1.ranked_v1(opps, orgs, 5)).select("org_id", "reasons")._jdf.queryExecution().optimizedPlan()
+    windows = [line for line in ranks.toString().splitlines() if "Window [" in line or "WindowGroupLimit [" in line]
+    assert windows
+    numbered = lambda plan: plan.getClass().getSimpleName() == "Window"
+    todo, carried = [ranks], []
+    while todo:
+        plan = todo.pop()
+        if numbered(plan):
+            carried += plan.output().mkString(" ").split()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert carried and not any(c.startswith(("description#", "title#", "keywords#")) for c in carried)
