@@ -181,7 +181,10 @@ def recommendations(ranked: DataFrame, metrics: DataFrame, weight: int = 60) ->
 
 
 def term_counts(rows: DataFrame, key: str, tokens: Column, most: int = 15) -> DataFrame:
-    """The most frequent terms of each row, ties in order of first occurrence."""
-    each = rows.select(key, F.posexplode(tokens).alias("at", "term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    """The most frequent terms of each row, ties in order of first occurrence.
+
+    The rows are dealt by their key once, as they are; counting and ranking their terms then shuffles nothing more.
+    """
+    each = rows.repartition(F.col(key)).select(key, F.posexplode(tokens).alias("at", "term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "at")
     return each.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).drop("at")
