@@ -59,7 +59,7 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9; any other character and any Unicode blank separates."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^a-z0-9\s]", " "), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
 def tokenize(text: Column) -> Column:
@@ -90,11 +90,23 @@ def plain_topic_tokens(text: str) -> list[str]:
 
 def expand_synonyms(tokens: Column, groups: dict[str, list[str]] = SYNONYMS) -> Column:
     """Adds all tokens of each group of which the topic's or one phrase's tokens are all present; repeated tokens are dropped."""
-    out = tokens
-    for topic, phrases in groups.items():
-        every = list(dict.fromkeys(t for p in [topic, *phrases] for t in plain_topic_tokens(p)))
-        out = F.concat(out, F.when(group_present(tokens, topic, phrases), strings(every)).otherwise(strings([])))
-    return F.array_distinct(out)
+
+    def added(known: Column) -> Column:
+        every = {topic: list(dict.fromkeys(t for p in [topic, *phrases] for t in plain_topic_tokens(p))) for topic, phrases in groups.items()}
+        return F.concat(strings([]), *[F.when(group_present(known, topic, phrases), strings(every[topic])).otherwise(strings([])) for topic, phrases in groups.items()])
+
+    return F.array_distinct(F.concat(tokens, let(in_groups(tokens, groups), added)))
+
+
+def groups_present(tokens: Column, groups: dict[str, list[str]] = SYNONYMS) -> Column:
+    """The topics whose groups are present, in their order."""
+    return let(in_groups(tokens, groups), lambda known: F.array_compact(F.array(*[F.when(group_present(known, k, v), k) for k, v in groups.items()])))
+
+
+def in_groups(tokens: Column, groups: dict[str, list[str]] = SYNONYMS) -> Column:
+    """The distinct tokens that some group has a use for: all that its presence depends on, however long the text."""
+    said = sorted({t for topic, phrases in groups.items() for p in [topic, *phrases] for t in plain_topic_tokens(p)})
+    return F.array_distinct(F.filter(tokens, lambda t: t.isin(*said)))
 
 
 def group_present(tokens: Column, topic: str, phrases: list[str]) -> Column:
@@ -106,7 +118,12 @@ def group_present(tokens: Column, topic: str, phrases: list[str]) -> Column:
 
 def norm_text(text: Column) -> Column:
     """Lower case, everything but letters and digits to single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def norm_joined(*normed: Column) -> Column:
+    """norm_text of texts joined by blanks, from what norm_text makes of each: null and empty ones leave nothing."""
+    return F.concat_ws(" ", *[F.nullif(t, F.lit("")) for t in normed])
 
 
 def normalize_phrase(text: Column) -> Column:

@@ -216,8 +216,7 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.opportunities(spark, sf).select("id", T.topic_tokens(F.concat_ws(" ", "title", "description")).alias("t"))
-    groups = F.array_compact(F.array(*[F.when(T.group_present(F.col("t"), k, v), k) for k, v in T.SYNONYMS.items()]))
-    return rows.select("id", F.size(T.expand_synonyms(F.col("t"))).cast("long").alias("n_expanded"), F.array_join(groups, ",").alias("groups"))
+    return rows.select("id", F.size(T.expand_synonyms(F.col("t"))).cast("long").alias("n_expanded"), F.array_join(T.groups_present(F.col("t")), ",").alias("groups"))
 
 
 def parse_amount(spark: SparkSession, sf: str) -> DataFrame:
