@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import SECTORS
 from ..functions.phrases import contained
-from ..functions.text import js_round, norm_text, strings
+from ..functions.text import js_round, norm_joined, norm_text, strings
 from . import scoring_v2 as v2
 from . import scoring_v4 as v4
 from .bounds import class_points, with_class_points
@@ -102,16 +102,15 @@ def intended_applicant() -> Column:
 
 
 def opp_features(opps: DataFrame, phrases: tuple[str, ...] = PHRASES, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
-    title, body = norm_text(F.col("title")), norm_text(F.col("description"))
-    return v2.opp_profiles(opps, sectors).select(
+    title, body = F.col("title_norm"), F.col("body_norm")  # once for all that is made of them
+    out = v2.opp_profiles(opps, sectors).withColumns({"title_norm": norm_text(F.col("title")), "body_norm": norm_text(F.col("description"))})
+    return out.select(
         "*",
         intended_applicant().alias("intended"),
-        contained(norm_text(F.concat_ws(" ", "title", "description", F.array_join("keywords", " "), F.array_join("categories", " "))), phrases).alias("phrases"),
+        contained(norm_joined(title, body, norm_text(F.array_join("keywords", " ")), norm_text(F.array_join("categories", " "))), phrases).alias("phrases"),
         contained(title, phrases).alias("title_phrases"),
         contained(norm_text(F.substring("description", 1, 350)), phrases).alias("opening_phrases"),
-        title.alias("title_norm"),
-        body.alias("body_norm"),
-        F.filter(F.split(norm_text(F.concat_ws(" ", "title", "description")), " "), lambda t: F.length(t) > 2).alias("words"),
+        F.filter(F.split(norm_joined(title, body), " "), lambda t: F.length(t) > 2).alias("words"),
         v4.population_tags(norm_text(F.concat_ws(" ", "title", F.substring("description", 1, 500))), POPULATIONS).alias("pops"),
     )
 

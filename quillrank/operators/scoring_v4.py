@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import SECTORS, bits
 from ..functions.phrases import contained
-from ..functions.text import js_round, let, norm_text, parse_date, strings
+from ..functions.text import js_round, let, norm_joined, norm_text, parse_date, strings
 from . import scoring_v2 as v2
 from .bounds import class_points, with_class_points
 from .pairs import only, pair_up, said_by, spread
@@ -144,18 +144,17 @@ def intended_applicant() -> Column:
 
 
 def opp_features(opps: DataFrame, as_of: Column, concepts: tuple[str, ...] = CONCEPTS, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
-    out = v2.opp_profiles(opps, sectors)
-    full = norm_text(F.concat_ws(" ", "title", "description", F.array_join("keywords", " "), F.array_join("categories", " ")))
+    title, body = F.col("title_norm"), F.col("body_norm")  # once for all that is made of them
+    out = v2.opp_profiles(opps, sectors).withColumns({"title_norm": norm_text(F.col("title")), "body_norm": norm_text(F.col("description"))})
+    full = norm_joined(title, body, norm_text(F.array_join("keywords", " ")), norm_text(F.array_join("categories", " ")))
     days = (F.unix_timestamp(as_of) - F.unix_timestamp(parse_date(F.col("open_date")))) / 86400
     return out.select(
         "*",
         intended_applicant().alias("intended"),
         contained(full, concepts).alias("phrases"),
-        contained(norm_text(F.col("title")), concepts).alias("title_phrases"),
+        contained(title, concepts).alias("title_phrases"),
         contained(norm_text(F.substring("description", 1, 350)), concepts).alias("opening_phrases"),
-        norm_text(F.col("title")).alias("title_norm"),
-        norm_text(F.col("description")).alias("body_norm"),
-        F.filter(F.split(norm_text(F.concat_ws(" ", "title", "description")), " "), lambda t: F.length(t) > 2).alias("words"),
+        F.filter(F.split(norm_joined(title, body), " "), lambda t: F.length(t) > 2).alias("words"),
         population_tags(norm_text(F.concat_ws(" ", "title", F.substring("description", 1, 500)))).alias("pops"),
         F.transform("geography", norm_text).alias("places"),
         F.when(days <= 14, 3).when(days <= 30, 2).when(days <= 60, 1).otherwise(0).alias("recency_boost"),
