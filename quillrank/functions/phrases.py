@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .text import let, strings
 
 
+#: So many texts of a batch are Python strings at once.
+SLICE = 64
+
+
 @lru_cache(maxsize=64)
 def machine(phrases: tuple[str, ...]):  # noqa: ANN201
     """The automaton of a list; each match tells all places that its phrase has in the list. None without phrases."""
@@ -37,9 +41,10 @@ def search(texts: pa.Array, phrases: tuple[str, ...]) -> pa.Array:
     """For each text the places of the phrases it contains, ascending; none for a null. An empty phrase is in every text that isn't null."""
     find, always = machine(phrases), [i for i, p in enumerate(phrases) if not p]
     out = []
-    for text in texts.to_pylist():
-        hits = {at for _, at in find.iter(text)} if find and text else ()
-        out.append(sorted({i for at in hits for i in at}.union(always if text is not None else ())))
+    for start in range(0, len(texts), SLICE):
+        for text in texts.slice(start, SLICE).to_pylist():
+            hits = {at for _, at in find.iter(text)} if find and text else ()
+            out.append(sorted({i for at in hits for i in at}.union(always if text is not None else ())))
     return pa.array(out, pa.list_(pa.int32()))
 
 
