@@ -1,7 +1,7 @@
 """All phrases of a list in one pass over a text.
 
 The phrases of a list become one automaton (Aho and Corasick), which each Python worker builds once. It reads a text once, however many phrases there are, and finds them anywhere,
-also inside longer words. Texts travel in Arrow batches; what comes back is the places of the phrases found in their list.
+also inside longer words, and in the same pass those that must stand alone. Texts travel in Arrow batches; what comes back is the places of the phrases found in their list.
 """
 
 from __future__ import annotations
@@ -17,44 +17,57 @@ from .text import let, strings
 
 #: So many texts of a batch are Python strings at once.
 SLICE = 64
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 
 
 @lru_cache(maxsize=64)
-def machine(phrases: tuple[str, ...]):  # noqa: ANN201
-    """The automaton of a list; each match tells all places that its phrase has in the list. None without phrases."""
+def machine(phrases: tuple[str, ...], alone: tuple[str, ...] = ()):  # noqa: ANN201
+    """The automaton of both lists; each match tells all places that its phrase has in the first list, those that it has in the second, behind the first, and its length. None without phrases."""
     import ahocorasick
 
-    places: dict[str, list[int]] = {}
-    for i, p in enumerate(phrases):
-        places.setdefault(p, []).append(i)
+    places: dict[str, tuple[list[int], list[int]]] = {}
+    for i, p in enumerate((*phrases, *alone)):
+        places.setdefault(p, ([], []))[i >= len(phrases)].append(i)
     out = ahocorasick.Automaton()
-    for p, at in places.items():
+    for p, (at, own) in places.items():
         if p:
-            out.add_word(p, tuple(at))
+            out.add_word(p, (tuple(at), tuple(own), len(p)))
     if not len(out):
         return None
     out.make_automaton()
     return out
 
 
-def search(texts: pa.Array, phrases: tuple[str, ...]) -> pa.Array:
+def search(texts: pa.Array, phrases: tuple[str, ...], alone: tuple[str, ...] = ()) -> pa.Array:
     """For each text the places of the phrases it contains, ascending; none for a null. An empty phrase is in every text that isn't null."""
-    find, always = machine(phrases), [i for i, p in enumerate(phrases) if not p]
+    find, always = machine(phrases, alone), [i for i, p in enumerate(phrases) if not p]
     out = []
     for start in range(0, len(texts), SLICE):
         for text in texts.slice(start, SLICE).to_pylist():
-            hits = {at for _, at in find.iter(text)} if find and text else ()
+            if not find or not text:
+                hits = ()
+            elif alone:
+                hits = set()
+                for last, (at, own, n) in find.iter(text):
+                    hits.add(at)
+                    if own and own not in hits and not (last >= n and text[last - n] in _WORD) and text[last + 1 : last + 2] not in _WORD:
+                        hits.add(own)
+            else:
+                hits = {at for _, (at, _, _) in find.iter(text)}
             out.append(sorted({i for at in hits for i in at}.union(always if text is not None else ())))
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def found(text: Column, phrases: tuple[str, ...] | list[str]) -> Column:
-    """The places (from 0, ascending) in the list of the phrases that a text contains; none for a null text."""
-    listed = tuple(phrases)
+def found(text: Column, phrases: tuple[str, ...] | list[str], alone: tuple[str, ...] | list[str] = ()) -> Column:
+    """The places (from 0, ascending) in the list of the phrases that a text contains; none for a null text.
+
+    Words of `alone` follow in the list. They count only where no ASCII letter, digit or _ touches them.
+    """
+    listed, words = tuple(phrases), tuple(alone)
 
     @F.arrow_udf("array<int>")
     def find(texts: pa.Array) -> pa.Array:
-        return search(texts, listed)
+        return search(texts, listed, words)
 
     return find(text.cast("string"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import tags
-from ..functions.text import strings, table
+from ..functions.phrases import found
+from ..functions.text import let, strings, table
 from . import taxonomy as tx
 from .pairs import spread
 from .scoring_v2 import has
@@ -86,15 +87,21 @@ def intended_applicants(source: Column, eligibility: Column, title: Column, desc
     primary = F.lit(None).cast("string")
     for kind, (*_, sources) in reversed(APPLICANTS.items()):
         primary = F.when(source.isin(*sources), kind).otherwise(primary) if sources else primary
-    ranked = []
-    for i, (kind, (by_eligibility, by_title, by_text, sources)) in enumerate(APPLICANTS.items()):
-        favoured = source.isin(*sources) if sources else F.lit(False)
-        votes = F.when(favoured, F.when(primary == kind, 30).otherwise(15)).otherwise(0)
-        votes = votes + F.when(has(eligibility, *by_eligibility), 20).otherwise(0) + F.when(has(title, *by_title), 10).otherwise(0) + F.when(has(description, *by_text), 6).otherwise(0)
-        order = F.when(primary == kind, 0).when(favoured, 1).otherwise(2) * 100 + i
-        ranked.append(F.when(votes > 8, F.struct((-votes).alias("v"), order.alias("o"), F.lit(kind).alias("kind"))))
-    best = F.transform(F.slice(F.array_sort(F.array_compact(F.array(*ranked))), 1, 3), lambda r: r["kind"])
-    return F.when(F.size(best) > 0, best).otherwise(strings(("any",)))
+    said = [p for *_, by_text, _ in APPLICANTS.values() for p in by_text]
+
+    def best(at: Column) -> Column:
+        ranked, upto = [], 0
+        for i, (kind, (by_eligibility, by_title, by_text, sources)) in enumerate(APPLICANTS.items()):
+            first, upto = upto, upto + len(by_text)
+            told = F.arrays_overlap(at, F.lit(list(range(first, upto))))
+            favoured = source.isin(*sources) if sources else F.lit(False)
+            votes = F.when(favoured, F.when(primary == kind, 30).otherwise(15)).otherwise(0)
+            votes = votes + F.when(has(eligibility, *by_eligibility), 20).otherwise(0) + F.when(has(title, *by_title), 10).otherwise(0) + F.when(told, 6).otherwise(0)
+            order = F.when(primary == kind, 0).when(favoured, 1).otherwise(2) * 100 + i
+            ranked.append(F.when(votes > 8, F.struct((-votes).alias("v"), order.alias("o"), F.lit(kind).alias("kind"))))
+        return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*ranked))), 1, 3), lambda r: r["kind"])
+
+    return let(let(found(description, said), best), lambda b: F.when(F.size(b) > 0, b).otherwise(strings(("any",))))
 
 
 def _signals(scores: str, phrases: str, weak: Column) -> Column:
@@ -112,8 +119,11 @@ def interpret(opps: DataFrame) -> DataFrame:
     that the title does not hold.
     """
     out = spread(opps).withColumn("clean_title", clean_title(F.col("title")))
-    body = F.when(F.length(F.trim("description")) > 20, F.trim("description")).otherwise("")
-    title, eligibility, source = F.lower("clean_title"), F.lower(F.array_join("eligibility", " ")), F.col("source")
+    text = F.trim("description")
+    # Columns of their own: each is used by many expressions, and would be computed anew for every phrase that is looked for.
+    out = out.withColumns({"_low": F.lower("clean_title"), "_eligible": F.lower(F.array_join("eligibility", " ")), "_body": F.when(F.length(text) > 20, text).otherwise("")})
+    out = out.withColumns({"_text": F.lower("_body"), "_all": F.lower(F.concat_ws(" ", "clean_title", "clean_title", "_body"))})
+    title, eligibility, body, low, source = (F.col(c) for c in ("_low", "_eligible", "_body", "_text", "source"))
     kind = (
         F.when(source == "sbir", "research_grant")
         .when(source.isin("sam_gov", "ted_eu"), F.when(has(eligibility, "contractor", "solicitation") | title.contains("contract"), "procurement").otherwise("contract"))
@@ -131,17 +141,16 @@ def interpret(opps: DataFrame) -> DataFrame:
     by_source = F.try_element_at(F.create_map(*[F.lit(x) for pair in SCOPES.items() for x in pair]), source)
     out = out.withColumns({
         "activities": activity_tags(F.lower(F.concat_ws(" ", "clean_title", body))),
-        "applicants": intended_applicants(source, eligibility, title, F.lower(body)),
+        "applicants": intended_applicants(source, eligibility, title, low),
         "type": kind,
         "scope": F.coalesce(by_source, F.when(F.size("geography") > 0, field).otherwise(cue)),
     })
-    opening = F.substring(F.lower(body), 1, 2000)
-    whole = F.lower(F.concat_ws(" ", "clean_title", "clean_title", body))
+    opening, whole = F.substring(low, 1, 2000), F.col("_all")
     out = out.withColumns({
         "_title": tx.domain_scores(title), "_opening": tx.domain_scores(opening), "_whole": tx.domain_scores(whole),
         "_title_phrases": tx.domain_phrases(title), "_opening_phrases": tx.domain_phrases(opening),
-        "_title_mission": tx.mission_phrases(title), "_text_mission": tx.mission_phrases(F.lower(body)),
-        "_people": F.array_distinct(F.concat(tx.population_tags(title), tx.population_tags(F.lower(body)))),
+        "_title_mission": tx.mission_phrases(title), "_text_mission": tx.mission_phrases(low),
+        "_people": F.array_distinct(F.concat(tx.population_tags(title), tx.population_tags(low))),
     })
     out = out.withColumns({"_domains": tx.ranked(F.col("_whole"), 0), "_subdomains": tx.ranked(F.col("_whole"), 1)})
     weak_title = F.filter(tx.weak_words(title, 3), lambda w: ~F.exists("_title_phrases", lambda p: p.contains(w)))
@@ -161,4 +170,4 @@ def interpret(opps: DataFrame) -> DataFrame:
         "applicant_confidence": F.when(F.col("applicants")[0] == "any", 20).otherwise(share(F.size("applicants"))),
     })
     out = out.withColumn("activities", F.slice("activities", 1, 6))
-    return out.drop("_title", "_opening", "_whole", "_title_phrases", "_opening_phrases", "_title_mission", "_text_mission", "_people", "_domains", "_subdomains")
+    return out.drop("_low", "_eligible", "_body", "_text", "_all", "_title", "_opening", "_whole", "_title_phrases", "_opening_phrases", "_title_mission", "_text_mission", "_people", "_domains", "_subdomains")

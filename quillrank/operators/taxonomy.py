@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,36 +79,19 @@ POPULATIONS = {
 }
 
 
-_ENTRY = "phrases:array<int>,words:array<int>,plain:array<int>"
+_ENTRY = "phrases:array<int>,words:array<int>"
 
 
 def _numbered(entries: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> tuple[list[dict], list[str], list[str]]:
-    """Entries by the places of their phrases and words in one list, and of the words as they stand alone in a padded text in another; and both lists."""
-    rows, listed, alone = [], [], []
+    """Entries by the places of their phrases in one list, and of the words that stand alone in another behind it; and both lists."""
+    listed, alone = [p for phrases, _ in entries for p in phrases], [w for _, words in entries for w in words]
+    rows, at, own = [], 0, len(listed)
     for phrases, words in entries:
-        row = {"phrases": [], "words": [], "plain": []}
-        for kind, values, into in (("phrases", phrases, listed), ("words", words, listed), ("plain", [" " + re.sub("[^a-z0-9_]", " ", w) + " " for w in words], alone)):
-            row[kind] = list(range(len(into), len(into) + len(values)))
-            into += values
-        rows.append(row)
+        rows.append({"phrases": list(range(at, at + len(phrases))), "words": list(range(own, own + len(words)))})
+        at, own = at + len(phrases), own + len(words)
     return rows, listed, alone
 
 
-def padded(text: Column) -> Column:
-    """The text with a blank for all but ASCII word characters, and one at either end; a word stands alone where blanks surround it."""
-    return F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9_]", " "), F.lit(" "))
-
-
-def _places(text: Column, listed: list[str], alone: list[str]) -> Column:
-    """What a lower-cased text holds of either list, each found in one pass."""
-    return F.struct(found(text, listed).alias("low"), found(padded(text), alone).alias("wide"))
-
-
-def has_word(t: Column, entry: Column) -> Column:
-    """Whether a text of those places holds one of the entry's words, not inside a longer one."""
-    return F.arrays_overlap(entry["words"], t["low"]) & F.arrays_overlap(entry["plain"], t["wide"])
-
-
 def domain_scores(text: Column) -> Column:
     """The score of each of DOMAINS in a lower-cased text: its weight for each phrase, or 0.4 of it, rounded, for any of its words."""
     rows, listed, alone = _numbered([(phrases, words) for *_, phrases, words in DOMAINS])
@@ -118,12 +99,12 @@ def domain_scores(text: Column) -> Column:
 
     def of(t: Column) -> Column:
         def score(e: Column) -> Column:
-            hits = F.size(F.array_intersect(e["phrases"], t["low"]))
-            return F.when(hits > 0, hits * e["weight"]).when(has_word(t, e), e["least"]).otherwise(0)
+            hits = F.size(F.array_intersect(e["phrases"], t))
+            return F.when(hits > 0, hits * e["weight"]).when(F.arrays_overlap(e["words"], t), e["least"]).otherwise(0)
 
         return F.transform(table(rows, f"array<struct<weight:int,least:int,{_ENTRY}>>"), score)
 
-    return let(_places(text, listed, alone), of)
+    return let(found(text, listed, alone), of)
 
 
 def ranked(scores: Column, which: int) -> Column:
@@ -151,8 +132,8 @@ def domain_phrases(text: Column) -> Column:
 def population_tags(text: Column) -> Column:
     rows, listed, alone = _numbered(list(POPULATIONS.values()))
     entries = table([{"tag": tag, **row} for tag, row in zip(POPULATIONS, rows, strict=True)], f"array<struct<tag:string,{_ENTRY}>>")
-    fits = lambda t, e: F.arrays_overlap(e["phrases"], t["low"]) | has_word(t, e)
-    return let(_places(text, listed, alone), lambda t: F.transform(F.filter(entries, lambda e: fits(t, e)), lambda e: e["tag"]))
+    fits = lambda t, e: F.arrays_overlap(e["phrases"], t) | F.arrays_overlap(e["words"], t)
+    return let(found(text, listed, alone), lambda t: F.transform(F.filter(entries, lambda e: fits(t, e)), lambda e: e["tag"]))
 
 
 def mission_phrases(text: Column) -> Column:
