@@ -288,7 +288,9 @@ def opp_features(opps: DataFrame, interpreted: bool = False) -> DataFrame:
     low = F.lower(title)
     words = F.filter(F.split(low, r"(?U)[\s\-/,()]+"), lambda w: F.length(w) > 1)
     held = F.filter("title_all", lambda w: F.length(w) > 1)
-    more = ["applicants", "applicant_confidence", "desc_phrases", "subdomains"] if interpreted else []
+    described = normalize_phrase(F.substring(F.coalesce("description", F.lit("")), 1, 500)) if interpreted else F.lit("")
+    out = out.withColumn("desc_norm", described)
+    more = ["applicants", "applicant_confidence", "desc_phrases", "subdomains", F.transform("subdomains", normalize_phrase).alias("subdomain_norms")] if interpreted else []
     return out.select(
         "id",
         "ord",
@@ -302,7 +304,8 @@ def opp_features(opps: DataFrame, interpreted: bool = False) -> DataFrame:
         F.size(words).alias("n_words"),
         F.size(F.filter(words, lambda w: w.isin(*GENERIC))).alias("n_generic"),
         F.when(F.size(held) > 0, F.size(F.filter(held, lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC))) / F.size(held)).otherwise(0.0).alias("specificity"),
-        normalize_phrase(F.substring(F.coalesce("description", F.lit("")), 1, 500)).alias("desc_norm") if interpreted else F.lit("").alias("desc_norm"),
+        "desc_norm",
+        F.concat_ws(" ", "title_norm", F.when(F.col("desc_norm") != "", F.col("desc_norm"))).alias("text_norm"),
         *more,
     )
 
@@ -349,7 +352,7 @@ def score_v5(pairs: DataFrame, config: dict[str, int] = CONFIG, interpreted: boo
     if interpreted:
         used = F.concat("credited", F.transform("fallback", lambda g: g["norm"]))
         described = F.exists("desc_phrases", lambda d: ~F.array_contains(used, d["norm"]) & F.array_contains("org_overlap", d["phrase"]))
-        sub = F.exists("subdomains", lambda t: F.exists("org_concepts", lambda w: normalize_phrase(t).contains(w["s"])))
+        sub = F.exists("subdomain_norms", lambda t: F.exists("org_concepts", lambda w: t.contains(w["s"])))
         bonus = F.when(described, DESCRIBED).otherwise(0) + F.when(sub, SUBDOMAIN).otherwise(0)
     raw = F.least(F.lit(60), _points(c("exact"), 0) + _points(c("near"), 1) + F.aggregate("fallback", F.lit(0), lambda a, g: a + g["points"]) + CONCEPT_WORD * size("words") + bonus)
 
@@ -361,8 +364,7 @@ def score_v5(pairs: DataFrame, config: dict[str, int] = CONFIG, interpreted: boo
     fit = F.try_element_at(points, F.concat_ws(" ", "org_kind", "target"))
     out = out.withColumn("target", target).withColumn("fit", fit)
 
-    text = F.concat_ws(" ", "title_norm", F.when(c("desc_norm") != "", c("desc_norm")))
-    wide = c("desc_norm") != ""
+    text, wide = c("text_norm"), c("desc_norm") != ""
     seen = lambda p: F.when(F.exists(p["variants"], lambda v: title.contains(v["norm"])), 8).when(wide & F.exists(p["variants"], lambda v: text.contains(v["norm"])), 6).otherwise(0)
     value = lambda p: F.greatest(F.when(title.contains(p["pop"]), 10).otherwise(0), F.when(wide & text.contains(p["pop"]), 8).otherwise(0), seen(p), F.when(F.exists(p["canonical"], lambda v: title.contains(v["norm"])), 8).otherwise(0), F.when(F.exists(p["words"], lambda w: title.contains(w)), 5).otherwise(0))
     population = F.coalesce(F.array_max(F.transform("org_pops", value)), F.lit(0))

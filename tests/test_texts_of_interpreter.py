@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import phrases
 from quillrank.operators import interpretation
+from quillrank.operators import scoring_v5 as v5
 from quillrank.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,10 @@ def test_votes_of_the_description(spark):
     got = table.select("id", interpretation.intended_applicants(F.lit("sbir"), F.lit(""), F.lit("academic"), F.col("d")).alias("a")).orderBy("id").collect()
     assert [r["a"] for r in got] == [["small_business", "university"], ["small_business", "university"], ["small_business", "university"]]
     assert table.select(interpretation.intended_applicants(F.lit("x"), F.lit(""), F.lit(""), F.col("d")).alias("a")).first()["a"] == ["any"]
+
+
+def test_pairs_normalize_no_text(spark):
+    pool = interpretation.interpret(views.opportunities(spark, SF))
+    scored = v5.score_v5(v5.pairs(pool, views.organizations(spark, SF), True), interpreted=True).select("org_id", "id", "title_mission_fit", "total")
+    above = plan(scored).split("Join Cross")[0] if "Join Cross" in plan(scored) else plan(scored).split("Join Inner")[0]
+    assert "org_concepts" in above and "regexp_replace" not in above
