@@ -153,7 +153,7 @@ class Model:
         z = self.logits(feature, prior)
         np.exp(z, out=z)
         z /= -(z @ np.ones(z.shape[1], np.float32))[:, None]
-        z[np.arange(len(z)), target] += 1
+        z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + target] += 1
         flat = feature.reshape(-1)
         order = _order(flat)
         ranked = flat.take(order)
@@ -164,7 +164,8 @@ class Model:
         change = _folded(z.take(order % len(z), axis=0), first, n)
         change *= step[:, None]
         change += self.weights.take(which, axis=0)
-        self.weights[which] = change
+        whole = f"V{change.strides[0]}"  # a row as one value, which is copied at once
+        np.put(self.weights.view(whole), which, change.view(whole))
 
 
 def _folded(rows: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
