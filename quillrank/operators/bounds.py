@@ -8,11 +8,12 @@ cannot enter the list, nor one whose bound equals it but that arrived later, and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strings
+from ..functions.text import strings, table
 from ..sources.staging import staged
 from . import ranking
 from .pairs import CLASSES, pair_up
@@ -38,14 +39,37 @@ def class_points() -> Column:
     return F.get("class_points", (F.array_position(strings(CLASSES), F.col("org_class")) - 1).cast("int"))
 
 
+def highest(bounded: DataFrame, n: int, by: tuple[str, ...]) -> DataFrame:
+    """The n pairs with the highest bounds `most` in each group, ties in arrival order. `bounded` should be a written table, as it is read twice.
+
+    A sort of all pairs would cost more than their bounds. Bounds are small whole numbers: pairs are counted by bound first, and only those are sorted whose bound lets fewer than n others lie above it.
+    """
+    known = bounded.where(F.col("most").isNotNull())
+    above = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc("most")).rowsBetween(Window.unboundedPreceding, -1))
+    counted = known.groupBy(*by, "most").agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(above, F.lit(0)))
+    edges = counted.where(F.col("_above") < n).groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("most").alias("_edge"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    near = known.join(F.broadcast(edges), same & (F.col("most") >= F.col("_edge")))  # a row per organization (and source) is broadcast
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("most"), F.asc("ord")))
+    return near.withColumn("_n", place).where(F.col("_n") <= n).select(*bounded.columns)
+
+
+def points_of_cases(prefixed_orgs: DataFrame, name: str, cases: list[dict], kinds: str, points: Column) -> DataFrame:
+    """(org_id, name): what each organization gets in each case, in the order of the cases, so that a pair looks its points up.
+
+    A case gives values to an opportunity's columns, whose types `kinds` names; the points may use them and the organization's columns.
+    """
+    rows = prefixed_orgs.select("*", F.posexplode(table(cases, f"array<struct<{kinds}>>")).alias("_at", "_case")).select("*", "_case.*")
+    rows = rows.select("org_id", F.struct("_at", points.cast("int").alias("points")).alias("_p"))
+    return rows.groupBy("org_id").agg(F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["points"]).alias(name))
+
+
 def candidates(opps: DataFrame, orgs: DataFrame, bound: Column, score: Scorer, rank: Scorer, k: int, least: int, seeds: int, by: tuple[str, ...]) -> DataFrame:
     """The pairs whose bound reaches the floor of their organization, with all columns of both sides. `opps` should be a written table, as it is read three times.
 
     The floor is the k-th row among what `rank` makes of the `seeds` pairs with the highest bounds in each group `by`, or `least` points where those don't give k rows.
     """
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("most"), F.asc("ord"))
-    bounded = pair_up(opps, orgs).select("org_id", "id", "ord", "source", bound.alias("most"))
-    first = bounded.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= seeds) & F.col("most").isNotNull()).select("org_id", "id").distinct()
+    first = highest(staged(pair_up(opps, orgs).select("org_id", "id", "ord", "source", bound.alias("most")), "bounds"), seeds, by).select("org_id", "id").distinct()
     own = orgs.select(*[F.col(c).alias(c if c.startswith("org_") else f"org_{c}") for c in orgs.columns])
     tried = opps.join(F.broadcast(first), "id").join(F.broadcast(own), "org_id")  # seeds times organizations (and sources) at most
     floors = staged(rank(score(tried)).where(F.col("rank") == k).select(F.col("org_id").alias("of"), F.col("total").alias("floor"), F.col("ord").alias("floor_ord")), "floors")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import ACTIVITIES, POPULATIONS, SECTORS, bits, every_word, tags, tags_at
-from ..functions.phrases import found
+from ..functions.phrases import found_parts
 from ..functions.text import js_round, strings
 from .bounds import class_points, with_class_points
 from .pairs import CLASSES, pair_up, said_by, spread
@@ -42,6 +42,8 @@ ALIASES = {
 }
 DIMENSIONS = ("eligibility_fit", "domain_fit", "activity_fit", "population_fit", "geography_fit", "organization_type_fit", "capacity_fit", "funding_fit")
 BANDS = ("early", "growing", "established", "enterprise")
+SCOPES = ("international", "national", "state", "local", "unknown")
+US = ("united states", "us", "usa", "national", "u.s.")
 COMPLEXITY = ("low", "medium", "high", "very_high")
 
 
@@ -118,39 +120,81 @@ def _with_bits(rows: DataFrame, sectors: dict[str, list[str]]) -> DataFrame:
     return rows.withColumns({f"{k}_bits": bits(k, list(names)) for k, names in (("sectors", sectors), ("activities", ACTIVITIES), ("populations", POPULATIONS))})
 
 
+#: What is looked for in title and description besides tags, 63 words at most.
+BODY_WORDS = (
+    "procurement", "contract", "prize", "challenge", "competition", "fellowship", "internship", "research", "laboratory", "scientific study", "clinical study", "infrastructure", "capital project", "construction", "international",
+    "overseas", "global development", "technical assistance", " ta ", "capacity", "build", "planning", "feasibility", "assessment", "training", "workforce", "solicitation", "rfp", "prior federal", "past performance",
+    "cooperative agreement", "multi-site", "compliance", "reporting requirements", "environmental review", "audit", "experience", "established", "track", "record", "prior", "federal",
+)
+
+
+def said(*words: str) -> Column:
+    """Whether title and description, joined and lower-cased, contain one of the words, which must be among BODY_WORDS; over the rows of `read_texts`."""
+    return F.col("_said").bitwiseAND(F.lit(sum(1 << BODY_WORDS.index(w) for w in words))) != 0
+
+
 def opportunity_type() -> Column:
-    text, source, kind = F.lower(F.concat_ws(" ", "title", "description")), F.lower(F.coalesce("source", F.lit(""))), F.col("funding_type")
+    source, kind = F.lower(F.coalesce("source", F.lit(""))), F.col("funding_type")
     return (
         F.when(source.isin("sam_gov", "ted_eu"), "procurement_contract")
         .when(source == "sbir", "research_grant")
-        .when(source == "world_bank", F.when(has(text, "procurement", "contract"), "procurement_contract").otherwise("international_implementation"))
+        .when(source == "world_bank", F.when(said("procurement", "contract"), "procurement_contract").otherwise("international_implementation"))
         .when(kind.isin("contract", "procurement"), "procurement_contract")
         .when(kind == "fellowship", "fellowship_training")
         .when(kind == "loan", "loan_financing")
-        .when(has(text, "prize", "challenge", "competition"), "prize_challenge")
-        .when(has(text, "fellowship", "internship"), "fellowship_training")
-        .when(has(text, "research", "laboratory", "scientific study", "clinical study"), "research_grant")
-        .when(has(text, "infrastructure", "capital project", "construction"), "infrastructure_capital")
-        .when(has(text, "international", "overseas", "global development"), "international_implementation")
-        .when(has(text, "technical assistance", " ta "), "technical_assistance")
-        .when(text.contains("capacity") & text.contains("build"), "capacity_building_grant")
-        .when(has(text, "planning", "feasibility", "assessment"), "planning_grant")
-        .when(text.contains("training") & ~text.contains("workforce"), "fellowship_training")
-        .when(has(text, "procurement", "solicitation", "rfp"), "procurement_contract")
+        .when(said("prize", "challenge", "competition"), "prize_challenge")
+        .when(said("fellowship", "internship"), "fellowship_training")
+        .when(said("research", "laboratory", "scientific study", "clinical study"), "research_grant")
+        .when(said("infrastructure", "capital project", "construction"), "infrastructure_capital")
+        .when(said("international", "overseas", "global development"), "international_implementation")
+        .when(said("technical assistance", " ta "), "technical_assistance")
+        .when(said("capacity") & said("build"), "capacity_building_grant")
+        .when(said("planning", "feasibility", "assessment"), "planning_grant")
+        .when(said("training") & ~said("workforce"), "fellowship_training")
+        .when(said("procurement", "solicitation", "rfp"), "procurement_contract")
         .otherwise("program_service_grant")
     )
 
 
+def read_texts(opps: DataFrame, sectors: dict[str, list[str]] = SECTORS, tokens: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Reads an opportunity's texts in one pass: adds `_found`, the places of tag words, BODY_WORDS and tokens in a row, and `_said`, the BODY_WORDS as bits."""
+    head = F.concat_ws(" ", F.lower("title"), F.lower("description"))
+    out = opps.withColumn("_head", F.when(F.col("title").isNotNull() | F.col("description").isNotNull(), head))
+    out = out.withColumn("_text", F.concat_ws(" ", "_head", F.lower(F.array_join("keywords", " ")), F.lower(F.array_join("categories", " "))))
+    out = out.withColumn("_found", found_parts(F.col("_text"), F.coalesce(F.length("_head"), F.lit(0)), every_word(sectors, ACTIVITIES, POPULATIONS), BODY_WORDS, tokens)).drop("_head", "_text")
+    first, one = len(every_word(sectors, ACTIVITIES, POPULATIONS)), F.lit(1).cast("long")
+    own = F.filter("_found", lambda i: (i >= first) & (i < first + len(BODY_WORDS)))
+    return out.withColumn("_said", F.aggregate(own, F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", one, i - first))))
+
+
+def tokens_read(tokens: list[str], sectors: dict[str, list[str]] = SECTORS) -> Column:
+    """Which of the tokens given to `read_texts` the texts have; null where V1's tokens are: where a text, a list or an entry of one is null."""
+    first = len(every_word(sectors, ACTIVITIES, POPULATIONS)) + len(BODY_WORDS)
+    at = F.transform(F.filter("_found", lambda i: i >= first), lambda i: F.get(strings(tokens), i - first))
+    whole = lambda words: F.col(words).isNotNull() & ~F.exists(words, lambda w: w.isNull())
+    return F.when(F.col("title").isNotNull() & F.col("description").isNotNull() & whole("keywords") & whole("categories"), at)
+
+
+def token_bits_read(tokens: list[str], sectors: dict[str, list[str]] = SECTORS) -> Column:
+    """`tokens_read` as bits, 63 in each number of an array."""
+    first, one = len(every_word(sectors, ACTIVITIES, POPULATIONS)) + len(BODY_WORDS), F.lit(1).cast("long")
+    own = lambda c: F.filter("_found", lambda i: (i >= first + 63 * c) & (i < first + 63 * (c + 1)))
+    numbers = [F.aggregate(own(c), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", one, (i - first) % 63))) for c in range(-(-len(tokens) // 63))]
+    return F.when(tokens_read(tokens, sectors).isNotNull(), F.array(*numbers) if numbers else F.expr("cast(array() as array<bigint>)"))
+
+
 def opp_profiles(opps: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
     """Adds type, tags, applicant types, geography scope, and funding and complexity bands."""
-    text = F.concat_ws(" ", "title", "description", F.array_join("keywords", " "), F.array_join("categories", " "))
-    body = F.lower(F.concat_ws(" ", "title", "description"))
+    return profiled(read_texts(opps, sectors), sectors)
+
+
+def profiled(read: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> DataFrame:
+    """What `opp_profiles` adds, from the rows of `read_texts`."""
     geo = F.filter("geography", lambda g: g.isNotNull() & (g != ""))
     amount = F.coalesce("max_award", "min_award")
-    out = opps.select(
+    out = read.select(
         "*",
         opportunity_type().alias("type"),
-        found(F.lower(text), every_word(sectors, ACTIVITIES, POPULATIONS)).alias("_found"),
         F.transform("eligibility", F.lower).alias("elig"),
         F.transform(geo, F.lower).alias("geo"),
         _scope(geo, "worldwide").alias("scope"),
@@ -158,13 +202,13 @@ def opp_profiles(opps: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> Da
     )
     first = len(every_word(sectors))
     out = out.withColumns({"sectors": tags_at(F.col("_found"), sectors), "activities": tags_at(F.col("_found"), ACTIVITIES, first), "populations": tags_at(F.col("_found"), POPULATIONS, first + len(every_word(ACTIVITIES)))}).drop("_found")
-    point = lambda n, *words: F.when(has(body, *words), n).otherwise(0)
+    point = lambda n, *words: F.when(said(*words), n).otherwise(0)
     by_type = F.when(F.col("type").isin("procurement_contract", "infrastructure_capital"), 3).when(F.col("type").isin("research_grant", "international_implementation"), 2).otherwise(0)
     points = by_type + F.coalesce(F.greatest(F.col("funding_band") - 1, F.lit(0)), F.lit(0))
     points = points + point(2, "prior federal", "past performance") + point(1, "cooperative agreement", "multi-site") + point(1, "international", "overseas") + point(1, "compliance", "reporting requirements") + point(1, "environmental review", "audit")
     e = F.col("elig")
     out = out.withColumns({"takes_501c3": F.array_contains(e, "501c3"), "takes_small": F.arrays_overlap(e, strings(("small_business", "for_profit")))})
-    return _with_bits(out, sectors).withColumn("complexity", band(points, 2, 4, 6))
+    return _with_bits(out, sectors).withColumn("complexity", band(points, 2, 4, 6)).drop("_said")
 
 
 def sides(opps: DataFrame, orgs: DataFrame, sectors: dict[str, list[str]] = SECTORS) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +267,7 @@ def type_points() -> Column:
 
 def geography(touching: Column) -> Column:
     """The geography dimension, given whether a place of one side lies in the name of one of the other."""
-    us = F.arrays_overlap("org_geo", strings(("united states", "us", "usa", "u.s."))) & F.arrays_overlap("geo", strings(("united states", "us", "usa", "national", "u.s.")))
+    us = F.arrays_overlap("org_geo", strings(("united states", "us", "usa", "u.s."))) & F.arrays_overlap("geo", strings(US))
     scope, own = F.col("scope"), F.col("org_scope")
     return (
         F.when(scope.isin("international", "unknown"), 7)
@@ -237,12 +281,13 @@ def geography(touching: Column) -> Column:
 
 def dimension_points() -> dict[str, Column]:
     """The eight dimensions over a pair's columns."""
-    m, n, k = common("sectors"), F.size("org_sectors"), F.size("sectors")
+    none = lambda column: F.col(f"{column}_bits") == 0
+    m, n, k = common("sectors"), none("org_sectors"), none("sectors")
     jaccard = m / F.greatest(either("sectors"), F.lit(1))
-    domain = F.when((n == 0) & (k == 0), 8).when((n == 0) | (k == 0), 6).when(m == 0, 0).when(m >= 4, 20).when(m == 3, 17).when(m == 2, js_round(12 + jaccard * 8)).otherwise(js_round(8 + jaccard * 8))
+    domain = F.when(n & k, 8).when(n | k, 6).when(m == 0, 0).when(m >= 4, 20).when(m == 3, 17).when(m == 2, js_round(12 + jaccard * 8)).otherwise(js_round(8 + jaccard * 8))
     a, p = common("activities"), common("populations")
-    activity = F.when((F.size("org_activities") == 0) | (F.size("activities") == 0), 6).when(a == 0, 2).when(a >= 3, 15).when(a == 2, 11).otherwise(7)
-    population = F.when((F.size("org_populations") == 0) | (F.size("populations") == 0), 5).when(p == 0, 2).when(p >= 2, 10).otherwise(6)
+    activity = F.when(none("org_activities") | none("activities"), 6).when(a == 0, 2).when(a >= 3, 15).when(a == 2, 11).otherwise(7)
+    population = F.when(none("org_populations") | none("populations"), 5).when(p == 0, 2).when(p >= 2, 10).otherwise(6)
 
     touching = F.exists("org_geo", lambda o: F.exists("geo", lambda q: o.contains(q) | q.contains(o)))
     gap = F.col("complexity") - F.col("org_capacity")
@@ -259,27 +304,39 @@ def dimension_points() -> dict[str, Column]:
     return dict(zip(DIMENSIONS, (eligibility_points(), domain, activity, population, geography(touching), type_points(), capacity, funding), strict=True))
 
 
-def semantic_boost() -> Column:
+def semantic_boost(flags: Column | None = None) -> Column:
+    """The boost over a pair's columns; `flags` are the points for tax exemption and small businesses, if they are known otherwise."""
     m, p, a = common("sectors"), common("populations"), common("activities")
     step = lambda x: F.when(x >= 2, 2).otherwise(x)
     points = F.when(m >= 4, 4).when(m == 3, 3).when(m == 2, 2).otherwise(0) + step(p) + step(a)
-    points = points + F.when(F.col("org_has_501c3") & F.col("takes_501c3"), 2).otherwise(0) + F.when(F.col("org_is_small_business") & F.col("takes_small"), 2).otherwise(0)
-    return F.least(F.lit(10), points)
+    if flags is None:
+        flags = F.when(F.col("org_has_501c3") & F.col("takes_501c3"), 2).otherwise(0) + F.when(F.col("org_is_small_business") & F.col("takes_small"), 2).otherwise(0)
+    return F.least(F.lit(10), points + flags)
 
 
-def penalties() -> Column:
-    """array<struct<type, value>> of the penalties that apply."""
+def penalty_rules() -> dict[str, tuple[Column, Column]]:
+    """When each penalty applies and its value."""
     c, kind = F.col("org_class"), F.col("type")
     gap = F.col("complexity") - F.col("org_capacity")
-    rules = (
-        ("complexity_mismatch", gap > 0, F.when(gap == 1, 3).when(gap == 2, 7).otherwise(10)),
-        ("procurement_mismatch", (kind == "procurement_contract") & (F.col("org_procurement_readiness") == "low") & ~c.isin("government", "contractor", "small_business"), F.lit(8)),
-        ("research_mismatch", (kind == "research_grant") & (F.col("org_research_readiness") == "low") & ~c.isin("university", "research_institution"), F.lit(5)),
-        ("geography_scope_mismatch", F.col("scope").isin("local", "state") & (F.col("org_scope") == "international"), F.lit(5)),
-        ("funding_capacity_mismatch", F.col("min_award") > F.col("org_budget") * 5, F.lit(5)),
-        ("eu_procurement_barrier", (F.col("source") == "ted_eu") & ~c.isin("contractor", "small_business", "government", "university"), F.lit(5)),
-    )
-    return F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("type"), value.cast("int").alias("value"))) for name, when, value in rules]))
+    return {
+        "complexity_mismatch": (gap > 0, F.when(gap == 1, 3).when(gap == 2, 7).otherwise(10)),
+        "procurement_mismatch": ((kind == "procurement_contract") & (F.col("org_procurement_readiness") == "low") & ~c.isin("government", "contractor", "small_business"), F.lit(8)),
+        "research_mismatch": ((kind == "research_grant") & (F.col("org_research_readiness") == "low") & ~c.isin("university", "research_institution"), F.lit(5)),
+        "geography_scope_mismatch": (F.col("scope").isin("local", "state") & (F.col("org_scope") == "international"), F.lit(5)),
+        "funding_capacity_mismatch": (F.col("min_award") > F.col("org_budget") * 5, F.lit(5)),
+        "eu_procurement_barrier": ((F.col("source") == "ted_eu") & ~c.isin("contractor", "small_business", "government", "university"), F.lit(5)),
+    }
+
+
+def penalties() -> Column:
+    """array<struct<type, value>> of the penalties that apply."""
+    return F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("type"), value.cast("int").alias("value"))) for name, (when, value) in penalty_rules().items()]))
+
+
+def penalty_of(*names: str) -> Column:
+    """The sum of those of the named penalties that apply."""
+    rules = penalty_rules()
+    return sum((F.when(rules[n][0], rules[n][1]).otherwise(0) for n in names[1:]), F.when(rules[names[0]][0], rules[names[0]][1]).otherwise(0))
 
 
 def with_place_bits(mine: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:

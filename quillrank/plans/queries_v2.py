@@ -75,8 +75,11 @@ def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.score_hybrid(hybrid.pairs(_pool(spark, sf), views.organizations(spark, sf)))
 
 
-def best_hybrid(spark: SparkSession, sf: str, k: int = 10, cap: int | None = None) -> DataFrame:
-    return bounds.best(*hybrid.bounded_sides(_pool(spark, sf), views.organizations(spark, sf)), hybrid.bound(), hybrid.score_hybrid, k, cap)
+def best_hybrid(spark: SparkSession, sf: str, k: int = 10, cap: int | None = None, least_pairs: int = bounds.LEAST_PAIRS) -> DataFrame:
+    """The hybrid's best; what only the bound needs is left out where all pairs are scored. No query shows the description, which would be written once more."""
+    pool, orgs = _pool(spark, sf), views.organizations(spark, sf)
+    mine, own = (hybrid.sides if pool.count() * orgs.count() < least_pairs else hybrid.bounded_sides)(pool, orgs)
+    return bounds.best(mine.drop("description"), own, hybrid.bound(), hybrid.score_hybrid, k, cap, least_pairs=least_pairs)
 
 
 def hybrid_scores(spark: SparkSession, sf: str) -> DataFrame:
